@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .quality import STOP_WORDS
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP8 = """
@@ -31,4 +33,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_suffix_array_dedup": OP8, "op9_substring_dedup": OP9}
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p + 1:p + 13], ' ') AS s
+      FROM b, unnest(range(0, greatest(len(w) - 12, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS u(p)),
+k AS (SELECT DISTINCT n FROM v),
+x AS (SELECT d.doc_id, k.n, u.p, array_to_string(w[p + 1:p + k.n], ' ') AS s FROM d, k, unnest(range(0, len(w) - k.n + 1)) AS u(p)),
+hit AS (SELECT x.doc_id, x.p, x.n, v.item_id FROM x JOIN v ON v.n = x.n AND v.s = x.s),
+words AS (SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM hit), unnest(range(0, n)) AS u(j) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+STOPS = ", ".join(f"'{x}'" for x in STOP_WORDS)
+OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+v AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 8], ' ') AS s FROM a, unnest(range(0, len(w) - 7)) AS u(p)),
+twice AS (SELECT doc_id, s FROM v GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT v.doc_id, v.p FROM v JOIN twice USING (doc_id, s)), unnest(range(0, 8)) AS u(k) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(list_intersect(w, [{STOPS}])) AS stops FROM a LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words
+       AND 100 * n_symbols <= 10 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND stops >= 2 AS kept
+FROM m
+"""
+
+ORACLES: dict[str, str] = {"op5_decontamination": OP5, "op6_quality_rules": OP6, "op8_suffix_array_dedup": OP8, "op9_substring_dedup": OP9}
