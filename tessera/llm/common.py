@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest data, in bytes, that an operator sends to every task at once.
@@ -61,12 +61,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Buckets of a packed exchange: several for each partition, so that hashing spreads them evenly."""
-    return 8 * partitions(spark)
+    """Buckets of a packed exchange that are worked on one by one: several for each partition."""
+    return 4 * partitions(spark)
 
 
-def by_bucket(df: DataFrame, column: str | Column = "bucket") -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), F.col(column) if isinstance(column, str) else column)
+def by_bucket(df: DataFrame) -> DataFrame:
+    """Deal buckets out evenly: bucket b goes to partition b modulo their number."""
+    n = partitions(df.sparkSession)
+    return df.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int"))
 
 
 def split_rows(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -107,10 +107,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.greatest(ratio - whole, F.lit(0.0))).otherwise(0.0))
     rows = rows.withColumn("dice", F.xxhash64(F.lit(seed), "doc_id", "part"))
     rows = rows.withColumn("blocks", F.ceil(F.col("n_docs") / block)).withColumn("block", F.pmod(F.col("dice"), F.col("blocks")))
-    order = ["dice", "doc_id", "part", "size"]
+    order = ["size", "dice", "doc_id", "part"]
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(order, ascending=[False, True, True, True], kind="stable", ignore_index=True)  # large ones first: small ones are left to land
         rng = np.random.default_rng([seed, int(pdf["dice"].iloc[0]) & 0xFFFFFFFF, len(pdf)])
         p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy().astype(float)
         p = flight(p, size, rng)

@@ -2,9 +2,11 @@
 
 A window is `span` consecutive units (bytes or words) of one document. Every window is filed under its anchor, the
 least hash among the `gram`-unit grams inside it, so equal windows always share an anchor while a text has only about
-2 / (span - gram + 2) anchors a unit. Neighbouring windows with one anchor form a run; a run is exchanged as 27 bytes
+2 / (span - gram + 2) anchors a unit. Neighbouring windows with one anchor form a run; a run is exchanged as 31 bytes
 (anchor, hash of the run's content, document, place), never as text. Runs of equal content are settled by their
 hashes; only anchors with several contents need the windows themselves compared, by the method of the operator.
+A window reaches past its anchor by half the rest at least on one side, so runs that agree with no other in that much
+text before or after the anchor are left out of the comparison.
 
 Order: a document precedes another if its doc_id is smaller. Null ids come last and none of them precedes another;
 rows with the same id do not precede each other, so they never remove one another's text.
@@ -58,7 +60,7 @@ def text_tags(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def window_runs(codes: np.ndarray, off: np.ndarray, w: Windows):
-    """Text, first window, number of windows, anchor and content hash of every run."""
+    """Text, first window, number of windows, anchor, content hash and hashes of the text before and after the anchor (0: too short) of every run."""
     n = len(codes) - w.span + 1
     if n <= 0:
         return None
@@ -75,11 +77,17 @@ def window_runs(codes: np.ndarray, off: np.ndarray, w: Windows):
     s, e, a = p[edge], p[np.append(edge[1:] - 1, len(p) - 1)], a[edge]
     content = textnum.mix(sp.of(s, e + w.span) ^ ((a - s).astype(np.uint64) << np.uint64(32)) ^ (e - s).astype(np.uint64))
     doc = np.searchsorted(off, s, "right") - 1
-    return doc, s - off[doc], (e - s + 1), grams[a], content
+    half = (w.span - w.gram) // 2
+    before, after = np.zeros(len(s), np.uint16), np.zeros(len(s), np.uint16)
+    k = np.flatnonzero(a - s >= half)
+    before[k] = (sp.of(a[k] - half, a[k]) & np.uint64(0x7FFF)) + np.uint64(1)
+    k = np.flatnonzero(e + w.span - a - w.gram >= half)
+    after[k] = (sp.of(a[k] + w.gram, a[k] + w.gram + half) & np.uint64(0x7FFF)) + np.uint64(1)
+    return doc, s - off[doc], (e - s + 1), grams[a], content, before, after
 
 
 def fingerprints(docs: DataFrame, w: Windows, n_buckets: int) -> DataFrame:
-    """Packed runs of all texts, by bucket of their anchors: anchor, content, id, tag, first unit, windows."""
+    """Packed runs of all texts, by bucket of their anchors: anchor, content, id, tag, first unit, windows, text before and after."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +99,10 @@ def fingerprints(docs: DataFrame, w: Windows, n_buckets: int) -> DataFrame:
                 codes, units = w.codes(raw, own)
                 if (r := window_runs(codes, units, w)) is None:
                     continue
-                doc, s, n, g, c = r
+                doc, s, n, g, c, before, after = r
                 tag = tags_of(textnum.Spans(textnum.byte_codes(raw)), own)
-                parts.append((g, c, ids[i:j][doc], tag[doc], s.astype(np.uint32), n.astype(np.uint8)))
-                if sum(len(x[0]) for x in parts) > 1_000_000:
+                parts.append((g, c, ids[i:j][doc], tag[doc], s.astype(np.uint32), n.astype(np.uint8), before, after))
+                if sum(len(x[0]) for x in parts) > 500_000:
                     yield flush(parts)
                     parts = []
             if parts:
@@ -115,18 +123,50 @@ SETTLED = "kind int, bucket int, blob binary"
 COVER, NEED, ENTRY = 0, 1, 2
 
 
-def settle(packed: DataFrame, w: Windows, n_buckets: int) -> DataFrame:
+class ByDocument:
+    """Collects rows of a task and files them by document, so that a task makes a row for each partition, not for each bucket."""
+
+    def __init__(self, kind: int, n: int, most: int = 2_000_000):
+        self.kind, self.n, self.most, self.parts, self.size = kind, n, most, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield as_batch(by_doc(self.kind, self.n, *(np.concatenate(c) for c in zip(*self.parts, strict=True))))
+        self.parts, self.size = [], 0
+
+
+def _shared(g: np.ndarray, context: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rows whose context is that of another content of their anchor."""
+    o = np.lexsort((c, context, g))
+    gs, xs, cs = g[o], context[o], c[o]
+    edge = np.flatnonzero(np.concatenate(([True], (gs[1:] != gs[:-1]) | (xs[1:] != xs[:-1]))))
+    size = np.diff(np.append(edge, len(o)))
+    several = np.repeat(np.minimum.reduceat(cs, edge) != np.maximum.reduceat(cs, edge), size) & (xs > 0)
+    out = np.zeros(len(o), bool)
+    out[o] = several
+    return out
+
+
+def settle(packed: DataFrame, w: Windows) -> DataFrame:
     """Decide by hashes what can be decided so. packed: bucket, fresh (false: entry of the index), blob."""
+    n_docs = common.partitions(packed.sparkSession)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covers, needs = ByDocument(COVER, n_docs), ByDocument(NEED, n_docs)
         for b, t in common.grouped(batches):
             fresh_rows = t.column("fresh").to_numpy()
             blobs = t.column("blob").to_pylist()
             parts = [common.unpack(x) for x in blobs]
             fresh = np.repeat(fresh_rows, [len(x[0]) for x in parts])
-            g, c, doc, tag, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            g, c, doc, tag, s, n, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
             o = np.lexsort((fresh, doc, c, g))
-            g, c, doc, tag, s, n, fresh = g[o], c[o], doc[o], tag[o], s[o], n[o], fresh[o]
+            g, c, doc, tag, s, n, before, after, fresh = (x[o] for x in (g, c, doc, tag, s, n, before, after, fresh))
             by_g = np.ones(len(g), bool)
             by_g[1:] = g[1:] != g[:-1]
             by_c = by_g.copy()
@@ -141,15 +181,17 @@ def settle(packed: DataFrame, w: Windows, n_buckets: int) -> DataFrame:
             cover = fresh & (doc > least)
             need = (doc == least) & (classes > 1) & (lo < hi) & moving
             entry = fresh & new_class & (doc == least)
-            rows = []
+            at = np.flatnonzero(need)
+            if len(at):
+                need[at] = _shared(g[at], before[at], c[at]) | _shared(g[at], after[at], c[at])
             if cover.any():
-                rows += by_doc(COVER, n_buckets, doc[cover], tag[cover], s[cover], s[cover] + n[cover].astype(np.uint32) + np.uint32(w.span - 1))
+                yield from covers.add(doc[cover], tag[cover], s[cover], s[cover] + n[cover].astype(np.uint32) + np.uint32(w.span - 1))
             if need.any():
-                rows += by_doc(NEED, n_buckets, doc[need], tag[need], s[need], n[need], g[need].astype(np.uint64) | (np.uint64(b) << np.uint64(32)))
+                yield from needs.add(doc[need], tag[need], s[need], n[need], g[need].astype(np.uint64) | (np.uint64(b) << np.uint64(32)))
             if entry.any():
-                rows.append((ENTRY, int(b), common.pack(g[entry], c[entry], doc[entry], tag[entry], s[entry], n[entry])))
-            if rows:
-                yield as_batch(rows)
+                yield as_batch([(ENTRY, int(b), common.pack(*(x[entry] for x in (g, c, doc, tag, s, n, before, after))))])
+        yield from covers.flush()
+        yield from needs.flush()
 
     return common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "fresh", "blob").mapInArrow(reduce, SETTLED)
 
@@ -207,13 +249,14 @@ def in_bloom(bits: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return hit
 
 
-def attach(spark: SparkSession, docs: DataFrame, packed: DataFrame, bits: bytes, n_buckets: int, use: Callable, schema: str) -> DataFrame:
+def attach(spark: SparkSession, docs: DataFrame, packed: DataFrame, bits: bytes, use: Callable, schema: str) -> DataFrame:
     """Bring each document of packed rows together with its rows.
 
     packed: bucket, blob (id, tag, ...). use(ids, tags, (buf, off), columns of the bucket sorted by id and tag) returns
     a record batch for some of the documents. Texts that the filter rules out aren't exchanged.
     """
     sent = spark.sparkContext.broadcast(bits)
+    n_buckets = common.partitions(spark)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(sent.value, np.uint8)
@@ -297,24 +340,27 @@ def contents(spark: SparkSession, docs: DataFrame, need: DataFrame, bits: bytes,
             out.append((bucket, common.pack(g[r], d[r], t[r], s[r], size[r], np.concatenate([raw[ends[i] - size[i] : ends[i]] for i in r]))))
         return pa.record_batch([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
-    return attach(spark, docs, need, bits, n_buckets, use, PACKED)
+    return attach(spark, docs, need, bits, use, PACKED)
 
 
-def compare(packed: DataFrame, method: Callable, n_buckets: int) -> DataFrame:
+def compare(packed: DataFrame, method: Callable) -> DataFrame:
     """Compare the windows of each bucket by method(groups, ids, sizes, bytes) -> (run, first window, end window) that an earlier document has, and file them by document."""
 
+    n_docs = common.partitions(packed.sparkSession)
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covers = ByDocument(COVER, n_docs)
         for _, t in common.grouped(batches):
             g, d, tag, s, size, raw = common.concat_packed(t.column("blob").to_pylist())
             run, lo, hi = method(g, d, size, raw)
             if len(run):
-                rows = by_doc(COVER, n_buckets, d[run], tag[run], (s[run] + lo).astype(np.uint32), (s[run] + hi).astype(np.uint32))
-                yield as_batch(rows)
+                yield from covers.add(d[run], tag[run], (s[run] + lo).astype(np.uint32), (s[run] + hi).astype(np.uint32))
+        yield from covers.flush()
 
     return common.by_bucket(packed).sortWithinPartitions("bucket").mapInArrow(reduce, SETTLED)
 
 
-def finish(spark: SparkSession, docs: DataFrame, cover: DataFrame, n_buckets: int, one: Callable, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
+def finish(spark: SparkSession, docs: DataFrame, cover: DataFrame, one: Callable, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
     """A row for each document: one(text bytes, starts, ends of merged spans) where it has spans, without exchange where it has none."""
     bits = bloom(cover)
     sent = spark.sparkContext.broadcast(bits)
@@ -345,6 +391,6 @@ def finish(spark: SparkSession, docs: DataFrame, cover: DataFrame, n_buckets: in
         return use(column, ids, tags, buf, off, columns) if len(ids) else None
 
     empty = common.pack(np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.uint32), np.empty(0, np.uint32))
-    fill = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(bytearray(empty)).alias("blob"))  # so that every bucket has columns
-    touched = attach(spark, docs, cover.select("bucket", "blob").unionByName(fill), bits, n_buckets, every, schema)
+    fill = spark.range(common.partitions(spark)).select(F.col("id").cast("int").alias("bucket"), F.lit(bytearray(empty)).alias("blob"))  # so that every bucket has columns
+    touched = attach(spark, docs, cover.select("bucket", "blob").unionByName(fill), bits, every, schema)
     return docs.select("doc_id", "text").mapInArrow(untouched, schema).unionByName(touched)

@@ -36,7 +36,7 @@ class FingerprintIndex:
         packed = repeats.fingerprints(docs, self.rule, self.n_buckets).withColumn("fresh", F.lit(True))
         if self.runs:
             packed = packed.unionByName(self.entries().select("bucket", "blob").withColumn("fresh", F.lit(False)))
-        path = self.scratch.write(repeats.settle(packed, self.rule, self.n_buckets), "run")
+        path = self.scratch.write(repeats.settle(packed, self.rule), "run")
         self.runs.append(path)
         out = self.spark.read.schema(repeats.SETTLED).parquet(path).where(F.col("kind") != repeats.ENTRY)
         if len(self.runs) > self.max_runs:
@@ -110,10 +110,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, rule: repeats.Windows =
         settled = out if settled is None else settled.unionByName(out)
     n = index.n_buckets
     need = settled.where(F.col("kind") == repeats.NEED)
-    verified = scratch.keep(repeats.compare(repeats.contents(spark, docs, need, repeats.bloom(need), rule, n), same_windows(rule.span), n), "verified")
+    verified = scratch.keep(repeats.compare(repeats.contents(spark, docs, need, repeats.bloom(need), rule, n), same_windows(rule.span)), "verified")
     cover = settled.where(F.col("kind") == repeats.COVER).unionByName(verified)
     names, types = ["doc_id", "n_words", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.string()]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         names, types, schema = [*names, "kept"], [*types, pa.string()], schema + ", kept string"
-    return repeats.finish(spark, docs, cover, n, lambda data, lo, hi: _row(data, lo, hi, with_text), schema, names, types)
+    return repeats.finish(spark, docs, cover, lambda data, lo, hi: _row(data, lo, hi, with_text), schema, names, types)
