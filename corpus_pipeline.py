@@ -1,17 +1,61 @@
-"""A training-corpus pipeline made of the operators of tessera.llm."""
+"""A training-corpus pipeline made of the operators of tessera.llm.
+
+Each stage takes what the one before kept and calls one operator with its production parameters. All but the last
+return the columns of their input; the last adds the shard.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tessera.llm import common, cube_mix, decontam, jaccard_rtree, sharding, toxicity
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(spark, docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: none, once or up to twice."""
+    return cube_mix.apply_mix(docs)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.place(docs, fallback="text")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", place_in_shards),
+]
+
+#: The classifier of the first stage and the sampling of the fourth can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    base = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(path := f"{base}/{k}")
+            docs = spark.read.parquet(path)
     return docs

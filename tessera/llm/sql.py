@@ -33,12 +33,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN a USING (doc_id)
 """
 
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_GROUP = " || ".join(f"substr('{_DIGITS}', 1 + ((CAST('0x' || substr(sha, {5 * g + 1}, 5) AS BIGINT) >> {s}) & 31), 1)" for g in range(8) for s in (15, 10, 5, 0))
+OP1 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
+g AS (SELECT sha, octet_length(b) AS n, max(page_id) AS r FROM p GROUP BY ALL)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, {_GROUP} AS payload_digest,
+       CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> r THEN r END AS refers_to
+FROM p JOIN g USING (sha)
+"""
+
 OP4 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 5], ' ') AS g FROM d, unnest(range(0, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS u(p)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(i, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e2.b, r.c FROM r JOIN e2 ON e2.a = r.i)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
@@ -76,4 +86,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": OP4, "op5_decontamination": OP5, "op6_quality_rules": OP6, "op9_substring_dedup": OP9}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op4_jaccard_join": OP4, "op5_decontamination": OP5, "op6_quality_rules": OP6, "op9_substring_dedup": OP9}
