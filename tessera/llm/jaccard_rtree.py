@@ -26,7 +26,8 @@ from . import common, repeats, textnum
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-GROUPS = 32
+#: Random sets of up to about 7,000 shingles differ by more than the threshold allows over this many groups.
+GROUPS = 256
 FAN = 8
 #: Counters of the sketch that orders shingles: 4 MB a task when made, 1 MB when sent.
 SKETCH = 1 << 20
@@ -143,7 +144,9 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
                 doc, x = doc[own], x[own]
                 if not len(x):
                     continue
-                v = np.bincount(doc * GROUPS + (x >> np.uint64(59)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
+                v = np.bincount(doc * GROUPS + (x >> np.uint64(56)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
+                v[v.max(1) > 65535] = 65535  # bounds nothing, which is safe
+                v = v.astype(np.uint16)
                 points += [(int(key[d]), v[d].tobytes()) for d in np.flatnonzero(fresh)]
                 o = np.lexsort((x, level[_bin(x)], doc))
                 doc, x = doc[o], x[o]
@@ -219,8 +222,8 @@ class Forest:
         _, high, lo, hi, _, label = self.levels[level]
         ok = ((label[a] != label[b]) | (label[a] < 0)) & (100 * hi[a] >= percent * lo[b]) & (100 * hi[b] >= percent * lo[a])
         at = np.flatnonzero(ok)
-        for i in range(0, len(at), 1 << 16):
-            r = at[i : i + (1 << 16)]
+        for i in range(0, len(at), 1 << 13):
+            r = at[i : i + (1 << 13)]
             bound = np.minimum(high[a[r]], high[b[r]]).sum(1, dtype=np.int64)
             ok[r] = (100 + percent) * bound >= percent * (lo[a[r]] + lo[b[r]])
         return ok
@@ -284,7 +287,7 @@ def candidates(members: DataFrame, percent: int, every: bool) -> DataFrame:
         if not len(t):
             return
         cell, k, n, label = (t.column(c).to_numpy() for c in ("cell", "k", "n", "label"))
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint32).reshape(len(t), GROUPS)
+        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(t), GROUPS)
         names = np.unique(label, return_inverse=True)[1]
         forest = Forest(cell, points, n, names)
         if every:
@@ -303,7 +306,9 @@ def candidates(members: DataFrame, percent: int, every: bool) -> DataFrame:
 
 
 def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked. A set meets its partners in up to 64 places, so a class with many partners is dealt out."""
+    """The pairs (a, b) whose sets are linked. Texts are exchanged, as they compress; a class meets its partners in
+    up to 64 places, so one with many partners is dealt out.
+    """
     slot = F.pmod(F.xxhash64("b"), F.lit(_SUBS))
     pairs = pairs.withColumn("place", F.xxhash64("a", slot))
     sets = pairs.select(F.col("a").alias("k"), "place").unionByName(pairs.select(F.col("b").alias("k"), "place")).distinct()
@@ -323,12 +328,11 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
     def use(_, ids, tags, buf, off, columns):
         out = []
         done: set[tuple[int, int]] = set()
-        doc, x = shingle_sets(buf, off, width)
-        edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+        text = buf.tobytes()
         for i, (lo, hi) in enumerate(repeats.rows_of(columns, ids, tags)):
             if lo == hi:
                 continue
-            data = x[edge[i] : edge[i + 1]].tobytes()
+            data = text[off[i] : off[i + 1]]
             for k, place in zip(columns[2][lo:hi].tolist(), columns[3][lo:hi].tolist(), strict=True):
                 if (k, place) not in done:
                     done.add((k, place))
@@ -336,21 +340,27 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
         if not out:
             return None
         p, k, s = zip(*out, strict=True)
-        return pa.record_batch([pa.array(p, pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(s, pa.binary())], ["place", "a", "b", "shingles"])
+        return pa.record_batch([pa.array(p, pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(s, pa.binary())], ["place", "a", "b", "text"])
 
-    schema = "place long, a long, b long, shingles binary"
+    schema = "place long, a long, b long, text binary"
     held = repeats.attach(spark, docs, packed, repeats.bloom(packed), use, schema)
-    rows = held.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    rows = held.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("binary").alias("text")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, {}
         for batch in batches:
             a_out, b_out = [], []
-            for place, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("place", "a", "b")), batch.column("shingles"), strict=True):
+            found: list[np.ndarray] = []
+            buf, off = textnum.texts(batch.column("text"))
+            for i, j in textnum.slices(off):
+                doc, x = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                edge = np.searchsorted(doc, np.arange(j - i + 1))
+                found += [x[lo:hi].copy() for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+            for i, (place, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "a", "b")), strict=True)):
                 if place != now:
                     now, sets = place, {}
                 if b is None:
-                    sets[a] = np.frombuffer(s.as_buffer(), np.uint64)
+                    sets[a] = found[i]
                     continue
                 x, y = sets[a], sets[b]
                 if len(x) < len(y):
