@@ -290,7 +290,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every row with score (0 to 1) and predicted."""
+    """The kept columns of every row with __score (0 to 1) and __predicted (0 or 1)."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     names = list(keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
@@ -301,9 +301,9 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, keep: t
             buf, off = textnum.texts(batch.column(len(names)))
             parts = [sent.value.score(buf[off[i] : off[j]], off[i : j + 1] - off[i], memo) for i, j in textnum.slices(off)]
             p = np.concatenate(parts) if parts else np.empty(0)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "__score", "__predicted"])
 
-    out = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:-1]), "score double", "predicted int"])
+    out = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:-1]), "__score double", "__predicted int"])
     return rows.mapInArrow(scan, out)
 
 
@@ -315,10 +315,10 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = score(rows, learn(spark, rows, labels, most_labels))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
     """The rows of docs that aren't judged toxic, with all their columns."""
     scored = score(docs, learn(spark, docs, labels, most_labels), keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.where("__predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
