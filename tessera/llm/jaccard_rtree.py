@@ -8,9 +8,11 @@ puts shingles that are frequent in the corpus last, by a counting sketch of fixe
 stay small. Trees are joined with themselves node by node; pairs of boxes whose bound is below the threshold are
 left, and the surviving pairs are verified on the sets themselves.
 
-Only components are asked for, so pairs within a component already known aren't looked for: a first round queries
-each tree with two of its points, its links are joined to components, and in the second round node pairs that lie in
-one component are left as well. Equal sets are one class from the start. No pair between components is ever dropped.
+Only components are asked for, so pairs within a component already known aren't looked for. Equal sets are one class
+from the start. The first round takes of each set the two shingles that come first and queries the trees of these with
+two of their points; its links are joined to components. The second queries the trees that hold several components in
+the same way. In the last round these trees are joined whole, but for node pairs that lie in one component. No pair
+between components is ever dropped.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from . import common, repeats, textnum
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Random sets of up to about 7,000 shingles differ by more than the threshold allows over this many groups.
-GROUPS = 256
+#: Random sets of up to some 25,000 shingles differ by more than the threshold allows over this many groups.
+GROUPS = 1024
+#: A count that is this or more; a point with one is set to it throughout and bounds nothing.
+FULL = 255
+#: Shingles of a prefix that lead: the first round looks at their cells only.
+LEAD = 2
 FAN = 8
 #: Counters of the sketch that orders shingles: 4 MB a task when made, 1 MB when sent.
 SKETCH = 1 << 20
@@ -125,7 +131,7 @@ def levels(scanned: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, percent: int) -> DataFrame:
-    """kind 0: prefix shingles by bucket (shingle, k, n), each class once a batch; kind 1: points of classes (k, counts)."""
+    """kind 0: prefix shingles by bucket (shingle, k, n, whether it leads), each class once a batch; kind 1: points of classes (k, counts)."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,21 +150,22 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
                 doc, x = doc[own], x[own]
                 if not len(x):
                     continue
-                v = np.bincount(doc * GROUPS + (x >> np.uint64(56)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
-                v[v.max(1) > 65535] = 65535  # bounds nothing, which is safe
-                v = v.astype(np.uint16)
+                v = np.bincount(doc * GROUPS + (x >> np.uint64(54)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
+                v[v.max(1) >= FULL] = FULL
+                v = v.astype(np.uint8)
                 points += [(int(key[d]), v[d].tobytes()) for d in np.flatnonzero(fresh)]
                 o = np.lexsort((x, level[_bin(x)], doc))
                 doc, x = doc[o], x[o]
                 first = np.searchsorted(doc, doc)
-                keep = np.arange(len(x)) - first < (n - needed(n, percent) + 1)[doc]
-                doc, x = doc[keep], x[keep]
-                parts.append((x, key[doc], n[doc].astype(np.uint32)))
+                rank = np.arange(len(x)) - first
+                keep = rank < (n - needed(n, percent) + 1)[doc]
+                doc, x, rank = doc[keep], x[keep], rank[keep]
+                parts.append((x, key[doc], n[doc].astype(np.uint32), (rank < LEAD).astype(np.uint8)))
             if points:
                 m = len(points)
                 yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([k for k, _ in points], pa.int64()), pa.array([b for _, b in points], pa.binary())], ["kind", "bucket", "k", "blob"])
-                x, k, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-                rows = [(b, common.pack((x[r] >> np.uint64(8)).astype(np.uint32), k[r], n[r])) for b, r in common.split_rows(((x >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+                x, k, n, lead = (np.concatenate(c) for c in zip(*parts, strict=True))
+                rows = [(b, common.pack((x[r] >> np.uint64(8)).astype(np.uint32), k[r], n[r], lead[r])) for b, r in common.split_rows(((x >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
                 m = len(rows)
                 yield pa.record_batch([pa.array([0] * m, pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["kind", "bucket", "k", "blob"])
 
@@ -166,31 +173,32 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
 
 
 def cells(packed: DataFrame) -> DataFrame:
-    """cell, k: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list)."""
+    """cell, k, lead: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list)."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in common.grouped(batches):
-            x, k, n = common.concat_packed(t.column("blob").to_pylist())
+            x, k, n, lead = common.concat_packed(t.column("blob").to_pylist())
             o = np.lexsort((k, n, x))
-            x, k, n = x[o], k[o], n[o]
+            x, k, n, lead = x[o], k[o], n[o], lead[o]
             new = np.ones(len(x), bool)
             new[1:] = (x[1:] != x[:-1]) | (k[1:] != k[:-1])
-            x, k, n = x[new], k[new], n[new]
+            x, k, n, lead = x[new], k[new], n[new], lead[new]
             # a cell ends where the next larger set is too large to be linked with the one before it
             edge = np.ones(len(x), bool)
             edge[1:] = (x[1:] != x[:-1]) | (needed(n[1:].astype(np.int64)) > n[:-1])
             start = np.flatnonzero(edge)
             size = np.diff(np.append(start, len(x)))
-            cell = np.add.reduceat(textnum.mix(k.view(np.uint64)), start) + size.astype(np.uint64)
-            use = (size > 1) & (np.bincount(np.unique(cell, return_inverse=True)[1], minlength=1) > 0)[np.unique(cell, return_inverse=True)[1]]
-            first = np.zeros(len(cell), bool)
-            first[np.unique(cell, return_index=True)[1]] = True
-            use &= first
-            row = np.repeat(use, size)
-            if row.any():
-                yield pa.record_batch([pa.array(np.repeat(cell, size)[row].view(np.int64)), pa.array(k[row])], ["cell", "k"])
+            cell = textnum.mix(np.add.reduceat(textnum.mix(k.view(np.uint64)), start) + size.astype(np.uint64))
+            row = np.repeat(size > 1, size)
+            cell, k, lead = np.repeat(cell, size)[row], k[row], lead[row]
+            if len(k):
+                o = np.lexsort((k, cell))
+                cell, k, lead = cell[o], k[o], lead[o]
+                at = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (k[1:] != k[:-1]))))
+                yield pa.record_batch([pa.array(cell[at].view(np.int64)), pa.array(k[at]), pa.array(np.maximum.reduceat(lead, at) > 0)], ["cell", "k", "lead"])
 
-    return common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(reduce, "cell long, k long").dropDuplicates(["cell", "k"])
+    found = common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(reduce, "cell long, k long, lead boolean")
+    return found.groupBy("cell", "k").agg(F.max("lead").alias("lead"))
 
 
 class Forest:
@@ -224,8 +232,9 @@ class Forest:
         at = np.flatnonzero(ok)
         for i in range(0, len(at), 1 << 13):
             r = at[i : i + (1 << 13)]
-            bound = np.minimum(high[a[r]], high[b[r]]).sum(1, dtype=np.int64)
-            ok[r] = (100 + percent) * bound >= percent * (lo[a[r]] + lo[b[r]])
+            low = np.minimum(high[a[r]], high[b[r]])
+            bound = low.sum(1, dtype=np.int64)
+            ok[r] = ((100 + percent) * bound >= percent * (lo[a[r]] + lo[b[r]])) | (bound == FULL * low.shape[1])
         return ok
 
     def join(self, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,46 +272,68 @@ class Forest:
         return a[ok], b[ok]
 
 
-def candidates(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """a, b: pairs of classes to verify. members: cell, k, n, label, point. every: all pairs; else the pairs of two points a cell."""
+def candidates(members: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
+    """a, b: pairs of classes to verify. members: cell, k, n, label; points: k, point. every: all pairs; else those of two points a cell.
+
+    A partition gets the point of a class once, however many of its cells hold the class.
+    """
+    parts = common.partitions(members.sparkSession)
+    members = members.withColumn("p", F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int"))
+    sent = members.select("p", "k").distinct().join(points, "k")
+    none = lambda t: F.lit(None).cast(t)
+    rows = members.select("p", "cell", "k", "n", "label", none("binary").alias("point")).unionByName(sent.select("p", none("long").alias("cell"), "k", none("long").alias("n"), none("long").alias("label"), "point"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, blobs, place = [], [], None
         held: list[pa.RecordBatch] = []
         size = 0
+        found: list[np.ndarray] = []
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
+            m = batch.column("cell").null_count  # the points come first
+            if m:
+                keys.append(batch.column("k").slice(0, m).to_numpy())
+                blobs.append(np.frombuffer(b"".join(batch.column("point").slice(0, m).to_pylist()), np.uint8).reshape(m, GROUPS))
+            if m == len(batch):
+                continue
+            if place is None:
+                ids = np.concatenate(keys)
+                order = np.argsort(ids)
+                place = (ids[order], np.concatenate(blobs)[order])
+            held.append(batch.slice(m))
+            size += len(batch) - m
             if size >= 50_000:
                 t = pa.Table.from_batches(held)
                 cell = t.column("cell").to_numpy()
                 cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
                 if cut:
-                    yield from work(t.slice(0, cut))
+                    found += work(t.slice(0, cut), *place)
                     held = t.slice(cut).to_batches()
                     size = sum(len(x) for x in held)
+            if sum(map(len, found)) > 500_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > 400_000:
+                    yield out(found.pop())
         if held:
-            yield from work(pa.Table.from_batches(held))
+            found += work(pa.Table.from_batches(held), *place)
+        if found:
+            yield out(np.unique(np.concatenate(found), axis=0))
 
-    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not len(t):
-            return
+    def out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+    def work(t: pa.Table, ids: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
         cell, k, n, label = (t.column(c).to_numpy() for c in ("cell", "k", "n", "label"))
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(t), GROUPS)
-        names = np.unique(label, return_inverse=True)[1]
-        forest = Forest(cell, points, n, names)
+        forest = Forest(cell, points[np.searchsorted(ids, k)], n, np.unique(label, return_inverse=True)[1])
         if every:
-            found = forest.join(percent)
+            pairs = forest.join(percent)
         else:
             edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             o = np.lexsort((k, cell))
-            found = iter([forest.probe(o[edge], percent), forest.probe(o[np.append(edge[1:], len(cell)) - 1], percent)])
-        for a, b in found:
-            if len(a):
-                pair = np.unique(np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], 1), axis=0)
-                yield pa.record_batch([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
+            pairs = iter([forest.probe(o[edge], percent), forest.probe(o[np.append(edge[1:], len(cell)) - 1], percent)])
+        return [np.unique(np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], 1), axis=0) for a, b in pairs if len(a)]
 
-    dealt = members.repartition(common.partitions(members.sparkSession), "cell").sortWithinPartitions("cell", "label", "n", "k")
-    return dealt.mapInArrow(reduce, "a long, b long").distinct()
+    dealt = rows.repartitionById(parts, F.col("p")).sortWithinPartitions(F.col("cell").isNotNull(), "cell", "label", "n", "k")
+    return dealt.select("cell", "k", "n", "label", "point").mapInArrow(reduce, "a long, b long").distinct()
 
 
 def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -395,20 +426,21 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     level = levels(scanned)
     nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "n"), "classes")
     packed = scratch.keep(prefixes(docs, level, n_buckets, width, percent), "prefixes")
-    points = packed.where("kind = 1").select("k", F.col("blob").alias("point")).dropDuplicates(["k"])
-    found = scratch.keep(cells(packed.where("kind = 0")), "cells")
-    members = found.join(nodes.select("k", "n"), "k").join(points, "k").withColumn("label", F.col("k"))
-    members = scratch.keep(members.select("cell", "k", "n", "label", "point"), "members")
+    points = scratch.keep(packed.where("kind = 1").select("k", F.col("blob").alias("point")).dropDuplicates(["k"]), "points")
+    members = scratch.keep(cells(packed.where("kind = 0")).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "lead"), "members")
     scratch.drop_table(packed)
-    first = scratch.keep(verify(spark, docs, scratch.keep(candidates(members, percent, every=False), "pairs"), nodes, width, percent), "links")
-    known = components(first, scratch)
-    named = members.drop("label").join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    mixed = named.groupBy("cell").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("cell")
-    named = named.join(mixed, "cell", "left_semi").select("cell", "k", "n", "label", "point")
-    pairs = scratch.keep(candidates(named, percent, every=True), "pairs")
-    more = verify(spark, docs, pairs, nodes, width, percent)
-    links = first.unionByName(more)
-    known = components(scratch.keep(links, "links"), scratch)
+    links, known = None, None
+    for turn in ("lead", "star", "all"):
+        if known is None:
+            own = members.where("lead").withColumn("label", F.col("k"))
+        else:
+            own = members.join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+            mixed = own.groupBy("cell").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("cell")
+            own = own.join(mixed, "cell", "left_semi")
+        pairs = scratch.keep(candidates(own.select("cell", "k", "n", "label"), points, percent, turn == "all"), "pairs")
+        found = scratch.keep(verify(spark, docs, pairs, nodes, width, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        known = components(links, scratch)
     named = nodes.join(known, "k", "left").withColumn("l", F.coalesce("l", "k"))
     least = named.groupBy("l").agg(F.min("id").alias("component_id"))
     named = scratch.keep(named.join(least, "l").select("k", "component_id"), "components")

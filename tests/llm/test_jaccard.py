@@ -51,9 +51,9 @@ def test_forest_finds_all_pairs_within_the_bound():
     rng = np.random.default_rng(3)
     n = 300
     cell = np.sort(rng.integers(0, 6, n)).astype(np.int64)
-    points = rng.integers(0, 4, (n, jaccard_rtree.GROUPS)).astype(np.uint16)
+    points = rng.integers(0, 4, (n, jaccard_rtree.GROUPS)).astype(np.uint8)
     points[1::2] = points[::2]
-    points[1::2, :3] += rng.integers(0, 3, (n // 2, 3)).astype(np.uint16)
+    points[1::2, :3] += rng.integers(0, 3, (n // 2, 3)).astype(np.uint8)
     size = points.sum(1).astype(np.int64)
     label = rng.integers(0, 50, n)
     forest = jaccard_rtree.Forest(cell, points, size, label)
