@@ -200,7 +200,7 @@ def fill_enclosed(mask: np.ndarray, kernel: int = 3, least: int = 50) -> np.ndar
 
 
 def expand_labels(labels: np.ndarray, distance: float) -> np.ndarray:
-    """Labels grown by a Euclidean distance, each pixel to its nearest label."""
+    """Labels grown by a Euclidean distance, each pixel to its nearest label, the lower of equally near ones."""
     if distance <= 0 or not labels.any():
         return labels
     r = int(math.floor(distance))
@@ -210,9 +210,10 @@ def expand_labels(labels: np.ndarray, distance: float) -> np.ndarray:
     for dy, dx in sorted(_shifts(np.hypot(*np.mgrid[-r : r + 1, -r : r + 1]) <= distance).tolist(), key=lambda s: (s[0] ** 2 + s[1] ** 2, s)):
         src = labels[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)]
         to = (slice(max(0, dy), h + min(0, dy)), slice(max(0, dx), w + min(0, dx)))
-        near = (src > 0) & (dy * dy + dx * dx < best[to])
+        d2 = dy * dy + dx * dx
+        near = (src > 0) & ((d2 < best[to]) | ((d2 == best[to]) & (src < out[to])))
         out[to] = np.where(near, src, out[to])
-        best[to] = np.where(near, dy * dy + dx * dx, best[to])
+        best[to] = np.where(near, d2, best[to])
     return out
 
 
