@@ -31,7 +31,7 @@ class Rule:
 RULES = (
     Rule("mean word length", "word_chars", "n_words", 200, 1500),
     Rule("symbols to words", "n_symbols", "n_words", None, 10),
-    Rule("repeated lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("repeated lines", "n_dup_lines", "n_lines", None, 50),
     Rule("distinct stop words", "n_stop_words", "one", 200, None),
 )
 MIN_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30

@@ -82,7 +82,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
       CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(list_intersect(w, [{STOPS}])) AS stops FROM a LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words
-       AND 100 * n_symbols <= 10 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND stops >= 2 AS kept
+       AND 100 * n_symbols <= 10 * n_words AND 100 * n_dup_lines <= 50 * n_lines AND stops >= 2 AS kept
 FROM m
 """
 
