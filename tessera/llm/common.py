@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,8 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ready
+
 #: The largest data, in bytes, that an operator sends to every task at once.
 MOST_BROADCAST = 16 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches, so that a batch of long texts and what is made of it fit a Python worker; workers find the package."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(-?\d+)[bB]?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+    return ready(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -93,6 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     different numbers of copies; reruns agree. An empty table gives no rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
+    common.tuned(spark)
     scratch = common.Scratch(spark, "mix")
     text = F.coalesce(F.col("text"), F.lit(""))
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"))

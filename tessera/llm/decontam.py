@@ -170,6 +170,7 @@ def find(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCAS
     row is monotonically_increasing_id() of docs. Null and empty texts have no words and no hits; items without words
     match nothing; items of one id count once, those of a null id count for words only. Repeated rows each get a row.
     """
+    common.tuned(docs.sparkSession)
     passes = [_hits(docs, Index(ids, column)) for ids, column in blocks(benchmark, most)]
     if len(passes) == 1:
         wrap = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<binary>")).otherwise(F.array(c)).alias(c)
@@ -184,6 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCAS
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCAST) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
+    common.tuned(docs.sparkSession)
     passes = [Index(ids, column) for ids, column in blocks(benchmark, most)]
     sent = docs.sparkSession.sparkContext.broadcast(passes)
     at = docs.columns.index("text")

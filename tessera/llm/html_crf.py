@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|select|head|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
@@ -343,7 +345,7 @@ def extract(pages: DataFrame, field: Field | None = None, with_blocks: bool = Fa
     Null and empty pages have an empty text. Text outside tags is a block. Equal rows get equal texts. Other columns
     are ignored.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(field or default_field())
+    sent = common.tuned(pages.sparkSession).sparkContext.broadcast(field or default_field())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -417,7 +417,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     linked with nothing, their component is their own id. Equal sets are linked. Rows of one id are rows of their own;
     a null id stands behind all others, and a component of null ids only has the id null. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = common.tuned(docs.sparkSession)
     scratch = common.Scratch(spark, "rtree")
     n_buckets = common.buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -454,6 +454,7 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     Rows without shingles are components of their own; repeated ones of one id are kept once.
     """
     joined = join(docs, width, percent)
-    firsts = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+    firsts = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    firsts = common.Scratch(docs.sparkSession, "firsts").keep(firsts, "firsts")
+    own = docs.join(firsts.drop("__n"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return own if firsts.where("__n > 1").isEmpty() else own.dropDuplicates(["doc_id"])

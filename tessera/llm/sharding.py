@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +65,8 @@ def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, si
 
     Repeated rows and equal keys share a shard. Null keys go by the fallback column, if there is one, else to one shard.
     """
-    spark = df.sparkSession
-    rows = spark.createDataFrame(list(enumerate(lookup_table(shards, size, weights))), "`__slot` int, `__place` int")
-    names = spark.createDataFrame(list(enumerate(shards)), f"`__place` int, `{into}` string")
-    table = F.broadcast(rows.join(F.broadcast(names), "__place").select("__slot", into))
+    rows = pa.table({"__slot": pa.array(range(size), pa.int32()), into: pa.array([shards[k] for k in lookup_table(shards, size, weights)])})
+    table = F.broadcast(df.sparkSession.createDataFrame(rows))
     df = df.drop(into)
     at = slot(F.col(f"`{key}`"), size, F.col(f"`{fallback}`") if fallback else None).cast("int")
     return df.withColumn("__slot", at).join(table, "__slot").select(*[F.col(f"`{c}`") for c in df.columns], into)

@@ -97,6 +97,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, rule: repeats.Windows =
     texts and those of fewer than `span` words keep everything (0 words: the digest of nothing). Repeated rows don't
     remove each other; null ids come last. Other columns of docs are ignored.
     """
+    common.tuned(spark)
     scratch = common.Scratch(spark, "lsm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("c")).first().c or []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textnum
+from . import common, textnum
 
 MOST_LABELS = 6000
 MOST_FEATURES = 1500
@@ -267,6 +267,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Scorer:
+    common.tuned(spark)
     model = CharModel.of(char_counts(docs))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))

@@ -153,6 +153,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, base: str, least: int
     largest page_id of a payload are all responses, so are rows of payloads whose page_ids are all null; other rows of
     a null id are revisits. An empty table makes no archive. Other columns are ignored.
     """
+    common.tuned(spark)
     scratch = common.Scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
