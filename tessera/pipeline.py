@@ -50,6 +50,34 @@ def match(cell_pixels: DataFrame, nucleus_pixels: DataFrame, cfg: Config = Confi
     return ihc, dish, pairs, matching.greedy(pairs)
 
 
+def patches(dish: DataFrame, planes: DataFrame, matches: DataFrame, pad: int = 2) -> DataFrame:
+    """The patch of each matched cell (K12 K13): the box of its nuclei in the DISH tile, and which pixels are its own.
+
+    A tile's matches travel with it as one array, bounded by the tile.
+    """
+    own = matches.groupBy(*KEY).agg(F.collect_list(F.struct("cell_id", "dish_id")).alias("pairs"))
+    df = dish.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "height", "width", "data").join(planes.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "labels"), KEY).join(own, KEY)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                rgb = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 3)
+                labels = np.frombuffer(t.labels, np.int32).reshape(t.height, t.width)
+                owner = np.zeros(int(labels.max(initial=0)) + 1, np.int64)
+                for p in t.pairs:
+                    owner[p["dish_id"]] = p["cell_id"]
+                cells, rows = owner[labels], []
+                for c in np.unique(cells[cells > 0]):
+                    y, x = np.nonzero(cells == c)
+                    y0, x0 = max(0, int(y.min()) - pad), max(0, int(x.min()) - pad)
+                    box = (slice(y0, int(y.max()) + pad + 1), slice(x0, int(x.max()) + pad + 1))
+                    part = np.ascontiguousarray(rgb[box])
+                    rows.append((t.tile_x, t.tile_y, int(c), y0, x0, *part.shape[:2], part.tobytes(), (cells[box] == c).astype(np.uint8).tobytes()))
+                yield pd.DataFrame(rows, columns=["tile_x", "tile_y", "cell_id", "y0", "x0", "height", "width", "rgb", "nucleus"])
+
+    return df.mapInPandas(run, "tile_x long, tile_y long, cell_id long, y0 int, x0 int, height int, width int, rgb binary, nucleus binary")
+
+
 def facts(ihc: DataFrame, pairs: DataFrame, matches: DataFrame, candidates: DataFrame, cfg: Config = Config(), out_of_bounds: DataFrame | None = None) -> DataFrame:
     """The cell table: dots merged, counted per cell, and finalized (M3)."""
     found = dots.accepted(candidates, cfg).withColumn("dot_id", F.xxhash64("y", "x", "area"))
@@ -69,3 +97,52 @@ def facts(ihc: DataFrame, pairs: DataFrame, matches: DataFrame, candidates: Data
 def case_cells(tile_cells: DataFrame, tiles: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Tile-local cells to the case's: owned by a core, without ghosts, numbered 1..N."""
     return spatial.renumber(spatial.dedup_ghosts(grid.owned(tile_cells, tiles), cfg.ghost_distance))
+
+
+def tile_cells(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config()) -> DataFrame:
+    """Tile-local facts of paired tiles (M2 M3), off-population cells included. Background tiles end before the matching (P5)."""
+    from .session import checkpointed
+
+    planes = {k: checkpointed(segmented(t, segmenter, cfg)) for k, t in (("ihc", ihc), ("dish", dish))}  # models run once
+    cells, nuclei, pairs, matches = match(label_pixels(planes["ihc"]), label_pixels(planes["dish"]), cfg)
+    matches = checkpointed(matches)
+    found = dots.detect(patches(dish, planes["dish"], matches), cfg)
+    own = facts(cells, pairs, matches, found, cfg)
+    lone = C.off_population(nuclei, matches, own)
+    most = own.groupBy(*KEY).agg(F.max("cell_id").alias("most"))
+    alone = lone.join(most, KEY, "left").select(*KEY, "cell_id", (F.col("cell_id") - F.coalesce("most", F.lit(0))).alias("dish_id"))
+    seen = dots.detect(patches(dish, planes["dish"], alone), cfg)
+    counts = C.dot_counts(dots.accepted(seen, cfg))
+    off = lone.join(counts, [*KEY, "cell_id"], "left").fillna(0, ["her2_dot_count", "cep17_dot_count"])
+    off = C.finalize(off.withColumns({"n_nuclei": F.lit(1), "drop_out": F.lit(False), "out_of_bounds": F.lit(False), "blue_region_count": F.lit(1)}), cfg)
+    return own.unionByName(off)
+
+
+def run(ihc: DataFrame, dish: DataFrame, output: str, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config(), resume: bool = False) -> DataFrame:
+    """A case from two sets of tiles (x, y, height, width, data) to its report and summary below `output`; returns the case's cells.
+
+    With resume, tiles stored under this configuration aren't done again.
+    """
+    from .operators import summary
+    from .schemas import CELLS
+    from .streaming import incremental
+
+    spark = ihc.sparkSession
+    tiles = ihc.select("x", "y").join(dish.select("x", "y"), ["x", "y"], "left_semi")
+    plan = grid.geometry(tiles, cfg.tile_size, cfg.overlap)
+    names = [c.split()[0] for c in CELLS.split(", ")]
+
+    def process(todo: DataFrame) -> DataFrame:
+        pick = lambda t: t.join(todo, ["x", "y"], "left_semi")
+        return tile_cells(pick(ihc), pick(dish), segmenter, cfg).select(*names)
+
+    if resume:
+        local = incremental.resume(spark, tiles, process, f"{output}/tiles", cfg.fingerprint(), CELLS.replace("tile_x long, tile_y long, ", ""))
+    else:
+        local = process(tiles)
+    out = case_cells(local, plan, cfg)
+    out.write.mode("overwrite").parquet(f"{output}/cells")
+    out = spark.read.parquet(f"{output}/cells")
+    summary.write_report(out, f"{output}/report")
+    spark.createDataFrame([(line,) for line in summary.summary_text(out, cfg).split("\n")], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/summary")
+    return out
