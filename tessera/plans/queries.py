@@ -723,3 +723,16 @@ def stream_daily_counts(spark, sf_dir):
     """An extension: counts by event-time window."""
     out = incremental.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(SQL["stream_daily_counts"])
+def stream_event_counts(spark, sf_dir):
+    """The same counts by a stream that runs until its source is used up, each batch replacing the whole (complete mode)."""
+    from ..session import scratch_path
+
+    path = f"{scratch_path(spark)}/counts-{uuid.uuid4().hex[:12]}"
+    events = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(events).schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counts = incremental.windowed_counts(source).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    counts.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).withColumn("start", F.col("start").cast("timestamp_ntz"))
