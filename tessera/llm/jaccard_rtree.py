@@ -9,10 +9,10 @@ stay small. Trees are joined with themselves node by node; pairs of boxes whose
 left, and the surviving pairs are verified on the sets themselves.
 
 Only components are asked for, so pairs within a component already known aren't looked for. Equal sets are one class
-from the start. The first round takes of each set the two shingles that come first and queries the trees of these with
-two of their points; its links are joined to components. The second queries the trees that hold several components in
-the same way. In the last round these trees are joined whole, but for node pairs that lie in one component. No pair
-between components is ever dropped.
+from the start. The first round takes the largest and the smallest cell of each set and queries the trees of these with
+two of their points; its links are joined to components. Then the trees that hold several components are joined whole,
+but for node pairs that lie in one component: first for the pair of the highest bound between two components of a tree,
+which mostly joins them, and in the last round for all pairs between what are still different components.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ SHINGLE, PERCENT = 5, 80
 GROUPS = 1024
 #: A count that is this or more; a point with one is set to it throughout and bounds nothing.
 FULL = 255
-#: Shingles of a prefix that lead: the first round looks at their cells only.
-LEAD = 2
 FAN = 8
 #: Counters of the sketch that orders shingles: 4 MB a task when made, 1 MB when sent.
 SKETCH = 1 << 20
@@ -131,7 +129,7 @@ def levels(scanned: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, percent: int) -> DataFrame:
-    """kind 0: prefix shingles by bucket (shingle, k, n, whether it leads), each class once a batch; kind 1: points of classes (k, counts)."""
+    """kind 0: prefix shingles by bucket (shingle, k, n), each class once a batch; kind 1: points of classes (k, counts)."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +157,13 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
                 first = np.searchsorted(doc, doc)
                 rank = np.arange(len(x)) - first
                 keep = rank < (n - needed(n, percent) + 1)[doc]
-                doc, x, rank = doc[keep], x[keep], rank[keep]
-                parts.append((x, key[doc], n[doc].astype(np.uint32), (rank < LEAD).astype(np.uint8)))
+                doc, x = doc[keep], x[keep]
+                parts.append((x, key[doc], n[doc].astype(np.uint32)))
             if points:
                 m = len(points)
                 yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([k for k, _ in points], pa.int64()), pa.array([b for _, b in points], pa.binary())], ["kind", "bucket", "k", "blob"])
-                x, k, n, lead = (np.concatenate(c) for c in zip(*parts, strict=True))
-                rows = [(b, common.pack((x[r] >> np.uint64(8)).astype(np.uint32), k[r], n[r], lead[r])) for b, r in common.split_rows(((x >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+                x, k, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+                rows = [(b, common.pack((x[r] >> np.uint64(8)).astype(np.uint32), k[r], n[r])) for b, r in common.split_rows(((x >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
                 m = len(rows)
                 yield pa.record_batch([pa.array([0] * m, pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.nulls(m, pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["kind", "bucket", "k", "blob"])
 
@@ -173,16 +171,16 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
 
 
 def cells(packed: DataFrame) -> DataFrame:
-    """cell, k, lead: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list)."""
+    """cell, k, size: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list)."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in common.grouped(batches):
-            x, k, n, lead = common.concat_packed(t.column("blob").to_pylist())
+            x, k, n = common.concat_packed(t.column("blob").to_pylist())
             o = np.lexsort((k, n, x))
-            x, k, n, lead = x[o], k[o], n[o], lead[o]
+            x, k, n = x[o], k[o], n[o]
             new = np.ones(len(x), bool)
             new[1:] = (x[1:] != x[:-1]) | (k[1:] != k[:-1])
-            x, k, n, lead = x[new], k[new], n[new], lead[new]
+            x, k, n = x[new], k[new], n[new]
             # a cell ends where the next larger set is too large to be linked with the one before it
             edge = np.ones(len(x), bool)
             edge[1:] = (x[1:] != x[:-1]) | (needed(n[1:].astype(np.int64)) > n[:-1])
@@ -190,15 +188,15 @@ def cells(packed: DataFrame) -> DataFrame:
             size = np.diff(np.append(start, len(x)))
             cell = textnum.mix(np.add.reduceat(textnum.mix(k.view(np.uint64)), start) + size.astype(np.uint64))
             row = np.repeat(size > 1, size)
-            cell, k, lead = np.repeat(cell, size)[row], k[row], lead[row]
+            cell, k, size = np.repeat(cell, size)[row], k[row], np.repeat(size, size)[row]
             if len(k):
                 o = np.lexsort((k, cell))
-                cell, k, lead = cell[o], k[o], lead[o]
+                cell, k, size = cell[o], k[o], size[o]
                 at = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (k[1:] != k[:-1]))))
-                yield pa.record_batch([pa.array(cell[at].view(np.int64)), pa.array(k[at]), pa.array(np.maximum.reduceat(lead, at) > 0)], ["cell", "k", "lead"])
+                yield pa.record_batch([pa.array(cell[at].view(np.int64)), pa.array(k[at]), pa.array(size[at])], ["cell", "k", "size"])
 
-    found = common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(reduce, "cell long, k long, lead boolean")
-    return found.groupBy("cell", "k").agg(F.max("lead").alias("lead"))
+    found = common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(reduce, "cell long, k long, size long")
+    return found.dropDuplicates(["cell", "k"])
 
 
 class Forest:
@@ -272,8 +270,8 @@ class Forest:
         return a[ok], b[ok]
 
 
-def candidates(members: DataFrame, points: DataFrame, percent: int, every: bool) -> DataFrame:
-    """a, b: pairs of classes to verify. members: cell, k, n, label; points: k, point. every: all pairs; else those of two points a cell.
+def candidates(members: DataFrame, points: DataFrame, percent: int, turn: str) -> DataFrame:
+    """a, b: pairs of classes to verify. members: cell, k, n, label; points: k, point. turn: lead (pairs of two points a cell), best (one pair for two labels of a cell) or all.
 
     A partition gets the point of a class once, however many of its cells hold the class.
     """
@@ -323,15 +321,30 @@ def candidates(members: DataFrame, points: DataFrame, percent: int, every: bool)
 
     def work(t: pa.Table, ids: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
         cell, k, n, label = (t.column(c).to_numpy() for c in ("cell", "k", "n", "label"))
-        forest = Forest(cell, points[np.searchsorted(ids, k)], n, np.unique(label, return_inverse=True)[1])
-        if every:
+        own, names = points[np.searchsorted(ids, k)], np.unique(label, return_inverse=True)[1]
+        forest = Forest(cell, own, n, names)
+        if turn != "lead":
             pairs = forest.join(percent)
+            if turn == "best":
+                pairs = iter([best(pairs, cell, own, n, names)])
         else:
             edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             o = np.lexsort((k, cell))
             pairs = iter([forest.probe(o[edge], percent), forest.probe(o[np.append(edge[1:], len(cell)) - 1], percent)])
         return [np.unique(np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], 1), axis=0) for a, b in pairs if len(a)]
 
+    def best(pairs: Iterator[tuple[np.ndarray, np.ndarray]], cell: np.ndarray, points: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = [np.empty(0, np.int64)] * 3
+        for a, b in pairs:
+            close = np.concatenate([np.minimum(points[a[i : i + 8192]], points[b[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(a), 8192)] or [held[0]])
+            a, b, close = (np.concatenate(x) for x in zip(held, (a, b, close / (n[a] + n[b])), strict=True))
+            x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            o = np.lexsort((-close, y, x, cell[a]))
+            c, x, y = cell[a][o], x[o], y[o]
+            first = np.concatenate(([True], (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(o)]
+            held = [v[o[first]] for v in (a, b, close)]
+        return held[0].astype(np.int64), held[1].astype(np.int64)
+
     dealt = rows.repartitionById(parts, F.col("p")).sortWithinPartitions(F.col("cell").isNotNull(), "cell", "label", "n", "k")
     return dealt.select("cell", "k", "n", "label", "point").mapInArrow(reduce, "a long, b long").distinct()
 
@@ -427,17 +440,19 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "n"), "classes")
     packed = scratch.keep(prefixes(docs, level, n_buckets, width, percent), "prefixes")
     points = scratch.keep(packed.where("kind = 1").select("k", F.col("blob").alias("point")).dropDuplicates(["k"]), "points")
-    members = scratch.keep(cells(packed.where("kind = 0")).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "lead"), "members")
+    members = scratch.keep(cells(packed.where("kind = 0")).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
     scratch.drop_table(packed)
     links, known = None, None
-    for turn in ("lead", "star", "all"):
+    for turn in ("lead", "best", "all"):
         if known is None:
-            own = members.where("lead").withColumn("label", F.col("k"))
+            ends = members.groupBy("k").agg(F.max(F.struct("size", "cell"))["cell"].alias("most"), F.min(F.struct("size", "cell"))["cell"].alias("least"))
+            ends = ends.select("k", F.explode(F.array_distinct(F.array("most", "least"))).alias("cell"))
+            own = members.join(ends, ["k", "cell"]).withColumn("label", F.col("k"))
         else:
             own = members.join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
             mixed = own.groupBy("cell").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("cell")
             own = own.join(mixed, "cell", "left_semi")
-        pairs = scratch.keep(candidates(own.select("cell", "k", "n", "label"), points, percent, turn == "all"), "pairs")
+        pairs = scratch.keep(candidates(own.select("cell", "k", "n", "label"), points, percent, turn), "pairs")
         found = scratch.keep(verify(spark, docs, pairs, nodes, width, percent), "links")
         links = found if links is None else links.unionByName(found)
         known = components(links, scratch)

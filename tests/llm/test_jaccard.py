@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import common, jaccard_rtree
 from tessera.llm.components import components
@@ -81,8 +82,9 @@ def test_empty_table(spark):
     assert jaccard_rtree.keep_first(df).count() == 0
 
 
-def test_components_of_a_path_and_a_star(spark):
-    edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 50)]
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_components_of_a_path_and_a_star(spark, few):
+    edges = [((k * 7) % 31, (k * 7 + 7) % 31) for k in range(30)] + [(149, 100 + k) for k in range(49)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.k: r.l for r in components(df, common.Scratch(spark, "t")).collect()}
+    got = {r.k: r.l for r in components(df, common.Scratch(spark, "t"), few=few).collect()}
     assert got == {k: 0 for k in range(31)} | {100 + k: 100 for k in range(50)}
