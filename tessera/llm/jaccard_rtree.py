@@ -82,7 +82,7 @@ def _slices(batch: pa.RecordBatch, at: int, width: int):
 
 
 def scan_sets(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (id, tag, k, n) and rows of the sketch (part, counts)."""
+    """A row per document (id, tag, h: hash of its text, k, n) and rows of the sketch (part, counts)."""
     part = 1 << 14
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,14 +98,14 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
                 counts += np.bincount(_bin(x), minlength=SKETCH).astype(np.uint32)
             if len(ids):
                 m = len(ids)
-                yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.concatenate(tags).astype(np.int32)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.concatenate(tags).astype(np.int32)), batch.column(2), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         rows = [(p, counts[p * part : (p + 1) * part]) for p in range(SKETCH // part)]
         rows = [(p, c.tobytes()) for p, c in rows if c.any()]
         m = len(rows)
-        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names)
+        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names)
 
-    names = ["doc_id", "id", "tag", "k", "n", "part", "counts"]
-    return docs.mapInArrow(scan, "doc_id long, id long, tag int, k long, n long, part int, counts binary")
+    names = ["doc_id", "id", "tag", "h", "k", "n", "part", "counts"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(scan, "doc_id long, id long, tag int, h long, k long, n long, part int, counts binary")
 
 
 def levels(scanned: DataFrame) -> np.ndarray:
@@ -423,21 +423,16 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs, with k, the key of its set.
-
-    component_id is the smallest doc_id among the rows reachable by links. Null and empty texts have no shingles and are
-    linked with nothing, their component is their own id. Equal sets are linked. Rows of one id are rows of their own;
-    a null id stands behind all others, and a component of null ids only has the id null. Other columns are ignored.
-    """
+def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row per document (doc_id, id, h, k, n), and of each set key k its component l with the component's least id and, under it, least text hash (component_id, first)."""
     spark = common.tuned(docs.sparkSession)
     scratch = common.Scratch(spark, "rtree")
     n_buckets = common.buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = scratch.keep(scan_sets(docs, width), "sets")
-    rows = scanned.where(F.col("part").isNull()).select("doc_id", "id", "tag", "k", "n")
+    rows = scanned.where(F.col("part").isNull()).select("doc_id", "id", "tag", "h", "k", "n")
     level = levels(scanned)
-    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "n"), "classes")
+    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
     packed = scratch.keep(prefixes(docs, level, n_buckets, width, percent), "prefixes")
     points = scratch.keep(packed.where("kind = 1").select("k", F.col("blob").alias("point")).dropDuplicates(["k"]), "points")
     members = scratch.keep(cells(packed.where("kind = 0")).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
@@ -457,19 +452,33 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
         links = found if links is None else links.unionByName(found)
         known = components(links, scratch)
     named = nodes.join(known, "k", "left").withColumn("l", F.coalesce("l", "k"))
-    least = named.groupBy("l").agg(F.min("id").alias("component_id"))
-    named = scratch.keep(named.join(least, "l").select("k", "component_id"), "components")
+    least = named.groupBy("l").agg(F.min(F.struct("id", "h")).alias("r")).select("l", F.col("r.id").alias("component_id"), F.col("r.h").alias("first"))
+    return rows.select("doc_id", "id", "h", "k", "n"), scratch.keep(named.join(least, "l").select("k", "l", "component_id", "first"), "components")
+
+
+def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs, with k, the key of its set.
+
+    component_id is the smallest doc_id among the rows reachable by links. Null and empty texts have no shingles and are
+    linked with nothing, their component is their own id. Equal sets are linked. Rows of one id are rows of their own;
+    a null id stands behind all others, and a component of null ids only has the id null. Other columns are ignored.
+    """
+    rows, named = linked(docs, width, percent)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component_id") == repeats.NULL_ID, None).otherwise(F.col("component_id")))
     return rows.join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "k")
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of every component: that of the smallest doc_id, any one of those with this id. All columns stay.
+    """One row of every component: one of the smallest doc_id, null ids last. All columns stay.
 
-    Rows without shingles are components of their own; repeated ones of one id are kept once.
+    A row is known by its id and its text, so different texts under one id, or under the null id, are rows of their own.
+    Rows without shingles are components of their own; exact repeats of an id and text are kept once.
     """
-    joined = join(docs, width, percent)
-    firsts = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    rows, named = linked(docs, width, percent)
+    is_first = (F.col("n") == 0) | ((F.col("id") == F.col("component_id")) & (F.col("h") == F.col("first")))
+    firsts = rows.join(named, "k", "left").where(is_first).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
     firsts = common.Scratch(docs.sparkSession, "firsts").keep(firsts, "firsts")
-    own = docs.join(firsts.drop("__n"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return own if firsts.where("__n > 1").isEmpty() else own.dropDuplicates(["doc_id"])
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(repeats.NULL_ID))), "__h": F.xxhash64(F.col("text").cast("string"))})
+    own = own.join(firsts.drop("__n"), ["__id", "__h"], "left_semi")
+    own = own if firsts.where("__n > 1").isEmpty() else own.dropDuplicates(["__id", "__h"])
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,6 +76,18 @@ def test_keep_first_keeps_one_of_each(spark, corpus):
     assert len(ids) == len(set(ids))
 
 
+def test_keep_first_decides_by_row(spark, prose):
+    """Distinct texts without an id or under one id all stay, once each; a near copy goes even if its id leads a component of its own."""
+    copied = prose(40, 120)
+    near = copied.rsplit(" ", 2)[0]
+    rows = [(None, prose(50 + k, 60)) for k in range(6)] + [(None, prose(50, 60)), (7, prose(60, 60)), (7, prose(61, 60)), (7, prose(60, 60))]
+    rows += [(1, copied), (8, near), (8, prose(62, 60)), (None, copied), (9, None), (9, None), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
+    want = {*rows} - {(8, near), (None, copied)}
+    got = [(r.doc_id, r.text) for r in jaccard_rtree.keep_first(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_rtree.join(df).count() == 0
