@@ -713,8 +713,8 @@ def dot_kernels(spark, sf_dir):
                 rows.append((0, 0, int(k), 0, 0, 32, 32, a.tobytes(), own.tobytes()))
             yield pd.DataFrame(rows, columns=["tile_x", "tile_y", "cell_id", "y0", "x0", "height", "width", "rgb", "nucleus"])
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400").select("event_id")
-    patches = e.repartition(8).mapInPandas(paint, "tile_x long, tile_y long, cell_id long, y0 int, x0 int, height int, width int, rgb binary, nucleus binary")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    patches = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(paint, "tile_x long, tile_y long, cell_id long, y0 int, x0 int, height int, width int, rgb binary, nucleus binary")
     return r6(dots.accepted(dots.detect(patches, Config.fallback()), Config.fallback()), "y", "x", "radius", "solidity", "score")
 
 
