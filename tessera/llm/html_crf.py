@@ -23,15 +23,23 @@ from pyspark.sql import functions as F
 from . import common
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|select|head|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    # left out up to the end tag, where that comes before the next start of the same kind
+    r"|<(noscript|template|iframe|svg|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:[^<]++|<(?!/?\2\b))*+</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Tags that stand within a line, tags without an end, and tags that end an open paragraph.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img input".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr object q s samp small span strike strong sub sup time tt u var wbr br img input "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that may stand in a head, all others end one, and tags that are passed over where their end is missing.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+OPEN_ENDED = frozenset("noscript template iframe svg select".split())
 #: Tags whose start implies the end of an open one of the same kind.
 IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -49,6 +57,7 @@ def blocks(page: str) -> list[Block]:
     open_: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked = links = 0
+    in_head = False
     above: tuple[str, ...] = ()
 
     def flush() -> None:
@@ -65,17 +74,23 @@ def blocks(page: str) -> list[Block]:
         return tuple(w for m in _NAMES.finditer(attributes) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal links, in_head
         for tag, _ in open_[k:]:
             if tag == "a":
                 links -= 1
+            elif tag == "head":
+                in_head = False
         del open_[k:]
 
+    def leave_head() -> None:
+        flush()
+        close(next(k for k, (tag, _) in enumerate(open_) if tag == "head"))
+
     for m in _TOKEN.finditer(page):
-        tag = m[3]
+        tag = m[4]
         if tag is None:
-            if m[1] is not None:
-                if m[1].lower() not in ("title",):
+            if (left := m[1] or m[2]) is not None:
+                if left.lower() not in ("title",):
                     flush()
                 continue
             raw = m[0]
@@ -85,30 +100,34 @@ def blocks(page: str) -> list[Block]:
             if not held:
                 if not text.strip():
                     continue
+                if in_head:
+                    leave_head()
                 above = tuple(x for t, n in open_ for x in (t, *("." + w for w in n)))
             held.append(text)
             if links:
                 linked += len(text)
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[3]:
             k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
             if tag not in INLINE:
                 flush()
             if k is not None and (tag not in INLINE or all(t in INLINE for t, _ in open_[k:])):
                 close(k)
             continue
+        if in_head and tag not in HEAD:
+            leave_head()
         if tag == "br":
             if held:
                 held.append("\n")
             continue
         if tag in INLINE:
             if tag not in VOID:
-                open_.append((tag, names(m[4])))
+                open_.append((tag, names(m[5])))
                 links += tag == "a"
             continue
         flush()
-        if tag in VOID:
+        if tag in VOID or tag in OPEN_ENDED:
             continue
         if tag in IMPLIED or tag in ("div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "footer", "header", "nav", "aside", "form", "main", "blockquote", "pre"):
             ends = IMPLIED.get(tag, ("p",))
@@ -121,7 +140,8 @@ def blocks(page: str) -> list[Block]:
         # a line's tags that were left open don't reach into the next block
         while open_ and open_[-1][0] in INLINE:
             close(len(open_) - 1)
-        open_.append((tag, names(m[4])))
+        open_.append((tag, names(m[5])))
+        in_head = in_head or tag == "head"
     flush()
     return out
 

@@ -200,6 +200,21 @@ def test_html_blocks_and_entities():
     assert html_crf.blocks("<p>cut off <a href=\"x")[0].text == "cut off"
 
 
+def test_html_missing_end_tags_lose_no_text():
+    text = lambda page: [b.text for b in html_crf.blocks(page)]
+    page = "<html><head><title>x</title><meta charset=utf-8><style>a</style>{}<article><h1>One</h1><p>Two.</article>"
+    for start in ("<body>", "", "<noscript><img></noscript>", "</head><body>"):
+        got = html_crf.blocks(page.format(start))
+        assert [b.text for b in got] == ["One", "Two."] and not any("head" in b.above for b in got)
+    assert text("<head>plain<p>next")[-2:] == ["plain", "next"]
+    for tag in ("svg", "select", "object", "noscript", "template", "iframe", "math"):
+        assert text(f"<article><p>One</p><{tag} class='c'><p>Two</p></article><p>Three") == ["One", "Two", "Three"], tag
+    assert text("<p>One</p><svg><path/><p>Two</p><svg><text>no</text><title/></svg><p>Three</p>") == ["One", "Two", "Three"]
+    assert text("<p>a</p><noscript><p>no</p></noscript><select><option>no</select><svg><style/><text>no</text></svg><p>b</p>") == ["a", "b"]
+    assert text("<p>For <math><mi>x</mi><mo>=</mo><mn>2</mn></math> see <object data=f><b>file</b></object> here</p>") == ["For x=2 see file here"]
+    assert text("<svg>" * 20_000 + "end") == ["end"]
+
+
 def test_html_field_on_held_out_pages():
     field = html_crf.train(html_crf.labelled_pages(200, 1))
     wrong = total = 0
