@@ -2,7 +2,7 @@
 
 Tokens that look disguised (look-alike digits and signs inside words, letters repeated or set apart by signs or blanks)
 become lattices: each character may stand for itself or for letters it resembles, a repetition for one or two letters,
-a separator for nothing. A beam Viterbi search finds the likeliest readings under a trigram model of characters whose
+a separator for nothing, and where letters are set apart by blanks, words may end between any two. A beam Viterbi search finds the likeliest readings under a trigram model of characters whose
 counts come from all documents. Words of the text and restored readings are then scored together by logistic
 regression over the words and word beginnings that best tell labelled documents apart.
 
@@ -88,7 +88,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             letters = [(c, 0.0)]
         elif c in LOOKALIKES:
             letters = [(x, -1.0) for x in LOOKALIKES[c]]
-            if c in SEPARATORS:
+            if not c.isalnum():
                 letters.append(("", -1.0))
         elif c in SEPARATORS or not c.isalnum():
             letters = [("", -0.5)]
@@ -103,11 +103,13 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def readings(token: str, model: CharModel, n: int = READINGS, beam: int = BEAM) -> list[str]:
-    """The likeliest readings of a token."""
+def readings(token: str, model: CharModel, n: int = READINGS, beam: int = BEAM, spaced: bool = False) -> list[str]:
+    """The likeliest readings of a token. spaced: its characters stood apart, so it may be several words."""
     logp = model.logp
     states: dict[tuple[str, int, int], float] = {("", _EDGE, _EDGE): 0.0}
     for step in lattice(token):
+        if spaced:
+            states |= {(text + " ", b, _EDGE): score + logp[a, b, _EDGE] for (text, a, b), score in states.items() if b != _EDGE}
         new: dict[tuple[str, int, int], float] = {}
         for (text, a, b), score in states.items():
             for x, cost in step:
@@ -119,13 +121,22 @@ def readings(token: str, model: CharModel, n: int = READINGS, beam: int = BEAM)
                 key = (text + x, p, q)
                 if s > new.get(key, -1e300):
                     new[key] = s
-        states = dict(sorted(new.items(), key=lambda kv: -kv[1])[:beam])
+        states = dict(sorted(new.items(), key=lambda kv: -kv[1])[: 2 * beam if spaced else beam])
     ends = sorted(((s + logp[a, b, _EDGE], t) for (t, a, b), s in states.items()), reverse=True)
     return [t for _, t in ends if t][:n]
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
     """Text and disguised token, blanks taken out, of each token that looks disguised."""
+    return [(d, token) for d, token, _ in disguised(buf, off)]
+
+
+def disguised(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str, bool]]:
+    """Text and token of each suspect, and whether its characters stood apart.
+
+    A look-alike counts beside a letter or another look-alike, on either side, where its word has a letter (else all
+    numbers would); letters may be set apart by any number of separators.
+    """
     words = textnum.Words(buf, off)
     s, e = words.start, words.end
     if not len(s):
@@ -133,32 +144,44 @@ def suspects(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
     letter, look, sep = _LETTER[buf], _LOOK[buf], _SEP[buf]
     mark = np.zeros(len(buf), bool)
     if len(buf) > 2:
-        mark[:-1] |= look[:-1] & letter[1:]
+        some = letter | look
+        mark[:-1] |= (look[:-1] & some[1:]) | (some[:-1] & look[1:])
         low = buf | 0x20
         mark[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (buf[:-2] < 128)
         mark[:-2] |= letter[:-2] & sep[1:-1] & letter[2:]
-    total = np.concatenate(([0], np.cumsum(mark)))
-    letters = np.concatenate(([0], np.cumsum(letter | look)))
+    signs = np.flatnonzero(sep & ~look)
+    gap = np.flatnonzero(np.diff(signs) > 1)
+    a, b = signs[np.concatenate((signs[:1] * 0, gap + 1))], signs[np.concatenate((gap, [len(signs) - 1][: len(signs)])).astype(np.int64)]  # runs of separators
+    inner = (a > 0) & (b < len(buf) - 1)
+    a, b = a[inner], b[inner]
+    mark[a[letter[a - 1] & letter[b + 1]] - 1] = True
+    zero = np.zeros(1, np.int32)
+    total = np.concatenate((zero, np.cumsum(mark, dtype=np.int32)))
+    letters = np.concatenate((zero, np.cumsum(letter | look, dtype=np.int32)))
     odd = (total[np.maximum(e - 1, s)] > total[s]) & (letters[e] - letters[s] > 2)
     doc = np.searchsorted(words.off, np.arange(len(s)), "right") - 1
     data = buf.tobytes()
     out = []
     for k in np.flatnonzero(odd):
-        out.append((int(doc[k]), data[s[k] : e[k]].decode("utf-8", "ignore").lower()))
-    single = (e - s == 1) & (letter | look)[s]
+        if not letter[s[k] : e[k]].any():
+            continue
+        out.append((int(doc[k]), data[s[k] : e[k]].decode("utf-8", "ignore").lower(), False))
+    apart = np.searchsorted(signs, e) - np.searchsorted(signs, s) == e - s  # separators that stand alone
+    single = ((e - s == 1) & (letter | look)[s]) | apart
     edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         cuts = [a, *(np.flatnonzero(np.diff(doc[a:b])) + a + 1).tolist(), b]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if j - i >= 3:
-                out.append((int(doc[i]), bytes(buf[s[i:j]]).decode("ascii", "ignore").lower()))
+            k = np.flatnonzero(~apart[i:j]) + i
+            if len(k) >= 3:
+                out.append((int(doc[i]), bytes(buf[s[k]]).decode("ascii", "ignore").lower(), True))
     return out
 
 
 _EMPTY = np.empty(0, np.uint64)
 
 
-def features(buf: np.ndarray, off: np.ndarray, model: CharModel, memo: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def features(buf: np.ndarray, off: np.ndarray, model: CharModel, memo: dict[tuple[str, bool], list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Text and feature (hash of a word or of a word's beginning) of each feature of each text, once."""
 
     def hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,20 +196,21 @@ def features(buf: np.ndarray, off: np.ndarray, model: CharModel, memo: dict[str,
         return np.concatenate(d), np.concatenate(x)
 
     doc, x = hashes(buf, off)
-    found = suspects(buf, off)
+    found = disguised(buf, off)
     if found:
         texts = []
-        for _, token in found:
-            if token not in memo:
+        for _, *key in found:
+            token, spaced = key = tuple(key)
+            if key not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
-                memo[token] = readings(token, model)
-            texts.append(" ".join(memo[token]).encode())
+                memo[key] = readings(token, model, spaced=spaced)
+            texts.append(" ".join(memo[key]).encode())
         raw = np.frombuffer(b"\n".join(texts), np.uint8)
         ends = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         ends[-1] -= 1
         d2, x2 = hashes(raw, ends)
-        doc, x = np.concatenate((doc, np.array([d for d, _ in found], np.int64)[d2])), np.concatenate((x, x2))
+        doc, x = np.concatenate((doc, np.array([d for d, *_ in found], np.int64)[d2])), np.concatenate((x, x2))
     return doc, x
 
 
@@ -210,7 +234,7 @@ class Scorer:
         self.mask = np.zeros(1 << 20, bool)
         self.mask[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def score(self, buf: np.ndarray, off: np.ndarray, memo: dict[str, list[str]]) -> np.ndarray:
+    def score(self, buf: np.ndarray, off: np.ndarray, memo: dict[tuple[str, bool], list[str]]) -> np.ndarray:
         doc, x = features(buf, off, self.model, memo)
         k = np.flatnonzero(self.mask[(x >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.hashes, x[k])
@@ -276,7 +300,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
     sent = spark.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
+        memo: dict[tuple[str, bool], list[str]] = {}
         for batch in batches:
             buf, off = textnum.texts(batch.column(2))
             blobs: list[bytes] = []
@@ -297,7 +321,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, keep: t
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
+        memo: dict[tuple[str, bool], list[str]] = {}
         for batch in batches:
             buf, off = textnum.texts(batch.column(len(names)))
             parts = [sent.value.score(buf[off[i] : off[j]], off[i : j + 1] - off[i], memo) for i, j in textnum.slices(off)]

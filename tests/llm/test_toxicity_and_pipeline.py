@@ -45,6 +45,23 @@ def test_readings_of_disguised_words(spark, labelled):
     assert [t for _, t in toxicity.suspects(buf, np.array([0, len(buf)]))] == ["1d10t", "stuuupid", "a.b.c.d", "idiot"]
 
 
+def test_disguises_that_stand_alone(spark, labelled):
+    """Words set apart next to other single letters or words, look-alikes at the end, runs of separators."""
+    model = toxicity.CharModel.of(toxicity.char_counts(labelled[0]))
+
+    def read(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return {w for _, token, spaced in toxicity.disguised(buf, np.array([0, len(buf)])) for r in toxicity.readings(token, model, spaced=spaced) for w in r.split()}
+
+    for text, *found in (("a s t u p i d", "stupid"), ("s t u p i d i d i o t", "stupid", "idiot"), ("an idi07 here", "idiot"), ("1d10t!", "idiot"), ("s..t..u..p..i..d", "stupid"), ("s - t - u -- p - i - d", "stupid"), ("s__t__u.p.i.d", "stupid")):
+        assert set(found) <= read(text), text
+    assert not read("plain words, 2024 and 3.14 - or 10 000 - stay as they are. - so")
+    docs, labels = labelled
+    extra = [(9100, "a s t u p i d"), (9101, "s t u p i d i d i o t"), (9102, "idi07"), (9103, "s..t..u..p..i..d"), (9104, "s - t - u - p - i - d"), (9105, "calm"), (9106, "s t u p i d i d i o t with m..o..r..o..n")]
+    got = {r.doc_id: r for r in toxicity.judge(spark, docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True), labels).where("doc_id > 9000").collect()}
+    assert all(got[i].score > 2 * got[9105].score for i in range(9100, 9105)) and got[9105].predicted == 0 and got[9106].predicted == 1
+
+
 def test_clean_keeps_columns(spark, labelled):
     docs, labels = labelled
     kept = toxicity.clean(spark, docs, labels)
