@@ -302,9 +302,8 @@ def attach(spark: SparkSession, docs: DataFrame, packed: DataFrame, bits: bytes,
 
 def rows_of(columns: list[np.ndarray], ids: np.ndarray, tags: np.ndarray) -> list[tuple[int, int]]:
     """For each document the range of its packed rows."""
-    key = columns[0].astype(np.uint64) * np.uint64(1)
     out = []
-    lo, hi = np.searchsorted(key, ids.astype(np.uint64)), np.searchsorted(key, ids.astype(np.uint64), "right")
+    lo, hi = np.searchsorted(columns[0], ids), np.searchsorted(columns[0], ids, "right")
     for a, b, t in zip(lo, hi, tags, strict=True):
         own = columns[1][a:b]
         out.append((int(a + np.searchsorted(own, t)), int(a + np.searchsorted(own, t, "right"))))

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tessera.llm import common, substring_lsm, suffix_bwt, textnum
+from tessera.llm import common, repeats, substring_lsm, suffix_bwt, textnum
 
 
 def order(i):
@@ -118,3 +118,10 @@ def test_windows_and_hashes():
     assert textnum.anchors(x, 3).tolist() == [1, 1, 3, 5, 5]
     s, e = textnum.union_length(np.array([5, 0, 3]), np.array([9, 4, 5]))
     assert (s.tolist(), e.tolist()) == ([0], [9]) or (s.tolist(), e.tolist()) == ([0, 3], [4, 9])
+
+
+def test_rows_of_negative_ids():
+    """Packed rows stand in the order of signed ids."""
+    columns = [np.array([-9, -5, -5, 0, 3, 3, 8]), np.array([1, 2, 4, 1, 1, 6, 2], np.uint16)]
+    ids, tags = np.array([3, -5, 8, -9, -7, 0]), np.array([6, 4, 2, 1, 1, 1], np.uint16)
+    assert repeats.rows_of(columns, ids, tags) == [(5, 6), (2, 3), (6, 7), (0, 1), (1, 1), (3, 4)]
