@@ -1,4 +1,9 @@
-"""From paired tiles to the case report: the stages of the analysis in their order."""
+"""From paired tiles to the case report, without some stages of the survey's plan (3.4 b-i).
+
+run() doesn't apply core masks and masked or fused input (K2-K5), the background short cut (P5), clearing of slide edges
+(P6), enlargement before matching (K11) or bounds (P8 P9: n_out_of_bounds is 0); off-population dots are counted
+unmerged. Its figures therefore differ from a whole analysis.
+"""
 
 from __future__ import annotations
 
@@ -100,7 +105,7 @@ def case_cells(tile_cells: DataFrame, tiles: DataFrame, cfg: Config = Config())
 
 
 def tile_cells(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config()) -> DataFrame:
-    """Tile-local facts of paired tiles (M2 M3), off-population cells included. Background tiles end before the matching (P5)."""
+    """Tile-local facts of paired tiles (M2 M3), off-population cells included."""
     from .session import checkpointed
 
     planes = {k: checkpointed(segmented(t, segmenter, cfg)) for k, t in (("ihc", ihc), ("dish", dish))}  # models run once
