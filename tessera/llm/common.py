@@ -43,11 +43,50 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+class Files:
+    """Small files and folders in any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.conf)
+
+    def drop(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
+    def read(self, path: str) -> str | None:
+        p, fs = self._at(path)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def replace(self, path: str, text: str) -> None:
+        """Write beside it, then rename over it."""
+        p, fs = self._at(path)
+        side, _ = self._at(f"{path}.{uuid.uuid4().hex[:8]}")
+        stream = fs.create(side)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        rename = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        how = self.jvm.java.lang.reflect.Array.newInstance(rename, 1)
+        self.jvm.java.lang.reflect.Array.set(how, 0, self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(side, p, how)
+
+
 class Scratch:
     """Tables that cut lineage: written below the shared folder, read back, dropped when no later step reads them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", itertools.count()
+        self.spark, self.base, self.n, self.files = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", itertools.count(), Files(spark)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{next(self.n):03d}-{name}"
@@ -61,9 +100,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.files.drop(path)
 
     def drop_table(self, df: DataFrame) -> None:
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

@@ -2,11 +2,13 @@
 
 Of the k-gram hashes inside each window of 13 words the least is kept as a fingerprint, in documents and benchmark
 alike, so a shared window always shares its fingerprint. Fingerprints are joined and each hit is extended to the
-windows around it, which are compared as a whole. Items shorter than a window are windows themselves and are looked
-up by their own length.
+windows around it, which are compared as a whole, then word by word under a second hash. Items shorter than a window
+are windows themselves and are looked up by their own length.
 
 The benchmark is the small side. Its text is measured: up to MOST_BROADCAST it is sent to every task at once, beyond
-that in blocks of that size, one pass over the documents each, and the passes are put together by document.
+that in blocks of that size, one pass over the documents each. A pass is written to the shared folder before the next
+block is read, so the driver and the tasks hold one block; passes are put together by doc_id and SHA-1 of the text,
+under which equal rows have equal hits.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, textnum
 
 WINDOW, GRAM = 13, 7
-_SCHEMA = "row long, doc_id long, n_words long, spans binary, items binary"
+_SCHEMA = "doc_id long, digest string, n_words long, spans binary, items binary"
 
 
 class Index:
@@ -32,14 +35,16 @@ class Index:
         buf, off = textnum.texts(column)
         words = textnum.Words(buf, off, textnum.ALNUM, lower=True)
         self.ids, self.window, self.gram, h = ids, window, gram, words.hashes()
-        self.spans = textnum.Spans(h)
-        self.n, left, own = len(h), textnum.left(words.off), textnum.owner(words.off)
+        self.second = words.hashes(1)
+        spans = textnum.Spans(h)
+        left, own = textnum.left(words.off), textnum.owner(words.off)
         self.left, self.own = left, own
         at = np.empty(0, np.int64)
-        if self.n >= window:
-            p = np.flatnonzero(left[: self.n - window + 1] >= window)
-            at = np.unique(textnum.anchors(self.spans.windows(gram), window - gram + 1)[p])
-        print_ = self.spans.of(at, at + gram)
+        if len(h) >= window:
+            p = np.flatnonzero(left[: len(h) - window + 1] >= window)
+            at = np.unique(textnum.anchors(spans.windows(gram), window - gram + 1)[p])
+        self.whole = spans.windows(window)
+        print_ = spans.windows(gram)[at]
         o = np.argsort(print_, kind="stable")
         self.prints, self.at = print_[o], at[o]
         count = words.counts()
@@ -47,34 +52,42 @@ class Index:
         for n in range(1, window):
             items = np.flatnonzero(count == n)
             if len(items):
-                x = self.spans.of(words.off[items], words.off[items] + n)
+                x = spans.windows(n)[words.off[items]]
                 o = np.argsort(x, kind="stable")
-                self.short[n] = (x[o], items[o])
+                self.short[n] = (x[o], words.off[items][o])
         self.masks = {n: _mask(x) for n, x in [(0, self.prints), *((n, x) for n, (x, _) in self.short.items())]}
 
-    def find(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and end word of each hit window of the texts, and its item."""
-        spans, left = textnum.Spans(h), textnum.left(off)
+        h, left = words.hashes(), textnum.left(words.off)
+        spans = textnum.Spans(h)
         out = []
         if len(self.prints) and len(h) >= self.window:
-            grams = spans.windows(self.gram)
             p = np.flatnonzero(left[: len(h) - self.window + 1] >= self.window)
             if len(p):
+                grams = spans.windows(self.gram)
                 at = textnum.anchors(grams, self.window - self.gram + 1)[p]
                 at = at[np.concatenate(([True], at[1:] != at[:-1]))]
                 k, m = _lookup(grams[at], self.prints, self.masks[0])
-                out += self.extend(spans, left, at[k], self.at[m])
-        for n, (x, items) in self.short.items():
+                if len(k):
+                    out += self.extend(spans.windows(self.window), left, at[k], self.at[m])
+        for n, (x, first) in self.short.items():
             if len(h) >= n:
                 p = np.flatnonzero(left[: len(h) - n + 1] >= n)
                 k, m = _lookup(spans.windows(n)[p], x, self.masks[n])
-                out.append((p[k], p[k] + n, items[m]))
-        if not out:
+                out.append((p[k], first[m], n))
+        if not any(len(p) for p, _, _ in out):
             none = np.empty(0, np.int64)
             return none, none, none
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def extend(self, spans: textnum.Spans, left: np.ndarray, at: np.ndarray, item_at: np.ndarray) -> list:
+        second, found = words.hashes(1), []
+        for p, q, n in out:
+            same = np.ones(len(p), bool)
+            for k in range(n):
+                same &= second[p + k] == self.second[q + k]
+            found.append((p[same], p[same] + n, self.own[q[same]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def extend(self, whole: np.ndarray, left: np.ndarray, at: np.ndarray, item_at: np.ndarray) -> list:
         """The windows around shared fingerprints that are equal as a whole."""
         out = []
         for back in range(self.window - self.gram + 1):
@@ -83,9 +96,8 @@ class Index:
             p, q = p[ok], q[ok]
             ok = (left[p] >= self.window) & (self.left[q] >= self.window)
             p, q = p[ok], q[ok]
-            same = spans.of(p, p + self.window) == self.spans.of(q, q + self.window)
-            p, q = p[same], q[same]
-            out.append((p, p + self.window, self.own[q]))
+            same = whole[p] == self.whole[q]
+            out.append((p[same], q[same], self.window))
         return out
 
 
@@ -104,22 +116,26 @@ def _lookup(x: np.ndarray, sorted_: np.ndarray, mask: np.ndarray) -> tuple[np.nd
     return np.repeat(k, n), np.repeat(lo, n) + np.arange(int(n.sum())) - first
 
 
-def blocks(benchmark: DataFrame, most: int = common.MOST_BROADCAST) -> Iterator[tuple[list[str | None], pa.Array]]:
-    """The items, in blocks of at most about `most` bytes of text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+def n_blocks(items: DataFrame, most: int) -> int:
     size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = max(1, -(-((size[0] or 0) + 16 * size[1]) // most))
-    for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        t = own.toArrow()
-        yield t.column(0).to_pylist(), t.column(1).combine_chunks()
+    return max(1, -(-((size[0] or 0) + 16 * size[1]) // most))
+
+
+def block(items: DataFrame, k: int, n: int) -> Index:
+    """The k-th of n blocks of the items, each of about the same size."""
+    t = (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).toArrow()
+    return Index(t.column(0).to_pylist(), t.column(1).combine_chunks())
+
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
-def _hits(docs: DataFrame, index: Index) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+def _hits(docs: DataFrame, sent: Broadcast | None) -> DataFrame:
+    """docs: doc_id, digest, text. Without an index words are counted only."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = sent.value if sent else None
         for batch in batches:
             buf, off = textnum.texts(batch.column(2))
             spans: list[bytes | None] = [None] * len(batch)
@@ -128,7 +144,9 @@ def _hits(docs: DataFrame, index: Index) -> DataFrame:
             for i, j in textnum.slices(off):
                 words = textnum.Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], textnum.ALNUM, lower=True)
                 counts[i:j] = words.counts()
-                start, end, item = index.find(words.hashes(), words.off)
+                if index is None:
+                    continue
+                start, end, item = index.find(words)
                 if len(start):
                     doc = np.searchsorted(words.off, start, "right") - 1
                     o = np.argsort(doc, kind="stable")
@@ -139,10 +157,9 @@ def _hits(docs: DataFrame, index: Index) -> DataFrame:
                         spans[i + d] = np.stack([lo, hi]).astype(np.int64).tobytes()
                         found = {index.ids[x] for x in np.unique(item[r])} - {None}
                         items[i + d] = "\0".join(sorted(found)).encode() if found else None
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, pa.binary()), pa.array(items, pa.binary())], ["row", "doc_id", "n_words", "spans", "items"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, pa.binary()), pa.array(items, pa.binary())], ["doc_id", "digest", "n_words", "spans", "items"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, _SCHEMA)
+    return docs.mapInArrow(scan, _SCHEMA)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,46 +178,60 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.column("n_words")
         bad = np.array(hit, np.int64)
         bad = (bad > 0) & (20 * bad >= n.to_numpy())
-        yield pa.record_batch([batch.column("doc_id"), n, pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string())), batch.column("row")], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items", "row"])
+        yield pa.record_batch([batch.column("doc_id"), n, pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string())), batch.column("digest")], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items", "digest"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCAST) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the spans of hit words, the items, and row.
+    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the spans of hit words, the items, and digest.
 
-    row is monotonically_increasing_id() of docs. Null and empty texts have no words and no hits; items without words
-    match nothing; items of one id count once, those of a null id count for words only. Repeated rows each get a row.
+    digest is the text's SHA-1 where the benchmark takes several blocks, else null. Null and empty texts have no words
+    and no hits; items without words match nothing; items of one id count once, those of a null id count for words
+    only. Repeated rows each get a row. Other columns of docs are ignored.
     """
-    common.tuned(docs.sparkSession)
-    passes = [_hits(docs, Index(ids, column)) for ids, column in blocks(benchmark, most)]
-    if len(passes) == 1:
+    spark = common.tuned(docs.sparkSession)
+    items = _items(benchmark)
+    n = n_blocks(items, most)
+    digest = F.lit(None).cast("string") if n == 1 else F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.col("text").cast("string").alias("text"))
+    if n == 1:
         wrap = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<binary>")).otherwise(F.array(c)).alias(c)
-        both = passes[0].select("row", "doc_id", "n_words", wrap("spans"), wrap("items"))
+        both = _hits(rows, spark.sparkContext.broadcast(block(items, 0, 1))).select("doc_id", "digest", "n_words", wrap("spans"), wrap("items"))
     else:
-        rows = passes[0]
-        for p in passes[1:]:
-            rows = rows.unionByName(p)
-        both = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return both.mapInArrow(_merge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, items array<string>, row long")
+        scratch, found = common.Scratch(spark, "winnow"), None
+        for k in range(n):
+            sent = spark.sparkContext.broadcast(block(items, k, n))
+            own = scratch.keep(_hits(rows, sent).where("spans IS NOT NULL").select("doc_id", "digest", "spans", "items"), "hits")
+            sent.destroy()
+            found = own if found is None else found.unionByName(own)
+        found = found.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("x")).agg(F.collect_set("spans").alias("s"), F.collect_set("items").alias("i"))
+        both = _hits(rows, None).drop("spans", "items").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("x")), "left")
+        none = F.array().cast("array<binary>")
+        both = both.select("doc_id", "digest", "n_words", F.coalesce("s", none).alias("spans"), F.coalesce("i", none).alias("items"))
+    return both.mapInArrow(_merge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, items array<string>, digest string")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCAST) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    common.tuned(docs.sparkSession)
-    passes = [Index(ids, column) for ids, column in blocks(benchmark, most)]
-    sent = docs.sparkSession.sparkContext.broadcast(passes)
+    spark = common.tuned(docs.sparkSession)
+    items = _items(benchmark)
+    n = n_blocks(items, most)
+    if n > 1:  # hits of all blocks count together
+        bad = common.Scratch(spark, "winnow").keep(find(docs, benchmark, most).where("contaminated").select("doc_id", "digest").distinct(), "contaminated")
+        own = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.sha1(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")) == bad["digest"])
+        return docs.join(bad, own, "left_anti")
+    sent = spark.sparkContext.broadcast(block(items, 0, 1))
     at = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in batches:
             buf, off = textnum.texts(batch.column(at).cast(pa.string()))
             keep = np.ones(len(batch), bool)
             for i, j in textnum.slices(off):
                 words = textnum.Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], textnum.ALNUM, lower=True)
-                h = words.hashes()
-                parts = [index.find(h, words.off)[:2] for index in sent.value]
-                start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+                start, end, _ = index.find(words)
                 if len(start):
-                    edge = np.zeros(len(h) + 1, np.int64)
+                    edge = np.zeros(int(words.off[-1]) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, end, -1)
                     hit = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
@@ -208,9 +239,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCA
                     keep[i:j] = ~((hit > 0) & (20 * hit >= words.counts()))
             yield batch.filter(pa.array(keep))
 
-    if len(passes) > 1:
-        # every pass is filtered by the whole benchmark's hits, so they are counted together
-        marked = find(docs, benchmark, most).where("contaminated").select("row")
-        rows = docs.withColumn("__row", F.monotonically_increasing_id())
-        return rows.join(marked, rows["__row"] == marked["row"], "left_anti").drop("__row")
     return docs.mapInArrow(scan, docs.schema)

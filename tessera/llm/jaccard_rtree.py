@@ -1,41 +1,76 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document is its set of distinct 5-word shingles. Shingles are hashed into GROUPS groups; the counts of a set's
-shingles by group are its point, and the overlap of two sets is at most the sum of the coordinate minima of their
-points. Points are indexed by a forest of R-trees: one tree for each cell of documents that share a shingle of their
-prefixes (the n - ceil(0.8 n) + 1 least of a common order, of which two linked sets share one at least). The order
-puts shingles that are frequent in the corpus last, by a counting sketch of fixed size over all documents, so cells
-stay small. Trees are joined with themselves node by node; pairs of boxes whose bound is below the threshold are
-left, and the surviving pairs are verified on the sets themselves.
+A document is its set of distinct 5-word shingles. Shingles are hashed into groups; the counts of a set's shingles by
+group are its point, and the overlap of two sets is at most the sum of the coordinate minima of their points. A set of
+n shingles has 4n to 8n groups, a power of two up to GROUPS; a point is folded to fewer groups by adding neighbours, so
+points of sets that may be linked are compared in the groups of the smaller one. Points are exchanged compressed.
+
+Points are indexed by a forest of R-trees: one tree for each cell of documents that share a shingle of their prefixes
+(the n - ceil(0.8 n) + 1 least of a common order, of which two linked sets share one at least) and each number of
+groups. The order puts shingles that are frequent in the corpus last, by a counting sketch of fixed size over all
+documents, so cells stay small. Trees are joined with themselves node by node; pairs of boxes whose bound is below the
+threshold are left, and the surviving pairs are verified on the sets themselves.
 
 Only components are asked for, so pairs within a component already known aren't looked for. Equal sets are one class
-from the start. The first round takes the largest and the smallest cell of each set and queries the trees of these with
-two of their points; its links are joined to components. Then the trees that hold several components are joined whole,
-but for node pairs that lie in one component: first for the pair of the highest bound between two components of a tree,
-which mostly joins them, and in the last round for all pairs between what are still different components.
+from the start. First each class is held against two points of its largest and of its smallest cell, without gathering
+a cell. Its links are joined to components, and cells that hold the same several components become one. Then rounds
+follow in which every component of a cell proposes its best pairs with others, MOST_FIRST at first and eight times as
+many in each further round; those not verified before are, and links join components. A cell is done when none of its
+components had more pairs than it could propose: then every pair that the bound lets pass between them was verified.
+A cell of more than CHUNK classes is joined in chunks, each with each.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, repeats, textnum
-from .components import components
+from .components import FEW, components
 
 SHINGLE, PERCENT = 5, 80
-#: Random sets of up to some 25,000 shingles differ by more than the threshold allows over this many groups.
-GROUPS = 1024
+#: Groups at most and at least, as powers of two. Random sets of up to some 25,000 shingles differ by more than the threshold allows over the most.
+MOST_GROUPS, LEAST_GROUPS = 10, 6
+GROUPS = 1 << MOST_GROUPS
 #: A count that is this or more; a point with one is set to it throughout and bounds nothing.
 FULL = 255
 FAN = 8
 #: Counters of the sketch that orders shingles: 4 MB a task when made, 1 MB when sent.
 SKETCH = 1 << 20
-_SUBS = 64
+#: Pairs that a component of a cell proposes in the first round.
+MOST_FIRST = 16
+#: Classes of a cell that are joined in one task, and partners of a class that are verified in one place.
+CHUNK, PARTNERS = 20_000, 128
+
+
+def power_of(n: np.ndarray) -> np.ndarray:
+    """The groups of a set of n shingles, as a power of two."""
+    return np.clip(np.frexp(np.maximum(n, 1) - 1)[1] + 2, LEAST_GROUPS, MOST_GROUPS)
+
+
+def _power(n: Column) -> Column:
+    return F.greatest(F.lit(LEAST_GROUPS), F.least(F.lit(MOST_GROUPS), F.length(F.bin(n - 1)) + 2))
+
+
+def unpressed(points: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Some of the points, which have as many groups each."""
+    expand = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(expand.decompress(x) for x in points.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+
+
+def fold(points: np.ndarray, times: int) -> np.ndarray:
+    """Points in half as many groups, `times` times."""
+    for _ in range(times):
+        wide = points.reshape(len(points), -1, 2).sum(2, dtype=np.uint16)
+        wide[wide.max(1) >= FULL] = FULL
+        points = wide.astype(np.uint8)
+    return points
 
 
 def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -59,14 +94,14 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tupl
     return doc[new], x[new]
 
 
-def class_keys(doc: np.ndarray, x: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def class_keys(doc: np.ndarray, x: np.ndarray, n_docs: int, seed: int = 0x5851F42D4C957F2D) -> tuple[np.ndarray, np.ndarray]:
     """For each text the key of its set (0 for the empty one) and the set's size."""
     n = np.bincount(doc, minlength=n_docs)
     key = np.zeros(n_docs, np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         starts = (np.cumsum(n) - n)[some]
-        key[some] = textnum.mix(np.add.reduceat(textnum.mix(x ^ np.uint64(0x5851F42D4C957F2D)), starts) + n[some].astype(np.uint64))
+        key[some] = textnum.mix(np.add.reduceat(textnum.mix(x ^ np.uint64(seed)), starts) + n[some].astype(np.uint64))
     return key.view(np.int64), n
 
 
@@ -82,30 +117,26 @@ def _slices(batch: pa.RecordBatch, at: int, width: int):
 
 
 def scan_sets(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (id, tag, h: hash of its text, k, n) and rows of the sketch (part, counts)."""
+    """A row per document (id, tag, h: hash of its text, k and k2: keys of its set, n) and rows of the sketch (part, counts)."""
     part = 1 << 14
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            ids = repeats.ids_of(batch.column(0))
-            tags, keys, sizes = [], [], []
+            found = []
             for i, j, raw, own, doc, x in _slices(batch, 1, width):
                 k, n = class_keys(doc, x, j - i)
-                tags.append(repeats.tags_of(textnum.Spans(textnum.byte_codes(raw)), own))
-                keys.append(k)
-                sizes.append(n)
+                found.append((textnum.digests(raw, own).view(np.int64), k, class_keys(doc, x, j - i, 0x2545F4914F6CDD1D)[0], n))
                 counts += np.bincount(_bin(x), minlength=SKETCH).astype(np.uint32)
-            if len(ids):
-                m = len(ids)
-                yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(np.concatenate(tags).astype(np.int32)), batch.column(2), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            if m := len(batch):
+                tag, *keys = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
+                yield pa.record_batch([batch.column(0), pa.array(repeats.ids_of(batch.column(0))), tag, batch.column(2), *keys, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         rows = [(p, counts[p * part : (p + 1) * part]) for p in range(SKETCH // part)]
         rows = [(p, c.tobytes()) for p, c in rows if c.any()]
-        m = len(rows)
-        yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names)
+        yield pa.record_batch([*[pa.nulls(len(rows), pa.int64())] * 7, pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names)
 
-    names = ["doc_id", "id", "tag", "h", "k", "n", "part", "counts"]
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(scan, "doc_id long, id long, tag int, h long, k long, n long, part int, counts binary")
+    names = ["doc_id", "id", "tag", "h", "k", "k2", "n", "part", "counts"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(scan, "doc_id long, id long, tag long, h long, k long, k2 long, n long, part int, counts binary")
 
 
 def levels(scanned: DataFrame) -> np.ndarray:
@@ -136,6 +167,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
         level = sent.value
         for batch in batches:
             seen: set[int] = set()
+            press = zstandard.ZstdCompressor(level=1, write_content_size=True)
             parts, points = [], []
             for i, j, _, _, doc, x in _slices(batch, 1, width):
                 key, n = class_keys(doc, x, j - i)
@@ -148,10 +180,16 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
                 doc, x = doc[own], x[own]
                 if not len(x):
                     continue
-                v = np.bincount(doc * GROUPS + (x >> np.uint64(54)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
-                v[v.max(1) >= FULL] = FULL
-                v = v.astype(np.uint8)
-                points += [(int(key[d]), v[d].tobytes()) for d in np.flatnonzero(fresh)]
+                power = power_of(n)
+                for e in np.unique(power[fresh]):
+                    at = np.flatnonzero(fresh & (power == e))
+                    place = np.full(j - i, -1)
+                    place[at] = np.arange(len(at))
+                    own = place[doc] >= 0
+                    v = np.bincount((place[doc[own]] << int(e)) + (x[own] >> np.uint64(64 - int(e))).astype(np.int64), minlength=len(at) << int(e)).reshape(len(at), -1)
+                    v[v.max(1) >= FULL] = FULL
+                    v = v.astype(np.uint8)
+                    points += [(int(key[d]), press.compress(v[q].tobytes())) for q, d in enumerate(at)]
                 o = np.lexsort((x, level[_bin(x)], doc))
                 doc, x = doc[o], x[o]
                 first = np.searchsorted(doc, doc)
@@ -170,7 +208,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
     return docs.mapInArrow(scan, "kind int, bucket int, k long, blob binary")
 
 
-def cells(packed: DataFrame) -> DataFrame:
+def cells(packed: DataFrame, percent: int) -> DataFrame:
     """cell, k, size: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list)."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +221,7 @@ def cells(packed: DataFrame) -> DataFrame:
             x, k, n = x[new], k[new], n[new]
             # a cell ends where the next larger set is too large to be linked with the one before it
             edge = np.ones(len(x), bool)
-            edge[1:] = (x[1:] != x[:-1]) | (needed(n[1:].astype(np.int64)) > n[:-1])
+            edge[1:] = (x[1:] != x[:-1]) | (needed(n[1:].astype(np.int64), percent) > n[:-1])
             start = np.flatnonzero(edge)
             size = np.diff(np.append(start, len(x)))
             cell = textnum.mix(np.add.reduceat(textnum.mix(k.view(np.uint64)), start) + size.astype(np.uint64))
@@ -258,45 +296,91 @@ class Forest:
                 keep = x <= y
                 todo.append((level - 1, x[keep], y[keep]))
 
-    def probe(self, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The points of each cell that the bound lets pass for one point of the cell."""
-        cell = self.levels[0][0]
-        edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        which = np.repeat(at, np.diff(np.append(edge, len(cell))))
-        rows = np.arange(len(cell))
-        keep = rows != which
-        a, b = which[keep], rows[keep]
-        ok = self.may_link(0, a, b, percent)
-        return a[ok], b[ok]
 
+def bound_passes(high: np.ndarray, low: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    bound = np.minimum(high, low).sum(1, dtype=np.int64)
+    return ((100 + percent) * bound >= percent * (n + m)) | (bound == FULL * high.shape[1])
 
-def candidates(members: DataFrame, points: DataFrame, percent: int, turn: str) -> DataFrame:
-    """a, b: pairs of classes to verify. members: cell, k, n, label; points: k, point. turn: lead (pairs of two points a cell), best (one pair for two labels of a cell) or all.
 
-    A partition gets the point of a class once, however many of its cells hold the class.
+def lead(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """a, b: the first pairs to verify, each class with two points of its largest and of its smallest cell. members: cell, k, n, size; points: k, n, point."""
+    ends = members.groupBy("k").agg(F.max(F.struct("size", "cell"))["cell"].alias("most"), F.min(F.struct("size", "cell"))["cell"].alias("least"))
+    ends = ends.select("k", F.explode(F.array_distinct(F.array("most", "least"))).alias("cell"))
+    heads = members.groupBy("cell").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).select("cell", F.explode(F.array("lo", "hi")).alias("head"))
+    pairs = ends.join(heads, "cell").where("k <> head").select(F.least("k", "head").alias("a"), F.greatest("k", "head").alias("b")).distinct()
+    for c in "ab":
+        pairs = pairs.join(points.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")), c)
+    pairs = pairs.where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
+
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            x, y = batch.column("pa"), batch.column("pb")
+            keep = np.zeros(len(batch), bool)
+            both = power_of(n) * 64 + power_of(m)
+            for e in np.unique(both):
+                r = np.flatnonzero(both == e)
+                p, q = unpressed(x, r), unpressed(y, r)
+                most = min(p.shape[1], q.shape[1])
+                p, q = (fold(v, (v.shape[1] // most).bit_length() - 1) for v in (p, q))
+                keep[r] = bound_passes(p, q, n[r], m[r], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(pass_, "a long, b long")
+
+
+def owns(members: DataFrame) -> DataFrame:
+    """cell, own: the cells of several components, and a key of their components. members: cell, label."""
+    labels = members.select("cell", "label").distinct().groupBy("cell").agg(F.bit_xor(F.xxhash64("label")).alias("s"), F.count("*").alias("c")).where("c > 1")
+    return labels.select("cell", F.xxhash64("s", "c").alias("own"))
+
+
+def mixed_cells(members: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """cell, own, near, power, k, n, label: the classes of each tree of several components. members: own, k, n, label.
+
+    Cells of the same components are one, `own`. A class stands in the trees of its own number of groups and of those of the
+    smallest set it may be linked with. near: trees that share their least component have it in common, up to about
+    `chunk` rows; where they are worked on in one task, points and pairs that they share are sent once.
+    """
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("long"))
+    rows = members.select("own", F.explode(F.sequence(_power(least), _power(F.col("n")))).alias("power"), "k", "n", "label").distinct()
+    sizes = rows.groupBy("own", "power").agg(F.min("label").alias("least"), (F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("m")).where("mixed")
+    sizes = sizes.withColumn("parts", F.ceil(F.col("m") / chunk).cast("int"))
+    shares = sizes.groupBy("least").agg(F.ceil(F.sum(F.col("m") * F.col("parts")) / chunk).alias("shares"))
+    sizes = sizes.join(shares, "least").select("own", "power", "parts", "least", "shares")
+    rows = rows.join(sizes, ["own", "power"])
+    part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
+    rows = rows.withColumn("x", part).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("own", "power", F.least("x", "y"), F.greatest("x", "y"))
+    return rows.withColumn("cell", cell).select("cell", "own", F.xxhash64("least", F.pmod(F.xxhash64("cell"), F.col("shares"))).alias("near"), "power", "k", "n", "label")
+
+
+def candidates(members: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b: pairs of classes to verify, the `most` best of every label of a cell; own: the cells of which some label had more than that.
+
+    members: as mixed_cells() returns them. A partition gets the point of a class once, however many of its cells hold the class.
     """
     parts = common.partitions(members.sparkSession)
-    members = members.withColumn("p", F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int"))
+    members = members.withColumn("p", F.pmod("near", F.lit(parts)).cast("int"))
     sent = members.select("p", "k").distinct().join(points, "k")
     none = lambda t: F.lit(None).cast(t)
-    rows = members.select("p", "cell", "k", "n", "label", none("binary").alias("point")).unionByName(sent.select("p", none("long").alias("cell"), "k", none("long").alias("n"), none("long").alias("label"), "point"))
+    rows = members.select("p", "cell", "own", "power", "k", "n", "label", none("binary").alias("point")).unionByName(sent.select("p", none("long").alias("cell"), none("long").alias("own"), none("int").alias("power"), "k", "n", none("long").alias("label"), "point"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, blobs, place = [], [], None
+        heads: list[pa.RecordBatch] = []
+        place: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
         held: list[pa.RecordBatch] = []
         size = 0
         found: list[np.ndarray] = []
+        cut_short: set[int] = set()
         for batch in batches:
             m = batch.column("cell").null_count  # the points come first
             if m:
-                keys.append(batch.column("k").slice(0, m).to_numpy())
-                blobs.append(np.frombuffer(b"".join(batch.column("point").slice(0, m).to_pylist()), np.uint8).reshape(m, GROUPS))
+                heads.append(batch.slice(0, m).select(["k", "n", "point"]))
             if m == len(batch):
                 continue
             if place is None:
-                ids = np.concatenate(keys)
-                order = np.argsort(ids)
-                place = (ids[order], np.concatenate(blobs)[order])
+                place, heads = placed(heads), []
             held.append(batch.slice(m))
             size += len(batch) - m
             if size >= 50_000:
@@ -304,7 +388,7 @@ def candidates(members: DataFrame, points: DataFrame, percent: int, turn: str) -
                 cell = t.column("cell").to_numpy()
                 cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
                 if cut:
-                    found += work(t.slice(0, cut), *place)
+                    cut_short |= work(t.slice(0, cut), place, found)
                     held = t.slice(cut).to_batches()
                     size = sum(len(x) for x in held)
             if sum(map(len, found)) > 500_000:
@@ -312,49 +396,73 @@ def candidates(members: DataFrame, points: DataFrame, percent: int, turn: str) -
                 if len(found[0]) > 400_000:
                     yield out(found.pop())
         if held:
-            found += work(pa.Table.from_batches(held), *place)
+            cut_short |= work(pa.Table.from_batches(held), place, found)
         if found:
             yield out(np.unique(np.concatenate(found), axis=0))
+        none = pa.nulls(len(cut_short), pa.int64())
+        yield pa.record_batch([none, none, pa.array(sorted(cut_short), pa.int64())], ["a", "b", "own"])
 
     def out(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-
-    def work(t: pa.Table, ids: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-        cell, k, n, label = (t.column(c).to_numpy() for c in ("cell", "k", "n", "label"))
-        own, names = points[np.searchsorted(ids, k)], np.unique(label, return_inverse=True)[1]
-        forest = Forest(cell, own, n, names)
-        if turn != "lead":
-            pairs = forest.join(percent)
-            if turn == "best":
-                pairs = iter([best(pairs, cell, own, n, names)])
-        else:
-            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            o = np.lexsort((k, cell))
-            pairs = iter([forest.probe(o[edge], percent), forest.probe(o[np.append(edge[1:], len(cell)) - 1], percent)])
-        return [np.unique(np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], 1), axis=0) for a, b in pairs if len(a)]
-
-    def best(pairs: Iterator[tuple[np.ndarray, np.ndarray]], cell: np.ndarray, points: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        held = [np.empty(0, np.int64)] * 3
+        return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(pairs), pa.int64())], ["a", "b", "own"])
+
+    def placed(heads: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Keys and points by number of groups."""
+        t = pa.Table.from_batches(heads)
+        k, power, point = t.column("k").to_numpy(), power_of(t.column("n").to_numpy()), t.column("point").combine_chunks()
+        out = {}
+        for e in np.unique(power):
+            at = np.flatnonzero(power == e)
+            at = at[np.argsort(k[at])]
+            out[int(e)] = (k[at], unpressed(point, at))
+        return out
+
+    def work(t: pa.Table, place: dict[int, tuple[np.ndarray, np.ndarray]], found: list[np.ndarray]) -> set[int]:
+        columns = [t.column(c).to_numpy() for c in ("cell", "k", "n", "label", "own", "power")]
+        more: set[int] = set()
+        for e in np.unique(columns[-1]):
+            r = np.flatnonzero(columns[-1] == e)
+            cell, k, n, label, trees = (c[r] for c in columns[:-1])
+            own, power = np.empty((len(r), 1 << int(e)), np.uint8), power_of(n)
+            for f in np.unique(power):
+                at = np.flatnonzero(power == f)
+                ids, points = place[int(f)]
+                own[at] = fold(points[np.searchsorted(ids, k[at])], int(f - e))
+            names = np.unique(label, return_inverse=True)[1]
+            a, b, cut = best(Forest(cell, own, n, names).join(percent), cell, own, n, names)
+            more |= set(trees[cut].tolist())
+            if len(a):
+                found.append(np.unique(np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], 1), axis=0))
+        return more
+
+    def best(pairs: Iterator[tuple[np.ndarray, np.ndarray]], cell: np.ndarray, points: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The closest pairs of each label of a cell, and a row of each label that had more."""
+        more, held = [np.empty(0, np.int64)], [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         for a, b in pairs:
             close = np.concatenate([np.minimum(points[a[i : i + 8192]], points[b[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(a), 8192)] or [held[0]])
-            a, b, close = (np.concatenate(x) for x in zip(held, (a, b, close / (n[a] + n[b])), strict=True))
-            x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-            o = np.lexsort((-close, y, x, cell[a]))
-            c, x, y = cell[a][o], x[o], y[o]
-            first = np.concatenate(([True], (c[1:] != c[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(o)]
-            held = [v[o[first]] for v in (a, b, close)]
-        return held[0].astype(np.int64), held[1].astype(np.int64)
+            a, b, close = (np.concatenate(x) for x in zip(held, (np.concatenate((a, b)), np.concatenate((b, a)), np.tile(close / (n[a] + n[b]), 2)), strict=True))
+            o = np.lexsort((b, a, -close, label[a], cell[a]))
+            c, x = cell[a][o], label[a][o]
+            first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (x[1:] != x[:-1])))[: len(o)])
+            rank = np.arange(len(o)) - np.repeat(first, np.diff(np.append(first, len(o))))
+            more.append(a[o[rank == most]])
+            held = [v[o[rank < most]] for v in (a, b, close)]
+        return held[0], held[1], np.concatenate(more)
 
     dealt = rows.repartitionById(parts, F.col("p")).sortWithinPartitions(F.col("cell").isNotNull(), "cell", "label", "n", "k")
-    return dealt.select("cell", "k", "n", "label", "point").mapInArrow(reduce, "a long, b long").distinct()
+    return dealt.select("cell", "own", "power", "k", "n", "label", "point").mapInArrow(reduce, "a long, b long, own long")
 
 
 def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked. Texts are exchanged, as they compress; a class meets its partners in
-    up to 64 places, so one with many partners is dealt out.
+    places of about PARTNERS, so one with many partners is dealt out. Of a pair that with more partners has the places.
     """
-    slot = F.pmod(F.xxhash64("b"), F.lit(_SUBS))
-    pairs = pairs.withColumn("place", F.xxhash64("a", slot))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("d"))
+    for c in "ab":
+        pairs = pairs.join(degree.select(F.col("k").alias(c), F.col("d").alias(f"d{c}")), c)
+    swap = F.col("db") > F.col("da")
+    pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("d"))
+    slot = F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / PARTNERS))
+    pairs = pairs.select("a", "b", F.xxhash64("a", slot).alias("place"))
     sets = pairs.select(F.col("a").alias("k"), "place").unionByName(pairs.select(F.col("b").alias("k"), "place")).distinct()
     wanted = sets.join(nodes.select("k", "id", "tag"), "k")
 
@@ -363,7 +471,7 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, place, ids, tag = (batch.column(c).to_numpy() for c in ("k", "place", "id", "tag"))
-            rows = repeats.by_doc(0, n_docs, ids, tag.astype(np.uint16), k, place)
+            rows = repeats.by_doc(0, n_docs, ids, tag.view(np.uint64), k, place)
             if rows:
                 yield repeats.as_batch(rows).select(["bucket", "blob"])
 
@@ -423,47 +531,62 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int = CHUNK, most: int = MOST_FIRST) -> tuple[DataFrame, DataFrame]:
     """A row per document (doc_id, id, h, k, n), and of each set key k its component l with the component's least id and, under it, least text hash (component_id, first)."""
     spark = common.tuned(docs.sparkSession)
     scratch = common.Scratch(spark, "rtree")
     n_buckets = common.buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = scratch.keep(scan_sets(docs, width), "sets")
-    rows = scanned.where(F.col("part").isNull()).select("doc_id", "id", "tag", "h", "k", "n")
+    rows = scanned.where(F.col("part").isNull()).select("doc_id", "id", "tag", "h", "k", "k2", "n")
     level = levels(scanned)
-    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
+    one = F.when(F.min("k2") == F.max("k2"), F.first("n")).otherwise(F.raise_error(F.lit("two sets share a key; use other seeds")).cast("long"))
+    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), one.alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
     packed = scratch.keep(prefixes(docs, level, n_buckets, width, percent), "prefixes")
-    points = scratch.keep(packed.where("kind = 1").select("k", F.col("blob").alias("point")).dropDuplicates(["k"]), "points")
-    members = scratch.keep(cells(packed.where("kind = 0")).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
+    members = scratch.keep(cells(packed.where("kind = 0"), percent).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
+    own = packed.where("kind = 1").select("k", F.col("blob").alias("point")).join(members.select("k", "n").distinct(), "k")
+    points = scratch.keep(own.dropDuplicates(["k"]).select("k", "n", "point"), "points")
     scratch.drop_table(packed)
-    links, known = None, None
-    for turn in ("lead", "best", "all"):
-        if known is None:
-            ends = members.groupBy("k").agg(F.max(F.struct("size", "cell"))["cell"].alias("most"), F.min(F.struct("size", "cell"))["cell"].alias("least"))
-            ends = ends.select("k", F.explode(F.array_distinct(F.array("most", "least"))).alias("cell"))
-            own = members.join(ends, ["k", "cell"]).withColumn("label", F.col("k"))
-        else:
-            own = members.join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-            mixed = own.groupBy("cell").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("cell")
-            own = own.join(mixed, "cell", "left_semi")
-        pairs = scratch.keep(candidates(own.select("cell", "k", "n", "label"), points, percent, turn), "pairs")
-        found = scratch.keep(verify(spark, docs, pairs, nodes, width, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        known = components(links, scratch)
+    pairs, more = scratch.keep(lead(members, points, percent), "pairs"), True
+    tried = links = pairs.limit(0)
+    left = None
+    while True:
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            links = links.unionByName(scratch.keep(verify(spark, docs, pairs, nodes, width, percent), "links"))
+        known = components(links, scratch, few=few)
+        gc.collect()
+        spark._jvm.java.lang.System.gc()  # lets Spark delete the exchanges of the round
+        if not more:
+            break
+        named = members.select("cell", "k", "n").join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        named = named if left is None else named.join(left, "cell", "left_semi")
+        own = scratch.keep(owns(named), "cells")
+        while True:
+            offered = scratch.keep(candidates(mixed_cells(named.join(own, "cell"), percent, chunk), points, percent, most), "offered")
+            left = own.join(offered.where("own IS NOT NULL").select("own").distinct(), "own", "left_semi").select("cell")
+            pairs = scratch.keep(offered.where("own IS NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            most, more = 8 * most, not left.isEmpty()
+            if not more or not pairs.isEmpty():
+                break
+            named = named.join(left, "cell", "left_semi")
+            own = own.join(left, "cell", "left_semi")
+        if pairs.isEmpty():
+            break
     named = nodes.join(known, "k", "left").withColumn("l", F.coalesce("l", "k"))
     least = named.groupBy("l").agg(F.min(F.struct("id", "h")).alias("r")).select("l", F.col("r.id").alias("component_id"), F.col("r.h").alias("first"))
     return rows.select("doc_id", "id", "h", "k", "n"), scratch.keep(named.join(least, "l").select("k", "l", "component_id", "first"), "components")
 
 
-def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, **limits: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs, with k, the key of its set.
 
     component_id is the smallest doc_id among the rows reachable by links. Null and empty texts have no shingles and are
     linked with nothing, their component is their own id. Equal sets are linked. Rows of one id are rows of their own;
     a null id stands behind all others, and a component of null ids only has the id null. Other columns are ignored.
+    limits: few, chunk and most of linked(); they change the work, not the result.
     """
-    rows, named = linked(docs, width, percent)
+    rows, named = linked(docs, width, percent, **limits)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component_id") == repeats.NULL_ID, None).otherwise(F.col("component_id")))
     return rows.join(named, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "k")
 

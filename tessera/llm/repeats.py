@@ -2,12 +2,17 @@
 
 A window is `span` consecutive units (bytes or words) of one document. Every window is filed under its anchor, the
 least hash among the `gram`-unit grams inside it, so equal windows always share an anchor while a text has only about
-2 / (span - gram + 2) anchors a unit. Neighbouring windows with one anchor form a run; a run is exchanged as 31 bytes
-(anchor, hash of the run's content, document, place), never as text. Runs of equal content are settled by their
-hashes; only anchors with several contents need the windows themselves compared, by the method of the operator.
+2 / (span - gram + 2) anchors a unit. Neighbouring windows with one anchor form a run; a run is exchanged as 45 bytes
+(anchor, 128-bit digest of its content, document, place), never as text. Runs of equal digests are settled by them; only anchors with several contents need the windows themselves compared, by the method of the operator.
+Without `by_hash` nothing is settled so: all runs whose anchor stands in several documents are compared.
 A window reaches past its anchor by half the rest at least on one side, so runs that agree with no other in that much
 text before or after the anchor are left out of the comparison.
 
+Of runs of one content a task only sends those of its least document to the anchor's bucket, the others are settled
+where they are found; so what a bucket gathers of a passage grows with the number of tasks, not of documents.
+
+Rows are told apart by doc_id and a 64-bit digest of the text; rows that agree in both have the same spans.
+
 Order: a document precedes another if its doc_id is smaller. Null ids come last and none of them precedes another;
 rows with the same id do not precede each other, so they never remove one another's text.
 """
@@ -35,12 +40,16 @@ class Windows:
     span: int
     gram: int
 
-    def codes(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all units and each text's range of them."""
+    def counter(self) -> type:
+        """The narrowest type for the windows of a run."""
+        return np.uint8 if self.span - self.gram + 1 < 256 else np.uint32
+
+    def codes(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two independent codes of all units and each text's range of them."""
         if self.unit == "bytes":
-            return textnum.byte_codes(buf), off
+            return textnum.byte_codes(buf), textnum.byte_codes(buf, 1), off
         words = textnum.Words(buf, off)
-        return words.hashes(), words.off
+        return words.hashes(), words.hashes(1), words.off
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -49,18 +58,8 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), int(NULL_ID)).to_numpy(zero_copy_only=False)
 
 
-def tags_of(sp: textnum.Spans, off: np.ndarray) -> np.ndarray:
-    """Tells apart texts that stand under one id."""
-    return (sp.of(off[:-1], off[1:]) & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def text_tags(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    out = [tags_of(textnum.Spans(textnum.byte_codes(buf[off[i] : off[j]])), off[i : j + 1] - off[i]) for i, j in textnum.slices(off)]
-    return np.concatenate(out) if out else np.empty(0, np.uint16)
-
-
-def window_runs(codes: np.ndarray, off: np.ndarray, w: Windows):
-    """Text, first window, number of windows, anchor, content hash and hashes of the text before and after the anchor (0: too short) of every run."""
+def window_runs(codes: np.ndarray, others: np.ndarray, off: np.ndarray, w: Windows):
+    """Text, first window, number of windows, anchor, the two content hashes and hashes of the text before and after the anchor (0: too short) of every run."""
     n = len(codes) - w.span + 1
     if n <= 0:
         return None
@@ -76,6 +75,7 @@ def window_runs(codes: np.ndarray, off: np.ndarray, w: Windows):
     edge = np.flatnonzero(first)
     s, e, a = p[edge], p[np.append(edge[1:] - 1, len(p) - 1)], a[edge]
     content = textnum.mix(sp.of(s, e + w.span) ^ ((a - s).astype(np.uint64) << np.uint64(32)) ^ (e - s).astype(np.uint64))
+    second = textnum.Spans(others).of(s, e + w.span)
     doc = np.searchsorted(off, s, "right") - 1
     half = (w.span - w.gram) // 2
     before, after = np.zeros(len(s), np.uint16), np.zeros(len(s), np.uint16)
@@ -83,44 +83,59 @@ def window_runs(codes: np.ndarray, off: np.ndarray, w: Windows):
     before[k] = (sp.of(a[k] - half, a[k]) & np.uint64(0x7FFF)) + np.uint64(1)
     k = np.flatnonzero(e + w.span - a - w.gram >= half)
     after[k] = (sp.of(a[k] + w.gram, a[k] + w.gram + half) & np.uint64(0x7FFF)) + np.uint64(1)
-    return doc, s - off[doc], (e - s + 1), grams[a], content, before, after
+    return doc, s - off[doc], (e - s + 1), grams[a], content, second, before, after
+
+
+#: What a bucket holds: spans to remove and runs whose windows must be compared, both by bucket of document, new index entries by bucket of anchor, and runs to settle.
+SETTLED = "kind int, bucket int, blob binary"
+COVER, NEED, ENTRY, RUN = 0, 1, 2, 3
 
 
-def fingerprints(docs: DataFrame, w: Windows, n_buckets: int) -> DataFrame:
-    """Packed runs of all texts, by bucket of their anchors: anchor, content, id, tag, first unit, windows, text before and after."""
+def fingerprints(docs: DataFrame, w: Windows, n_buckets: int, by_hash: bool = True) -> DataFrame:
+    """Packed runs of all texts, by bucket of their anchors: anchor, content (two hashes), id, tag, first unit, windows, text before and after.
+
+    by_hash: runs whose content a smaller document of the same task has are spans to remove already.
+    """
+    n_docs = common.partitions(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covers, parts, held = ByDocument(COVER, n_docs), [], 0
         for batch in batches:
             ids, (buf, off) = ids_of(batch.column(0)), textnum.texts(batch.column(1))
-            parts = []
             for i, j in textnum.slices(off):
                 own = off[i : j + 1] - off[i]
                 raw = buf[off[i] : off[j]]
-                codes, units = w.codes(raw, own)
-                if (r := window_runs(codes, units, w)) is None:
+                if (r := window_runs(*w.codes(raw, own), w)) is None:
                     continue
-                doc, s, n, g, c, before, after = r
-                tag = tags_of(textnum.Spans(textnum.byte_codes(raw)), own)
-                parts.append((g, c, ids[i:j][doc], tag[doc], s.astype(np.uint32), n.astype(np.uint8), before, after))
-                if sum(len(x[0]) for x in parts) > 500_000:
-                    yield flush(parts)
-                    parts = []
-            if parts:
-                yield flush(parts)
-
-    def flush(parts: list) -> pa.RecordBatch:
-        g, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+                doc, s, n, g, c, c2, before, after = r
+                tag = textnum.digests(raw, own)
+                parts.append((g, c, c2, ids[i:j][doc], tag[doc], s.astype(np.uint32), n.astype(w.counter()), before, after))
+                held += len(g)
+                if held > 500_000:
+                    yield from flush(parts, covers)
+                    parts, held = [], 0
+        if parts:
+            yield from flush(parts, covers)
+        yield from covers.flush()
+
+    def flush(parts: list, covers: ByDocument) -> Iterator[pa.RecordBatch]:
+        g, c, c2, doc, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if by_hash:
+            o = np.argsort(c)
+            if ((c[o[1:]] == c[o[:-1]]) & (c2[o[1:]] != c2[o[:-1]])).any():
+                o = np.lexsort((c2, c))
+            edge = np.flatnonzero(np.concatenate(([True], (c[o[1:]] != c[o[:-1]]) | (c2[o[1:]] != c2[o[:-1]]))))
+            done = np.empty(len(c), bool)
+            done[o] = doc[o] > np.repeat(np.minimum.reduceat(doc[o], edge), np.diff(np.append(edge, len(o))))
+            if done.any():
+                tag, s, n = (x[done] for x in rest[:3])
+                yield from covers.add(doc[done], tag, s, s + n.astype(np.uint32) + np.uint32(w.span - 1))
+                g, c, c2, doc, *rest = (x[~done] for x in (g, c, c2, doc, *rest))
         bucket = (g >> np.uint64(32)) % np.uint64(n_buckets)
         g = g.astype(np.uint32)
-        rows = [(b, common.pack(g[r], *(x[r] for x in rest))) for b, r in common.split_rows(bucket, n_buckets)]
-        return pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, PACKED)
-
+        yield as_batch([(RUN, b, common.pack(g[r], c[r], c2[r], doc[r], *(x[r] for x in rest))) for b, r in common.split_rows(bucket, n_buckets)])
 
-#: What settle() returns: spans to remove and runs whose windows must be compared, both by bucket of document, and new index entries by bucket of anchor.
-SETTLED = "kind int, bucket int, blob binary"
-COVER, NEED, ENTRY = 0, 1, 2
+    return docs.select("doc_id", "text").mapInArrow(scan, SETTLED)
 
 
 class ByDocument:
@@ -153,47 +168,98 @@ def _shared(g: np.ndarray, context: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(packed: DataFrame, w: Windows) -> DataFrame:
-    """Decide by hashes what can be decided so. packed: bucket, fresh (false: entry of the index), blob."""
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """Anchor and the upper half of the content."""
+    return columns[0].astype(np.uint64) << np.uint64(32) | columns[1] >> np.uint64(32)
+
+
+def merge_runs(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of runs that are each sorted by anchor and content, merged by these; the last column tells the run of each row."""
+    parts = [[*x, np.full(len(x[0]), k, np.int16), _key(x)] for k, x in enumerate(parts)]
+    while len(parts) > 1:
+        parts = [merge_two(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    *out, key = parts[0]
+    c, c2 = out[1:3]
+    if ((key[1:] == key[:-1]) & ((c[1:] != c[:-1]) | (c2[1:] != c2[:-1]))).any():  # contents that agree in part of their hashes
+        o = np.lexsort((c2, c, out[0]))
+        out = [x[o] for x in out]
+    return out
+
+
+def merge_two(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+    at = np.searchsorted(x[-1], y[-1], "right") + np.arange(len(y[0]))
+    own = np.ones(len(x[0]) + len(y[0]), bool)
+    own[at] = False
+    out = []
+    for a, b in zip(x, y, strict=True):
+        c = np.empty(len(own), a.dtype)
+        c[own], c[at] = a, b
+        out.append(c)
+    return out
+
+
+def settle(packed: DataFrame, w: Windows, by_hash: bool = True) -> DataFrame:
+    """Decide by hashes what can be decided so. packed: kind, bucket, fresh (false: a run of the index), blob.
+
+    A run of the index holds the entries of a bucket in one blob, sorted by anchor and content; the batch is sorted, then merged with it.
+    """
     n_docs = common.partitions(packed.sparkSession)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         covers, needs = ByDocument(COVER, n_docs), ByDocument(NEED, n_docs)
-        for b, t in common.grouped(batches):
+        for b, t in common.grouped(passed(batches, ready := [])):
+            while ready:
+                yield ready.pop()
             fresh_rows = t.column("fresh").to_numpy()
-            blobs = t.column("blob").to_pylist()
-            parts = [common.unpack(x) for x in blobs]
-            fresh = np.repeat(fresh_rows, [len(x[0]) for x in parts])
-            g, c, doc, tag, s, n, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
-            o = np.lexsort((fresh, doc, c, g))
-            g, c, doc, tag, s, n, before, after, fresh = (x[o] for x in (g, c, doc, tag, s, n, before, after, fresh))
+            parts = [common.unpack(x) for x in t.column("blob").to_pylist()]
+            fresh = [x for x, new in zip(parts, fresh_rows, strict=True) if new]
+            if not fresh:
+                continue
+            new = [np.concatenate(x) for x in zip(*fresh, strict=True)]
+            o = np.argsort(_key(new), kind="stable")
+            runs = [[x[o] for x in new], *(x for x, own in zip(parts, fresh_rows, strict=True) if not own)]
+            g, c, c2, doc, tag, s, n, before, after, run = merge_runs(runs)
+            fresh = run == 0
             by_g = np.ones(len(g), bool)
             by_g[1:] = g[1:] != g[:-1]
             by_c = by_g.copy()
-            by_c[1:] |= c[1:] != c[:-1]
+            by_c[1:] |= (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
             cls, grp = np.cumsum(by_c) - 1, np.cumsum(by_g) - 1
             c_at, g_at = np.flatnonzero(by_c), np.flatnonzero(by_g)
-            least = doc[c_at][cls]
+            least = np.minimum.reduceat(doc, c_at)[cls]
             classes = np.bincount(grp[c_at], minlength=len(g_at))[grp]
             lo, hi = np.minimum.reduceat(doc, g_at)[grp], np.maximum.reduceat(doc, g_at)[grp]
-            new_class = fresh[c_at][cls]
-            moving = np.maximum.reduceat((fresh & new_class).astype(np.uint8), g_at)[grp] > 0
-            cover = fresh & (doc > least)
-            need = (doc == least) & (classes > 1) & (lo < hi) & moving
+            new_class = np.minimum.reduceat(fresh, c_at)[cls]
             entry = fresh & new_class & (doc == least)
-            at = np.flatnonzero(need)
-            if len(at):
-                need[at] = _shared(g[at], before[at], c[at]) | _shared(g[at], after[at], c[at])
-            if cover.any():
-                yield from covers.add(doc[cover], tag[cover], s[cover], s[cover] + n[cover].astype(np.uint32) + np.uint32(w.span - 1))
+            if by_hash:
+                cover = fresh & (doc > least)
+                moving = np.maximum.reduceat(fresh & new_class, g_at)[grp]
+                need = (doc == least) & (classes > 1) & (lo < hi) & moving
+                at = np.flatnonzero(need)
+                if len(at):
+                    need[at] = _shared(g[at], before[at], c[at]) | _shared(g[at], after[at], c[at])
+                if cover.any():
+                    yield from covers.add(doc[cover], tag[cover], s[cover], s[cover] + n[cover].astype(np.uint32) + np.uint32(w.span - 1))
+            else:
+                need = (lo < hi) & np.maximum.reduceat(fresh, g_at)[grp] & (fresh | (doc == least))
             if need.any():
                 yield from needs.add(doc[need], tag[need], s[need], n[need], g[need].astype(np.uint64) | (np.uint64(b) << np.uint64(32)))
             if entry.any():
-                yield as_batch([(ENTRY, int(b), common.pack(*(x[entry] for x in (g, c, doc, tag, s, n, before, after))))])
+                yield as_batch([(ENTRY, int(b), common.pack(*(x[entry] for x in (g, c, c2, doc, tag, s, n, before, after))))])
+        yield from ready
         yield from covers.flush()
         yield from needs.flush()
 
-    return common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "fresh", "blob").mapInArrow(reduce, SETTLED)
+    def passed(batches: Iterator[pa.RecordBatch], ready: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of runs; spans found before go on as they are."""
+        for batch in batches:
+            k = int(np.searchsorted(batch.column("kind").to_numpy(), RUN))
+            if k:
+                ready.append(batch.slice(0, k).select(["kind", "bucket", "blob"]))
+            if k < len(batch):
+                yield batch.slice(k)
+
+    return common.by_bucket(packed).sortWithinPartitions("kind", "bucket").select("kind", "bucket", "fresh", "blob").mapInArrow(reduce, SETTLED)
 
 
 def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -292,7 +358,7 @@ def attach(spark: SparkSession, docs: DataFrame, packed: DataFrame, bits: bytes,
                 if columns:
                     own = own.slice(k)
                     ids, (buf, off) = ids_of(own.column(2)), textnum.texts(own.column(3))
-                    if (out := use(own.column(2), ids, text_tags(buf, off), buf, off, columns)) is not None:
+                    if (out := use(own.column(2), ids, textnum.digests(buf, off), buf, off, columns)) is not None:
                         yield out
 
     rows = packed.select("bucket", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
@@ -389,7 +455,7 @@ def finish(spark: SparkSession, docs: DataFrame, cover: DataFrame, one: Callable
     def every(column, ids, tags, buf, off, columns):
         return use(column, ids, tags, buf, off, columns) if len(ids) else None
 
-    empty = common.pack(np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.uint32), np.empty(0, np.uint32))
+    empty = common.pack(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32))
     fill = spark.range(common.partitions(spark)).select(F.col("id").cast("int").alias("bucket"), F.lit(bytearray(empty)).alias("blob"))  # so that every bucket has columns
     touched = attach(spark, docs, cover.select("bucket", "blob").unionByName(fill), bits, every, schema)
     return docs.select("doc_id", "text").mapInArrow(untouched, schema).unionByName(touched)

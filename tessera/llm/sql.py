@@ -86,4 +86,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op4_jaccard_join": OP4, "op5_decontamination": OP5, "op6_quality_rules": OP6, "op9_substring_dedup": OP9}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op4_jaccard_join": OP4, "op5_decontamination": OP5, "op6_quality_rules": OP6, "op8_suffix_array_dedup": OP8, "op9_substring_dedup": OP9}

@@ -1,14 +1,20 @@
 """Substring dedup over words with a log-structured fingerprint index.
 
-The index is a list of immutable runs, each written once and sorted by fingerprint: anchor and content hash of a run
-of windows, with the first document that holds it. A new batch is merge-joined with the live runs bucket by bucket.
-Equal contents are repeats; contents that differ under one anchor are verified window by window on the words
-themselves. What the batch brings anew becomes the next run; when runs get too many they are compacted into one.
+The index is a folder of immutable runs and a manifest that lists the live ones. A run is written once, bucket by
+bucket and sorted by fingerprint: anchor and content hash of a run of windows, with the first document that holds it.
+A new batch is sorted and merge-joined with the live runs. A hit is verified by a second, independent digest of the
+words, so equality rests on 128 bits; contents that differ under one anchor are compared window by window on the words. What the batch brings anew becomes the next run; when
+runs get too many they are merged into one and deleted.
+
+The manifest is replaced by a rename, the last step of an addition: a job that breaks off before it leaves the index as
+it was, and another session can open the folder and go on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +27,70 @@ RULE = repeats.Windows("words", 50, 12)
 
 
 class FingerprintIndex:
-    """Incremental index. Batches must come in the order of precedence: no id of a batch is below one of an earlier batch."""
+    """Incremental index in a folder. Batches must come in the order of precedence: no id of a batch is below one of an earlier batch.
 
-    def __init__(self, spark: SparkSession, scratch: common.Scratch, rule: repeats.Windows = RULE, max_runs: int = 4, n_buckets: int | None = None):
-        self.spark, self.scratch, self.rule, self.max_runs = spark, scratch, rule, max_runs
-        self.n_buckets = n_buckets or common.buckets(spark)
-        self.runs: list[str] = []
+    Opens the index that the folder holds, with its own rule and buckets, or starts an empty one. Given working space
+    instead of a folder, it starts in a new folder there.
+    """
 
-    def entries(self) -> DataFrame | None:
-        return self.spark.read.schema(repeats.SETTLED).parquet(*self.runs).where(F.col("kind") == repeats.ENTRY) if self.runs else None
+    def __init__(self, spark: SparkSession, where: str | common.Scratch, rule: repeats.Windows = RULE, max_runs: int = 4, n_buckets: int | None = None):
+        self.spark, self.path, self.max_runs = spark, (where if isinstance(where, str) else where.path("index")).rstrip("/"), max_runs
+        self.fs = common.Files(spark)
+        held = self.fs.read(f"{self.path}/manifest.json")
+        held = json.loads(held) if held else {"runs": [], "rule": [rule.unit, rule.span, rule.gram], "buckets": n_buckets or common.buckets(spark)}
+        self.runs: list[str] = held["runs"]
+        self.rule, self.n_buckets = repeats.Windows(*held["rule"]), held["buckets"]
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Merge-join a batch with the index and take it in. Returns the spans settled and the runs to verify."""
-        packed = repeats.fingerprints(docs, self.rule, self.n_buckets).withColumn("fresh", F.lit(True))
-        if self.runs:
-            packed = packed.unionByName(self.entries().select("bucket", "blob").withColumn("fresh", F.lit(False)))
-        path = self.scratch.write(repeats.settle(packed, self.rule), "run")
-        self.runs.append(path)
-        out = self.spark.read.schema(repeats.SETTLED).parquet(path).where(F.col("kind") != repeats.ENTRY)
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return out
+    def _publish(self, runs: list[str]) -> None:
+        gone = [r for r in self.runs if r not in runs]
+        self.fs.replace(f"{self.path}/manifest.json", json.dumps({"runs": runs, "rule": [self.rule.unit, self.rule.span, self.rule.gram], "buckets": self.n_buckets}))
+        self.runs = runs
+        for r in gone:
+            self.fs.drop(f"{self.path}/{r}")
 
-    def compact(self) -> None:
-        """Merge all live runs into one sorted run."""
+    def _run(self) -> str:
+        return f"run-{uuid.uuid4().hex[:12]}"
 
-        def merge(batches):
-            for b, t in common.grouped(batches):
-                g, c, *rest = common.concat_packed(t.column("blob").to_pylist())
-                o = np.lexsort((rest[0], c, g))
-                yield repeats.as_batch([(repeats.ENTRY, int(b), common.pack(g[o], c[o], *(x[o] for x in rest)))])
+    def entries(self) -> DataFrame | None:
+        return self.spark.read.schema(repeats.SETTLED).parquet(*(f"{self.path}/{r}" for r in self.runs)) if self.runs else None
 
-        merged = common.by_bucket(self.entries()).sortWithinPartitions("bucket").mapInArrow(merge, repeats.SETTLED)
-        self.runs = [self.scratch.write(merged, "compacted")]  # earlier runs stay: their other rows are still read
+    def add(self, docs: DataFrame, scratch: common.Scratch | None = None, by_hash: bool = True) -> DataFrame:
+        """Merge-join a batch with the index and take it in. Returns the spans settled and the runs to verify."""
+        packed = repeats.fingerprints(docs, self.rule, self.n_buckets, by_hash).withColumn("fresh", F.lit(True))
+        if self.runs:
+            packed = packed.unionByName(self.entries().select(F.lit(repeats.RUN).alias("kind"), "bucket", "blob", F.lit(False).alias("fresh")))
+        out = (scratch or common.Scratch(self.spark, "batch")).keep(repeats.settle(packed, self.rule, by_hash), "settled")
+        self._write(out.where(F.col("kind") == repeats.ENTRY), run := self._run())
+        runs = [*self.runs, run]
+        if len(runs) > self.max_runs:
+            merged = common.by_bucket(self.spark.read.schema(repeats.SETTLED).parquet(*(f"{self.path}/{r}" for r in runs))).sortWithinPartitions("bucket").mapInArrow(_compacted, repeats.SETTLED)
+            self._write(merged, whole := self._run())
+            self.fs.drop(f"{self.path}/{run}")
+            runs = [whole]
+        self._publish(runs)
+        return out.where(F.col("kind") != repeats.ENTRY)
+
+    def spans(self, corpus: DataFrame, batch: DataFrame, scratch: common.Scratch) -> DataFrame:
+        """Take a batch in and return the spans of it to remove. corpus: all documents so far, the batch among them, whose words are read where hits are verified."""
+        return verified(corpus, self.add(batch, scratch), self.rule, self.n_buckets, scratch)
+
+    def _write(self, df: DataFrame, run: str) -> None:
+        df.write.parquet(f"{self.path}/{run}")
+
+
+def _compacted(batches):
+    """The runs of each bucket merged into one; of one content only the first is needed, it has the least document."""
+    for b, t in common.grouped(batches):
+        merged = repeats.merge_runs([common.unpack(x) for x in t.column("blob").to_pylist()])[:-1]
+        yield repeats.as_batch([(repeats.ENTRY, int(b), common.pack(*merged))])
+
+
+def verified(docs: DataFrame, settled: DataFrame, rule: repeats.Windows, n_buckets: int, scratch: common.Scratch) -> DataFrame:
+    """Spans to remove, by bucket of document: those settled and those that the words of the other runs confirm."""
+    need = settled.where(F.col("kind") == repeats.NEED)
+    runs = repeats.contents(docs.sparkSession, docs, need, repeats.bloom(need), rule, n_buckets)
+    out = scratch.keep(repeats.compare(runs, same_windows(rule.span)), "verified")
+    return settled.where(F.col("kind") == repeats.COVER).unionByName(out)
 
 
 def same_windows(span: int):
@@ -63,7 +100,7 @@ def same_windows(span: int):
         off = np.concatenate(([0], np.cumsum(size)))
         words = textnum.Words(raw, off)
         h = words.hashes()
-        one, two = textnum.Spans(h).windows(span), textnum.Spans(h, textnum._BASE2).windows(span)
+        one, two = textnum.Spans(h).windows(span), textnum.Spans(words.hashes(1)).windows(span)
         p = np.flatnonzero(textnum.left(words.off)[: len(one)] >= span)
         run = np.searchsorted(words.off, p, "right") - 1
         at = p - words.off[run]
@@ -90,7 +127,7 @@ def _row(data: bytes, lo: np.ndarray, hi: np.ndarray, with_text: bool) -> tuple:
     return (*row, kept.decode()) if with_text else row
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, rule: repeats.Windows = RULE, batches: int = 4, max_runs: int = 2, with_text: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, rule: repeats.Windows = RULE, batches: int = 4, max_runs: int = 2, with_text: bool = False, by_hash: bool = True) -> DataFrame:
     """Remove every word covered by a window whose words also start in a document with a smaller doc_id.
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256 and with_text the kept text. Null and empty
@@ -100,19 +137,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, rule: repeats.Windows =
     common.tuned(spark)
     scratch = common.Scratch(spark, "lsm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    index = FingerprintIndex(spark, scratch, rule, max_runs)
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    index = FingerprintIndex(spark, scratch.path("index"), rule, max_runs)
     settled = None
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         where = F.lit(True) if lo is None else F.col("doc_id") > lo
         where = where & (F.col("doc_id") <= hi) if hi is not None else (where | F.col("doc_id").isNull())
-        out = index.add(docs.where(where))
+        out = index.add(docs.where(where), scratch, by_hash)
         settled = out if settled is None else settled.unionByName(out)
-    n = index.n_buckets
-    need = settled.where(F.col("kind") == repeats.NEED)
-    verified = scratch.keep(repeats.compare(repeats.contents(spark, docs, need, repeats.bloom(need), rule, n), same_windows(rule.span)), "verified")
-    cover = settled.where(F.col("kind") == repeats.COVER).unionByName(verified)
+    cover = verified(docs, settled, rule, index.n_buckets, scratch)
     names, types = ["doc_id", "n_words", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.string()]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:

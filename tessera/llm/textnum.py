@@ -1,12 +1,14 @@
 """Vectorised text primitives over Arrow string columns.
 
-Everything here works on the UTF-8 bytes of whole Arrow batches with numpy, without a Python object for
-each text or word. Hashes are 64 bit: a polynomial over random letter codes modulo 2**64, finished by a
-mixing step, so that a hash of any span costs two look-ups in a prefix sum.
+Everything here works on the UTF-8 bytes of whole Arrow batches with numpy, without a Python object for each text or
+word. Hashes are 64 bits wide. A word is hashed eight bytes at a time, a window by joining the hashes of its halves;
+every step mixes its first argument nonlinearly, so no arrangement of two letters or words (as in a Thue-Morse word)
+cancels out. Where a result hangs on equality alone, a second hash of another seed makes 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_BASE, _BASE2 = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95 | 5
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_JOIN, _SEED = _U(0x9FB21C651E98DF25), _U(0xD1342543DE82EF95)
+_CODES = np.random.default_rng(20240229).integers(0, 2**64, (2, 256), dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bytes of the two word rules: runs of anything but ASCII white space, and of ASCII letters, digits and non-ASCII.
 NON_SPACE = np.ones(256, bool)
@@ -37,34 +41,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16, 2 * len(have[0]) if have else 0)
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        _powers[base] = have = tuple(both)
-    return have[0][:n], have[1][:n]
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two neighbours, from theirs."""
+    x = a >> _U(32)
+    x ^= a
+    x *= _JOIN
+    x += b
+    return x
 
 
 class Spans:
-    """Hashes of any span of a sequence of 64-bit codes."""
+    """Hashes of spans of a sequence of 64-bit codes, from the hashes of all windows of 1, 2, 4, ... units."""
 
-    def __init__(self, codes: np.ndarray, base: int = _BASE):
-        self.pow, self.inv = powers(len(codes) + 1, base)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * self.pow[:-1], out=self.sums[1:])
+    def __init__(self, codes: np.ndarray):
+        self.levels = [codes]
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inv[start])
+    def level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            w, k = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(join(w[: max(len(w) - k, 0)], w[k:]))
+        return self.levels[j]
 
     def windows(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:-k]) * self.inv[:n]) if n > 0 else np.empty(0, np.uint64)
+        """Hashes of all windows of k units."""
+        n, out, at = len(self.levels[0]) - k + 1, None, 0
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        for j in reversed(range(k.bit_length())):
+            if k >> j & 1:
+                part = self.level(j)[at : at + n]
+                out = part if out is None else join(out, part)
+                at += 1 << j
+        return mix(out)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans of any length, by the two windows that cover them; not comparable with windows()."""
+        size = end - start
+        out = np.zeros(len(start), np.uint64)
+        power = np.frexp(size)[1] - 1  # size 2**j to 2**(j + 1) - 1
+        for j in np.unique(power[size > 0]):
+            r = np.flatnonzero((power == j) & (size > 0))
+            w = self.level(int(j))
+            out[r] = join(w[start[r]], w[end[r] - (1 << int(j))])
+        return mix(out + size.astype(np.uint64) * _SEED)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +126,41 @@ class Words:
         self.off = np.searchsorted(self.start, off)
         self._rule = inside
 
-    def hashes(self) -> np.ndarray:
-        return Spans(_CODES[self.buf]).of(self.start, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """Hashes of the words; other seeds give independent ones."""
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) * _SEED + _U(seed + 1))
+        if not len(h):
+            return h
+        padded = np.concatenate((self.buf, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        rows, at = np.flatnonzero(size <= _LONG), 0
+        while len(rows):
+            some = eight[self.start[rows] + at] & _HEAD[np.minimum(size[rows] - at, 8)]
+            h[rows] = mix(join(h[rows], some))
+            at += 8
+            rows = rows[size[rows] > at]
+        for k in np.flatnonzero(size > _LONG):
+            h[k] = digest(self.buf[self.start[k] : self.end[k]], seed)
+        return h
 
     def counts(self) -> np.ndarray:
         return np.diff(self.off)
 
 
-def byte_codes(buf: np.ndarray) -> np.ndarray:
-    return _CODES[buf]
+def digest(data: np.ndarray | bytes, seed: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=bytes([seed + 1])).digest(), "little")
+
+
+def digests(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each text."""
+    data = buf.tobytes()
+    raw = b"".join(hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+    return np.frombuffer(raw, np.uint64)
+
+
+def byte_codes(buf: np.ndarray, seed: int = 0) -> np.ndarray:
+    return _CODES[seed][buf]
 
 
 def owner(off: np.ndarray) -> np.ndarray:

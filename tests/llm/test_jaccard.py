@@ -5,7 +5,7 @@ from tessera.llm import common, jaccard_rtree
 from tessera.llm.components import components
 
 
-def brute(rows):
+def brute(rows, percent=80):
     sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -20,7 +20,7 @@ def brute(rows):
 
     for a in range(n):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -100,3 +100,41 @@ def test_components_of_a_path_and_a_star(spark, few):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.k: r.l for r in components(df, common.Scratch(spark, "t"), few=few).collect()}
     assert got == {k: 0 for k in range(31)} | {100 + k: 100 for k in range(50)}
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_rounds_and_chunks_agree_with_brute_force(spark, prose, percent):
+    """Distributed components, cells in chunks, one proposal at first; other thresholds."""
+    words = prose(21, 60).split()
+    rows = []
+    for k in range(24):
+        w = list(words)
+        for j in range(k % 6):
+            w[(k * 7 + j * 9) % 60] = f"new{k}x{j}"
+        rows.append((k, " ".join(w[: 60 - k % 5])))
+    rows += [(100, " ".join(f"w{j}" for j in range(14))), (101, " ".join([*(f"w{j}" for j in range(10))])), (102, " ".join(f"w{j}" for j in range(4, 14)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_rtree.join(df, percent=percent, few=0, chunk=3, most=1).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == brute(rows, percent)
+
+
+def test_thue_morse_words_are_not_linked(spark):
+    """Two different words that cancel out under a polynomial modulo 2**64."""
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    swapped = t.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, t + swapped), (2, swapped + t), (3, t), (4, swapped)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_rtree.join(df).collect()} == {k: k for k in (1, 2, 3, 4)}
+
+
+def test_folded_points_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    for n, m in ((30, 40), (700, 800), (5000, 6100)):
+        both = rng.integers(0, 2**64, n // 2, dtype=np.uint64)
+        sets = [np.concatenate((both, rng.integers(0, 2**64, k - len(both), dtype=np.uint64))) for k in (n, m)]
+        points = []
+        for x in sets:
+            e = int(jaccard_rtree.power_of(np.array([len(x)]))[0])
+            points.append(np.bincount((x >> np.uint64(64 - e)).astype(np.int64), minlength=1 << e).astype(np.uint8)[None])
+        least = min(p.shape[1] for p in points)
+        p, q = (jaccard_rtree.fold(v, (v.shape[1] // least).bit_length() - 1) for v in points)
+        assert p.sum() == n and q.sum() == m and np.minimum(p, q).sum() >= len(both)

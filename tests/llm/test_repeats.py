@@ -125,3 +125,66 @@ def test_rows_of_negative_ids():
     columns = [np.array([-9, -5, -5, 0, 3, 3, 8]), np.array([1, 2, 4, 1, 1, 6, 2], np.uint16)]
     ids, tags = np.array([3, -5, 8, -9, -7, 0]), np.array([6, 4, 2, 1, 1, 1], np.uint16)
     assert repeats.rows_of(columns, ids, tags) == [(5, 6), (2, 3), (6, 7), (0, 1), (1, 1), (3, 4)]
+
+
+def test_results_of_batches_are_those_of_all_at_once(spark, prose):
+    """Spans of batches added one by one, also by a second index on the same folder, with compactions in between."""
+    passage = prose(1, 70)
+    docs = [(k, prose(10 + k, 30) + " " + (passage if k % 2 else prose(50 + k, 70)) + " " + prose(90 + k, 20)) for k in range(12)] + [(12, passage + " " + prose(10, 60)), (13, prose(99, 30) + " " + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scratch = common.Scratch(spark, "t")
+    folder, spans = scratch.path("index"), {}
+    for k in range(0, 14, 3):
+        index = substring_lsm.FingerprintIndex(spark, folder, max_runs=2)  # opened anew each time
+        batch = df.where(f"doc_id >= {k} AND doc_id < {k + 3}")
+        for r in index.spans(df.where(f"doc_id < {k + 3}"), batch, scratch).collect():
+            for i, _, a, b in zip(*common.unpack(bytes(r.blob)), strict=True):
+                spans.setdefault(int(i), set()).update(range(int(a), int(b)))
+        assert 1 <= len(index.runs) <= 2
+    assert {i: len(x) for i, x in spans.items()} == {i: n for i, _, n, _ in words_of(docs, 50) if n}
+    assert substring_lsm.FingerprintIndex(spark, folder).entries().count() > 0
+    import os
+
+    assert len([f for f in os.listdir(folder.removeprefix("file://")) if f.startswith("run-")]) == len(index.runs)
+
+
+@pytest.mark.parametrize("op,want", [(suffix_bwt, bytes_of), (substring_lsm, words_of)])
+def test_without_hashes_the_same_is_removed(spark, corpus, op, want):
+    got = op.remove_repeats(spark, corpus, by_hash=False).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want(rows_of(corpus), 50)
+
+
+@pytest.mark.parametrize("op,want", [(suffix_bwt, bytes_of), (substring_lsm, words_of)])
+def test_many_rows_without_an_id(spark, prose, op, want):
+    """Null ids and repeated ids that share a passage: each row keeps its own text."""
+    passage = prose(1, 60)
+    rows = [(None, f"{prose(100 + k, 6)} {passage} {prose(5000 + k, 4)}") for k in range(1500)] + [(5, passage), (7, passage + " a"), (7, "b " + passage)]
+    got = op.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want(rows, 50)
+
+
+def test_thue_morse_words_are_not_removed(spark, prose):
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    swapped, words = t.translate(str.maketrans("ab", "ba")), prose(4, 49)
+    rows = [(1, f"{t}{swapped} {words}"), (2, f"{swapped}{t} {words}"), (3, f"{t}{swapped} {words}")]
+    got = substring_lsm.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == words_of(rows, 50)
+
+
+def test_spans_of_wide_rules(spark, corpus):
+    """Runs of more than 255 windows."""
+    got = suffix_bwt.remove_repeats(spark, corpus, rule=repeats.Windows("bytes", 300, 16)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == bytes_of(rows_of(corpus), 300)
+
+
+def test_runs_merge_in_order():
+    rng = np.random.default_rng(3)
+    parts = []
+    for n in (50, 1, 70):
+        g, c, c2 = rng.integers(0, 4, n).astype(np.uint32), rng.integers(0, 3, n).astype(np.uint64), rng.integers(0, 2, n).astype(np.uint64)
+        o = np.lexsort((c2, c, g))
+        parts.append([g[o], c[o], c2[o], rng.integers(0, 9, n)])
+    g, c, c2, d, run = repeats.merge_runs(parts)
+    rows = sorted((int(a), int(b), int(x), int(y), k) for k, p in enumerate(parts) for a, b, x, y in zip(*p, strict=True))
+    assert sorted(zip(g.tolist(), c.tolist(), c2.tolist(), d.tolist(), run.tolist(), strict=True)) == rows
+    assert [r[:3] for r in zip(g.tolist(), c.tolist(), c2.tolist(), strict=True)] == [r[:3] for r in rows]
