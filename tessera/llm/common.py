@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import re
 import tempfile
@@ -35,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or where that is unset a new one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or where that is unset a new one (one machine only)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -83,10 +87,18 @@ class Files:
 
 
 class Scratch:
-    """Tables that cut lineage: written below the shared folder, read back, dropped when no later step reads them."""
+    """Tables that cut lineage: written below the shared folder, read back, dropped when no later step reads them.
+
+    What results still read is dropped when the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n, self.files = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", itertools.count(), Files(spark)
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        with contextlib.suppress(Exception):  # the store may be gone by now
+            self.files.drop(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{next(self.n):03d}-{name}"
@@ -107,6 +119,17 @@ class Scratch:
             self.drop(f)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

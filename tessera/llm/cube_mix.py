@@ -138,13 +138,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def apply_mix(docs: DataFrame, **rules) -> DataFrame:
-    """Rows of docs as often as the mix takes them."""
-    mixed = mix(docs, **rules).where(F.col("copies") > 0)
-    key = Window.partitionBy("__id", "__part").orderBy("__source", "__n")
-    mixed = mixed.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.col("part").alias("__part"), F.col("source").alias("__source"), F.lit(0).alias("__n"), "copies")
-    mixed = mixed.withColumn("__n", F.row_number().over(key)).groupBy("__id", "__part").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    own = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__part", F.xxhash64("text"))
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__part").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
-    joined = own.join(mixed, ["__id", "__part"])
-    each = F.floor((F.col("__copies") + F.col("__rows") - F.col("__n")) / F.col("__rows")).cast("int")  # shared out among equal rows
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(each, F.lit(1))))).where(each > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of docs as often as the mix takes them. Copies of rows of one id and text are shared out among these, in an order by their other columns."""
+    part, n, copies, rows, each = common.fresh(docs, "part", "n", "copies", "rows", "each")
+    mixed = mix(docs, **rules).groupBy("doc_id", "part").agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    mixed = mixed.select(F.col("doc_id").alias(each), F.col("part").alias(part), copies, rows)
+    own = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed[each]) & (F.xxhash64(docs["text"]) == mixed[part])).drop(each)
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    one = own.where(F.col(rows) == 1).withColumn(n, F.lit(1))
+    several = own.where(F.col(rows) > 1).withColumn(n, F.row_number().over(Window.partitionBy("doc_id", part).orderBy(F.xxhash64(others), others)))
+    both = one.unionByName(several).withColumn(each, F.floor((F.col(copies) + F.col(rows) - F.col(n)) / F.col(rows)).cast("int"))
+    taken = both.where(F.col(each) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(each))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

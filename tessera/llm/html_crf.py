@@ -3,7 +3,8 @@
 A page is read once into its leaf blocks: the pieces of text between block-level tags, each with the tags, class names
 and ids above it. A block's features are these ancestors and the shape of its text (length, share of linked text,
 punctuation, place). The field has two labels, content and other, weights for features and for neighbouring labels,
-and is decoded by Viterbi. It is trained by its likelihood on labelled pages; labelled_pages() makes a set of them from
+and is decoded by Viterbi. Whether article or main elements hold
+two fifths of a page's text, and the block, is a feature too, so that boxes of unknown names beside them are told apart. It is trained by its likelihood on labelled pages; labelled_pages() makes a set of them from
 templates of common page layouts, other labelled pages can be given instead.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,29 +45,81 @@ OPEN_ENDED = frozenset("noscript template iframe svg select".split())
 #: Tags whose start implies the end of an open one of the same kind.
 IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: Other tags whose start ends an open paragraph.
+ENDS_PARAGRAPH = frozenset("div article section ul ol table h1 h2 h3 h4 h5 h6 footer header nav aside form main blockquote pre".split())
+
 
 @dataclass
 class Block:
     text: str
-    above: tuple[str, ...]
+    above: tuple[str, ...]  # distinct tags and .names
     linked: int
+    tag: str = "-"  # the nearest tag that makes a block
+
+
+class _Open:
+    """The open elements, so kept that a tag costs the same at any depth."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of tags that make a block
+        self.counts: dict[str, int] = {}
+        self._above: tuple[str, ...] | None = ()
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append((tag, names))
+        for x in (tag, *("." + w for w in names)):
+            if not self.counts.setdefault(x, 0):
+                self._above = None
+            self.counts[x] += 1
+
+    def close(self, k: int) -> None:
+        while len(self.tags) > k:
+            tag, names = self.tags.pop()
+            self.places[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+            for x in (tag, *("." + w for w in names)):
+                self.counts[x] -= 1
+                if not self.counts[x]:
+                    del self.counts[x]
+                    self._above = None
+
+    def last(self, tag: str) -> int | None:
+        at = self.places.get(tag)
+        return at[-1] if at else None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def above(self) -> tuple[str, ...]:
+        if self._above is None:
+            self._above = tuple(self.counts)
+        return self._above
+
+    def block(self) -> str:
+        return self.tags[self.blocks[-1]][0] if self.blocks else "-"
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page, in page order. Character references are decoded, white space is made single."""
     out: list[Block] = []
-    open_: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     held: list[str] = []
-    linked = links = 0
-    in_head = False
+    linked = 0
     above: tuple[str, ...] = ()
+    nearest = "-"
 
     def flush() -> None:
-        nonlocal held, linked, above
+        nonlocal held, linked
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, above, min(linked, len(text))))
+                out.append(Block(text, above, min(linked, len(text)), nearest))
             held, linked = [], 0
 
     def names(attributes: str) -> tuple[str, ...]:
@@ -73,18 +127,9 @@ def blocks(page: str) -> list[Block]:
             return ()
         return tuple(w for m in _NAMES.finditer(attributes) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower()))
 
-    def close(k: int) -> None:
-        nonlocal links, in_head
-        for tag, _ in open_[k:]:
-            if tag == "a":
-                links -= 1
-            elif tag == "head":
-                in_head = False
-        del open_[k:]
-
     def leave_head() -> None:
         flush()
-        close(next(k for k, (tag, _) in enumerate(open_) if tag == "head"))
+        open_.close(open_.places["head"][0])
 
     for m in _TOKEN.finditer(page):
         tag = m[4]
@@ -100,22 +145,22 @@ def blocks(page: str) -> list[Block]:
             if not held:
                 if not text.strip():
                     continue
-                if in_head:
+                if open_.has("head"):
                     leave_head()
-                above = tuple(x for t, n in open_ for x in (t, *("." + w for w in n)))
+                above, nearest = open_.above(), open_.block()
             held.append(text)
-            if links:
+            if open_.has("a"):
                 linked += len(text)
             continue
         tag = tag.lower()
         if m[3]:
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
+            k = open_.last(tag)
             if tag not in INLINE:
                 flush()
-            if k is not None and (tag not in INLINE or all(t in INLINE for t, _ in open_[k:])):
-                close(k)
+            if k is not None and (tag not in INLINE or not open_.blocks or open_.blocks[-1] < k):
+                open_.close(k)
             continue
-        if in_head and tag not in HEAD:
+        if open_.has("head") and tag not in HEAD:
             leave_head()
         if tag == "br":
             if held:
@@ -123,40 +168,37 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             if tag not in VOID:
-                open_.append((tag, names(m[5])))
-                links += tag == "a"
+                open_.push(tag, names(m[5]))
             continue
         flush()
         if tag in VOID or tag in OPEN_ENDED:
             continue
-        if tag in IMPLIED or tag in ("div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "footer", "header", "nav", "aside", "form", "main", "blockquote", "pre"):
-            ends = IMPLIED.get(tag, ("p",))
-            k = len(open_)
-            while k and (open_[k - 1][0] in INLINE or open_[k - 1][0] in ends):
-                k -= 1
-                if open_[k][0] in ends:
-                    close(k)
-                    break
         # a line's tags that were left open don't reach into the next block
-        while open_ and open_[-1][0] in INLINE:
-            close(len(open_) - 1)
-        open_.append((tag, names(m[5])))
-        in_head = in_head or tag == "head"
+        open_.close(open_.blocks[-1] + 1 if open_.blocks else 0)
+        if open_.tags and (tag in IMPLIED or tag in ENDS_PARAGRAPH) and open_.block() in IMPLIED.get(tag, ("p",)):
+            open_.close(open_.blocks[-1])
+            open_.close(open_.blocks[-1] + 1 if open_.blocks else 0)
+        open_.push(tag, names(m[5]))
     flush()
     return out
 
 
+#: Elements that hold a page's own text.
+ROOTS = frozenset(("article", "main"))
 _BINS = (1, 3, 6, 12, 25, 50, 100)
 
 
 def features(all_: list[Block]) -> list[list[str]]:
     n, out = len(all_), []
+    inside = [not ROOTS.isdisjoint(b.above) for b in all_]
+    rooted = 5 * sum(len(b.text) for b, x in zip(all_, inside, strict=True) if x) >= 2 * sum(len(b.text) for b in all_) > 0  # not if only comments are articles
     for i, b in enumerate(all_):
         words = b.text.count(" ") + 1
         share = b.linked / len(b.text)
         f = {"bias", *("up:" + a for a in b.above)}
-        tags = [a for a in b.above if a[0] != "."]
-        f.add("tag:" + next((t for t in reversed(tags) if t not in INLINE), "-"))
+        f.add("tag:" + b.tag)
+        root = "root:" + ("none" if not rooted else "in" if inside[i] else "out")
+        f |= {root, f"{root}:{b.tag}"}
         f.add(f"words:{sum(words > x for x in _BINS)}")
         f.add(f"links:{0 if share == 0 else 1 if share < 0.4 else 2 if share < 0.9 else 3}")
         f.add("ends:" + (b.text[-1] if b.text[-1] in ".!?:;,\"»”" else "-"))
@@ -165,6 +207,8 @@ def features(all_: list[Block]) -> list[list[str]]:
             f.add("first")
         if i == n - 1:
             f.add("last")
+        if n == 1:
+            f.add("alone")
         if b.text[0] in "©|»›•":
             f.add("sign")
         out.append(sorted(f))
@@ -210,15 +254,19 @@ class Field:
         return " ".join(b.text for b, keep in zip(found, labels, strict=True) if keep), list(zip(found, labels, strict=True))
 
 
-def train(pages: list[tuple[str, list[bool]]], rounds: int = 12, penalty: float = 0.02, rate: float = 0.3) -> Field:
-    """Maximum likelihood with a penalty, by adaptive gradient steps over pages. pages: html and the label of each block."""
+def train(pages: list[tuple[str, list[bool]]], rounds: int = 12, penalty: float = 0.02, rate: float = 0.3, least: int = 3) -> Field:
+    """Maximum likelihood with a penalty, by adaptive gradient steps over pages. pages: html and the label of each block.
+
+    Features of fewer than `least` pages get no weight, so names that one page has don't explain its labels away.
+    """
     data = []
     for page, labels in pages:
         f = features(blocks(page))
         if f and len(f) == len(labels):
             data.append((f, np.array(labels, int)))
-    index = {x: k for k, x in enumerate(sorted({x for f, _ in data for b in f for x in b}))}
-    coded = [([np.array([index[x] for x in b]) for b in f], y) for f, y in data]
+    seen = Counter(x for f, _ in data for x in {x for b in f for x in b})
+    index = {x: k for k, x in enumerate(sorted(x for x, c in seen.items() if c >= least))}
+    coded = [([np.array([index[x] for x in b if x in index]) for b in f], y) for f, y in data]
     w, pairs, start = np.zeros(len(index)), np.zeros((2, 2)), np.zeros(2)
     gw, gp, gs = np.full(len(index), 1e-3), np.full((2, 2), 1e-3), np.full(2, 1e-3)
     order = random.Random(7)
@@ -273,6 +321,13 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[bool]]]
             text = text.replace(". ", ".<br>", 1)
         return text + r.choice([".", ".", ".", "", "!"])
 
+    def name(*known: str) -> str:
+        """A start tag's content; its class is now and then one that no other page has."""
+        wrap = r.choice(known)
+        if r.random() < 0.15:
+            return f'{"div" if wrap.split()[0] not in ("aside", "section") else wrap.split()[0]} class="{words(1, 1)}{r.randint(0, 999)}"'
+        return wrap
+
     def links(k: int) -> str:
         return "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(k))
 
@@ -293,18 +348,30 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[bool]]]
         def box(wrap: str, text: str, put=put) -> None:
             put(f"<{wrap}>", text, f"</{wrap.split()[0]}>", False)
 
+        if r.random() < 0.12:  # text without any frame
+            kind, m = r.random(), r.randint(1, 5)
+            if kind < 0.3:
+                put("", prose(2, 8).replace("<br>", " "), "", True)
+            else:
+                if kind < 0.6:
+                    put("<h1>", words(2, 10), "</h1>", True)
+                for _ in range(m if kind < 0.8 else 1):
+                    put(r.choice(["<p>", "<p>", "<div>"]), prose(1, 8), "", True)
+                    page[-1] += "</div>" if page[-1].startswith("<div>") else "</p>"
+            out.append((r.choice(["", f"<html><head><title>{words(1, 5)}</title></head><body>"]) + "".join(page), labels))
+            continue
         if r.random() < 0.4:
-            box(r.choice(["header", 'div class="header"', 'div id="masthead"', 'div class="site-header"']), words(1, 6))
+            box(name("header", 'div class="header"', 'div id="masthead"', 'div class="site-header"'), words(1, 6))
         if r.random() < 0.8:
             menu(r.randint(1, 9), r.choice(["nav", "nav", 'div class="menu"', 'div id="nav"', 'div class="breadcrumb"', 'ul class="navbar"']))
         if r.random() < 0.35:
-            box(r.choice(['div class="cookie-notice"', 'div class="notice"', 'div id="cookie-banner"', 'div class="alert"', 'div role="alert"', 'section class="notification"', 'div class="consent"', 'p class="notice"']), prose(1, 2))
+            box(name('div class="cookie-notice"', 'div class="notice"', 'div id="cookie-banner"', 'div class="alert"', 'div role="alert"', 'section class="notification"', 'div class="consent"', 'p class="notice"'), prose(1, 2))
         if r.random() < 0.6:
-            box(r.choice(['div class="ad"', 'div class="ad"', 'div class="ads"', 'div class="advert"', 'aside class="ad"', 'div id="banner"', 'div class="sponsored"', 'div class="promo"', 'div class="advertisement"']), prose(1, 3))
+            box(name('div class="ad"', 'div class="ad"', 'div class="ads"', 'div class="advert"', 'aside class="ad"', 'div id="banner"', 'div class="sponsored"', 'div class="promo"', 'div class="advertisement"'), prose(1, 3))
         side = lambda page=page, labels=labels, box=box, menu=menu: box(r.choice(['aside', 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'div class="widget"', 'div class="related"']), prose(1, 3)) if r.random() < 0.5 else menu(r.randint(2, 6), r.choice(["aside", 'div class="sidebar"', 'div class="related-posts"']))
         if r.random() < 0.25:
             side()
-        wrap = r.choice(["article", "article", "article", "main", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'section class="story"', 'div class="article-body"', "body"])
+        wrap = r.choice(["article", "article", "article", "article", "article", "main", "main", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'section class="story"', 'div class="article-body"', "body"])
         page.append(f"<{wrap}>" if wrap != "body" else "<div>")
         if r.random() < 0.85:
             put("<h1>", words(2, 14), "</h1>", True)
@@ -332,7 +399,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[bool]]]
                 labels.extend([True] * m)
         page.append(f"</{wrap.split()[0]}>" if wrap != "body" else "</div>")
         if r.random() < 0.35:
-            inner = r.choice(["section", "div", "ol", "div"]) + " " + r.choice(['class="comments"', 'id="comments"', 'class="comment-list"', 'class="user-comments"', 'class="responses"'])
+            inner = r.choice(["section", "div", "ol", "div"]) + " " + r.choice(['class="comments"', 'id="comments"', 'class="comment-list"', 'class="user-comments"', 'class="responses"', 'id="disqus_thread"', 'class="discussion"', *[f'class="{words(1, 1)}"'] * 4])
             m = r.randint(1, 5)
             page.append(f"<{inner}>" + "".join(r.choice(['<div class="comment"><p>%s</p></div>', "<p>%s</p>", '<article class="comment"><p>%s</p></article>', '<li class="comment">%s</li>']) % prose(1, 4) for _ in range(m)) + f"</{inner.split()[0]}>")
             labels.extend([False] * m)

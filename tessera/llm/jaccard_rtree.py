@@ -599,9 +599,10 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     """
     rows, named = linked(docs, width, percent)
     is_first = (F.col("n") == 0) | ((F.col("id") == F.col("component_id")) & (F.col("h") == F.col("first")))
-    firsts = rows.join(named, "k", "left").where(is_first).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
+    i, h, n = common.fresh(docs, "id", "h", "n")
+    firsts = rows.join(named, "k", "left").where(is_first).groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.count("*").alias(n))
     firsts = common.Scratch(docs.sparkSession, "firsts").keep(firsts, "firsts")
-    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(repeats.NULL_ID))), "__h": F.xxhash64(F.col("text").cast("string"))})
-    own = own.join(firsts.drop("__n"), ["__id", "__h"], "left_semi")
-    own = own if firsts.where("__n > 1").isEmpty() else own.dropDuplicates(["__id", "__h"])
+    own = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(int(repeats.NULL_ID))), h: F.xxhash64(F.col("text").cast("string"))})
+    own = own.join(firsts.drop(n), [i, h], "left_semi")
+    own = own if firsts.where(F.col(n) > 1).isEmpty() else own.dropDuplicates([i, h])
     return own.select(*[F.col(f"`{c}`") for c in docs.columns])

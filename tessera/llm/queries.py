@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from .common import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{common.shared_dir(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    base = common.Scratch(spark, "archives").path("warc")
     manifest = warc.write_archives(spark, table(spark, sf_dir, "pages"), base)
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

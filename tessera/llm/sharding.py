@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SIZE = 65_537
 SHARDS = tuple(f"shard-{k:04d}" for k in range(64))
 #: The largest table that is broadcast: 16 bytes a slot.
@@ -65,8 +67,9 @@ def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, si
 
     Repeated rows and equal keys share a shard. Null keys go by the fallback column, if there is one, else to one shard.
     """
-    rows = pa.table({"__slot": pa.array(range(size), pa.int32()), into: pa.array([shards[k] for k in lookup_table(shards, size, weights)])})
+    (name,) = common.fresh(df, "slot")
+    rows = pa.table({name: pa.array(range(size), pa.int32()), into: pa.array([shards[k] for k in lookup_table(shards, size, weights)])})
     table = F.broadcast(df.sparkSession.createDataFrame(rows))
-    df = df.drop(into)
     at = slot(F.col(f"`{key}`"), size, F.col(f"`{fallback}`") if fallback else None).cast("int")
-    return df.withColumn("__slot", at).join(table, "__slot").select(*[F.col(f"`{c}`") for c in df.columns], into)
+    names = [c for c in df.columns if c.lower() != into.lower()]
+    return df.withColumn(name, at).drop(into).join(table, name).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{into}`"))

@@ -6,18 +6,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 OP8 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS u(p)),
-f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+c AS (SELECT doc_id, b, substr(h, 1000 * b + 1, 1098) AS c FROM d, unnest(range(0, greatest(0, (length(h) // 2 + 450) // 500))) AS u(b)),
+w AS (SELECT doc_id, 500 * b + q AS p, substr(c, 2 * q + 1, 100) AS s FROM c, unnest(range(0, least(500, length(c) // 2 - 49))) AS u(q)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
 hit AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE f.m < w.doc_id),
-gone AS (SELECT DISTINCT doc_id, p + k AS p FROM hit, unnest(range(0, 50)) AS u(k)),
-b AS (SELECT d.doc_id, u.p, substr(h, 2 * u.p + 1, 2) AS x, g.p IS NOT NULL AS cut
-      FROM d CROSS JOIN unnest(range(0, length(h) // 2)) AS u(p) LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.p = u.p),
-r AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM b),
-a AS (SELECT doc_id, count(*) AS n_bytes, count_if(cut) AS n_removed, count_if(opens) AS n_spans,
-      string_agg(x, '' ORDER BY p) FILTER (WHERE NOT cut) AS kept FROM r GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM d LEFT JOIN a USING (doc_id)
+o AS (SELECT *, coalesce(p > 50 + lag(p) OVER (PARTITION BY doc_id ORDER BY p), true) AS opens FROM hit),
+r AS (SELECT *, count_if(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, k),
+x AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM spans),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+      string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) AS kept FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
 """
 
 OP9 = f"""

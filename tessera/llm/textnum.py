@@ -126,14 +126,21 @@ class Words:
         self.off = np.searchsorted(self.start, off)
         self._rule = inside
 
+    def _eight(self) -> np.ndarray:
+        """The eight bytes from each place on."""
+        return np.ndarray(len(self.buf) + 1, "<u8", np.concatenate((self.buf, np.zeros(8, np.uint8))), strides=(1,))
+
+    def beginnings(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the first n bytes, 8 at most, of some words."""
+        return mix((self._eight()[self.start[at]] & _HEAD[n]) * _JOIN + _U(n))
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """Hashes of the words; other seeds give independent ones."""
         size = self.end - self.start
         h = mix(size.astype(np.uint64) * _SEED + _U(seed + 1))
         if not len(h):
             return h
-        padded = np.concatenate((self.buf, np.zeros(8, np.uint8)))
-        eight = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        eight = self._eight()
         rows, at = np.flatnonzero(size <= _LONG), 0
         while len(rows):
             some = eight[self.start[rows] + at] & _HEAD[np.minimum(size[rows] - at, 8)]

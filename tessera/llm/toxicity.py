@@ -2,12 +2,14 @@
 
 Tokens that look disguised (look-alike digits and signs inside words, letters repeated or set apart by signs or blanks)
 become lattices: each character may stand for itself or for letters it resembles, a repetition for one or two letters,
-a separator for nothing, and where letters are set apart by blanks, words may end between any two. A beam Viterbi search finds the likeliest readings under a trigram model of characters whose
-counts come from all documents. Words of the text and restored readings are then scored together by logistic
+a separator for nothing, and where letters are set apart by blanks, words may end between any two. Viterbi decoding
+finds the likeliest readings under a trigram model of characters whose counts come from all documents: its states are
+the last two symbols, and each keeps its best readings, so the result is exact. Words of the text and restored readings are then scored together by logistic
 regression over the words and word beginnings that best tell labelled documents apart.
 
 The classifier is fitted on at most `most_labels` labelled rows (the least by a hash of their ids), rows of the held-out
-part are never used. Only the text enters a score.
+part are never used. Features are counted and chosen by Spark; the driver gets the chosen ones, MOST_FEATURES of a row at
+most, whatever the length of a text. Only the text enters a score.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ THRESHOLD = 0.3
 #: Letters that a character may stand for besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 SEPARATORS = ".-_*~"
-BEAM, READINGS = 12, 3
+READINGS = 3
 _EDGE, _OTHER, _SYMBOLS = 26, 27, 28
 _CLASS = np.full(256, _EDGE, np.int64)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(26)
@@ -103,27 +105,37 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def readings(token: str, model: CharModel, n: int = READINGS, beam: int = BEAM, spaced: bool = False) -> list[str]:
-    """The likeliest readings of a token. spaced: its characters stood apart, so it may be several words."""
+def readings(token: str, model: CharModel, n: int = READINGS, spaced: bool = False) -> list[str]:
+    """The n likeliest readings of a token, by Viterbi with n readings a state. spaced: its characters stood apart, so it may be several words."""
     logp = model.logp
-    states: dict[tuple[str, int, int], float] = {("", _EDGE, _EDGE): 0.0}
+    states: dict[tuple[int, int], dict[str, float]] = {(_EDGE, _EDGE): {"": 0.0}}
+
+    def best(texts: dict[str, float]) -> dict[str, float]:
+        return texts if len(texts) <= n else dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[:n])
+
     for step in lattice(token):
         if spaced:
-            states |= {(text + " ", b, _EDGE): score + logp[a, b, _EDGE] for (text, a, b), score in states.items() if b != _EDGE}
-        new: dict[tuple[str, int, int], float] = {}
-        for (text, a, b), score in states.items():
+            ended: dict[tuple[int, int], dict[str, float]] = {}
+            for (a, b), texts in states.items():
+                if b != _EDGE:
+                    ended.setdefault((b, _EDGE), {}).update({t + " ": s + logp[a, b, _EDGE] for t, s in texts.items()})
+            for key, texts in ended.items():
+                states[key] = best(states.get(key, {}) | texts)
+        new: dict[tuple[int, int], dict[str, float]] = {}
+        for (a, b), texts in states.items():
             for x, cost in step:
-                s, p, q = score + cost, a, b
+                s, p, q = cost, a, b
                 for c in x:
                     k = ord(c) - 97 if "a" <= c <= "z" else _OTHER
                     s += logp[p, q, k]
                     p, q = q, k
-                key = (text + x, p, q)
-                if s > new.get(key, -1e300):
-                    new[key] = s
-        states = dict(sorted(new.items(), key=lambda kv: -kv[1])[: 2 * beam if spaced else beam])
-    ends = sorted(((s + logp[a, b, _EDGE], t) for (t, a, b), s in states.items()), reverse=True)
-    return [t for _, t in ends if t][:n]
+                own = new.setdefault((p, q), {})
+                for t, before in texts.items():
+                    if before + s > own.get(t + x, -1e300):
+                        own[t + x] = before + s
+        states = {key: best(texts) for key, texts in new.items()}
+    ends = sorted(((-s - logp[a, b, _EDGE], t) for (a, b), texts in states.items() for t, s in texts.items() if t.strip()))
+    return [t for _, t in ends][:n]
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
@@ -186,13 +198,12 @@ def features(buf: np.ndarray, off: np.ndarray, model: CharModel, memo: dict[tupl
 
     def hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = textnum.Words(buf, off, textnum.ALNUM, lower=True)
-        spans = textnum.Spans(textnum.byte_codes(words.buf))
         doc = textnum.owner(words.off)
-        d, x = [doc], [spans.of(words.start, words.end)]
+        d, x = [doc], [words.hashes()]
         for n in _PREFIXES:
             k = np.flatnonzero(words.end - words.start > n)
             d.append(doc[k])
-            x.append(textnum.mix(spans.of(words.start[k], words.start[k] + n) + np.uint64(n)))
+            x.append(words.beginnings(k, n))
         return np.concatenate(d), np.concatenate(x)
 
     doc, x = hashes(buf, off)
@@ -245,45 +256,59 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], model: CharModel, most: int = MOST_FEATURES, threshold: float = THRESHOLD) -> Scorer:
-    """Logistic regression over the features that best tell the classes apart. rows: label, features of a document."""
-    y = np.array([t for t, _ in rows], float)
-    if len(set(y.tolist())) < 2:  # one class or no labels: the same score for all
-        share = (y.sum() + 0.1) / (len(y) + 1.0)
-        return Scorer(model, _EMPTY, np.empty(0), float(np.log(share / (1 - share))))
-    doc = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    x, at = np.unique(np.concatenate([f for _, f in rows]), return_inverse=True)
-    n1, n0 = np.bincount(at[y[doc] == 1], minlength=len(x)), np.bincount(at[y[doc] == 0], minlength=len(x))
-    p1, p0 = (n1 + 0.5) / (y.sum() + 1), (n0 + 0.5) / ((1 - y).sum() + 1)
-    z = np.log(p1 / p0) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    z[(n1 + n0) < 3] = 0
-    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:most])
-    best = best[np.abs(z[best]) > 1.5]
-    place = np.full(len(x), -1)
-    place[best] = np.arange(len(best))
-    k = place[at] >= 0
-    m = np.zeros((len(rows), len(best) + 1), np.float32)
-    m[doc[k], place[at[k]]] = 1
-    m[:, -1] = 1
-    w = np.zeros(m.shape[1])
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
-    penalty = np.full(len(w), 0.5)
+def minimum(loss, w: np.ndarray, rounds: int = 200, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+    """Least point of a smooth convex function (value and gradient) by limited-memory BFGS with backtracking."""
+    value, grad = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, alphas = -grad, []
+        for s, y, rho in reversed(steps):
+            alphas.append(rho * (s @ d))
+            d = d - alphas[-1] * y
+        if steps:
+            s, y, rho = steps[-1]
+            d = d / (rho * (y @ y))
+        for (s, y, rho), alpha in zip(steps, reversed(alphas), strict=True):
+            d = d + (alpha - rho * (y @ d)) * s
+        slope, size = grad @ d, 1.0 if steps else 1.0 / max(1.0, float(np.abs(grad).sum()))
+        while True:
+            new, new_grad = loss(w + size * d)
+            if new <= value + 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        s, y = size * d, new_grad - grad
+        w, change, value, grad = w + s, value - new, new, new_grad
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y, 1.0 / (s @ y))][-memory:]
+        if np.abs(grad).max() < tolerance or change <= 1e-12 * max(1.0, abs(value)):
+            break
+    return w
+
+
+def fit(y: np.ndarray, doc: np.ndarray, place: np.ndarray, x: np.ndarray, model: CharModel, threshold: float = THRESHOLD) -> Scorer:
+    """Penalised logistic regression. y: labels; doc, place: which of the features x each row has, once; x: hashes, sorted."""
+    n, m = len(y), len(x)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.clip(np.bincount(doc, w[place], n) + w[-1], -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        g = np.append(np.bincount(place, (p - y)[doc], m), (p - y).sum()) + penalty * w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum()) / n, g / n
+
+    penalty = np.full(m + 1, 0.5)
     penalty[-1] = 1e-6
-    speed, last = np.zeros_like(w), 0.05
-    for step in range(400):
-        p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
-        grad = (m.T @ (p - y) + penalty * w) / len(y)
-        speed += grad**2
-        w -= last * grad / np.sqrt(speed + 1e-8) * (1.0 if step else 0.5)
-    out = m @ w
+    start = np.zeros(m + 1)
+    start[-1] = np.log(y.mean() / (1 - y.mean()))
+    w = minimum(loss, start)
+    out = np.bincount(doc, w[place], n) + w[-1]
     # move the scale so that the cut that is best on the fitted rows stands at the threshold
     o = np.argsort(-out, kind="stable")
     hit = np.cumsum(y[o])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = 2 * hit / (np.arange(1, n + 1) + y.sum())
     best_at = int(np.argmax(f1))
-    cut = (out[o[best_at]] + out[o[min(best_at + 1, len(o) - 1)]]) / 2
+    cut = (out[o[best_at]] + out[o[min(best_at + 1, n - 1)]]) / 2
     bias = float(w[-1] - cut + np.log(threshold / (1 - threshold)))
-    return Scorer(model, x[best], w[:-1].astype(float), bias)
+    return Scorer(model, x, w[:-1].astype(float), bias)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -310,8 +335,37 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
                 blobs += [x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["doc_id", "toxic", "features"])
 
-    rows = sample.mapInArrow(scan, "doc_id long, toxic int, features binary").orderBy("doc_id", F.xxhash64("features")).toArrow()
-    return fit([(t, np.frombuffer(f, np.uint64)) for t, f in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)], model)
+    scratch = common.Scratch(spark, "toxicity")
+    rows = scratch.keep(sample.mapInArrow(scan, "doc_id long, toxic int, features binary"), "features")
+    ones, all_ = rows.agg(F.sum("toxic"), F.count("*")).first()
+    if not ones or ones == all_:  # one class or no labels: the same score for all
+        share = ((ones or 0) + 0.1) / (all_ + 1.0)
+        return Scorer(model, _EMPTY, np.empty(0), float(np.log(share / (1 - share))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+            x, at = np.unique(np.concatenate(parts), return_inverse=True)
+            toxic = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
+            n = np.bincount(at, minlength=len(x))
+            n1 = np.bincount(at, toxic, len(x)).astype(np.int64)
+            yield pa.record_batch([pa.array(x.view(np.int64)), pa.array(n1), pa.array(n - n1)], ["x", "n1", "n0"])
+
+    counts = rows.select("toxic", "features").mapInArrow(count, "x long, n1 long, n0 long").groupBy("x").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 >= 3")
+    p1, p0 = (F.col("n1") + 0.5) / F.lit(ones + 1.0), (F.col("n0") + 0.5) / F.lit(all_ - ones + 1.0)
+    z = F.abs(F.log(p1 / p0) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
+    chosen = counts.withColumn("z", F.round(z, 9)).where("z > 1.5").orderBy(F.col("z").desc(), "x").limit(MOST_FEATURES).select("x").toArrow()
+    x = np.sort(chosen.column(0).to_numpy().view(np.uint64))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.flatnonzero(np.isin(x, np.frombuffer(b, np.uint64))).astype(np.int16).tobytes() for b in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(places, pa.binary())], ["doc_id", "toxic", "places"])
+
+    picked = rows.mapInArrow(pick, "doc_id long, toxic int, places binary").orderBy("doc_id", "places").toArrow()
+    places = [np.frombuffer(b, np.int16) for b in picked.column(2).to_pylist()]
+    doc = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    return fit(picked.column(1).to_numpy().astype(float), doc, np.concatenate(places).astype(np.int64), x, model)
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -243,3 +243,81 @@ def test_html_extraction(spark):
     assert got == sorted([(1, "u", text, len(text)), (2, None, "", 0), (None, "v", "", 0), (1, "u", text, len(text))], key=str)
     assert html_crf.extract(df.limit(0)).count() == 0
     assert html_crf.extract(df, with_blocks=True).where("page_id = 1").first().blocks[0].content is False
+
+
+def test_sharding_query_agrees_with_a_table_filled_slot_by_slot(spark, tmp_path, prose):
+    """The whole query against an independent fill: every shard walks its own order, one claim a turn."""
+    from tessera.llm import queries
+
+    spark.createDataFrame([(k * 7919, prose(k, 3), "c") for k in range(400)] + [(None, "a", "c"), (None, None, "c"), (5, None, "c")], "doc_id long, text string, shard string").write.parquet(f"{tmp_path}/documents.parquet")
+    size, names = sharding.SIZE, sharding.SHARDS
+    walks = []
+    for name in names:
+        d = hashlib.sha256(name.encode()).digest()
+        first, step = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1
+        walks.append(iter([(first + k * step) % size for k in range(size)]))
+    owner = {}
+    while len(owner) < size:
+        for name, walk in zip(names, walks, strict=True):
+            for at in walk:
+                if at not in owner:
+                    owner[at] = name
+                    break
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    want = [(r.doc_id, owner[r.k % size]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", key.alias("k")).collect()]
+    assert sorted((tuple(r) for r in queries.op2_sharding(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_clashing_columns_are_kept(spark, prose):
+    from tessera.llm import jaccard_rtree
+
+    rows = [(k, prose(k, 30), k, k + 1, k + 2, "x", {"a": k}, k) for k in range(6)] + [(3, prose(3, 30), 9, 9, 9, "y", {"b": 1}, 9), (None, prose(3, 40), 1, 1, 1, "z", {}, 1), (-1, prose(3, 40), 1, 1, 1, "z", {}, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot long, id long, h long, source string, part map<string,long>, n long")
+    key = lambda d: sorted(str(r) for r in d.collect())
+    assert key(sharding.place(df).drop("shard")) == key(df)
+    kept = jaccard_rtree.keep_first(df)
+    assert kept.columns == df.columns and kept.count() == 7
+    got = cube_mix.apply_mix(df)
+    assert got.columns == df.columns and {str(r) for r in got.collect()} <= {str(r) for r in df.collect()}
+    taken = Counter((r.doc_id, r.part) for r in cube_mix.mix(df).collect() for _ in range(r.copies))
+    assert Counter((r.doc_id, r.x) for r in got.select("doc_id", F.xxhash64("text").alias("x")).collect()) == taken
+
+
+def test_decontamination_of_words_alike_under_weak_hashes(spark):
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    swapped = t.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, t + swapped), (2, swapped + t)], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", t + swapped)], "item_id string, text string")
+    for most in (1 << 20, 100):
+        assert {r.doc_id: r.n_hit for r in decontam.find(docs, bench, most).collect()} == {1: 1, 2: 0}
+
+
+def test_html_pages_by_hand():
+    """Pages that no template makes: unseen names, no frame, deep nesting."""
+    field = html_crf.default_field()
+    text = lambda page: field.extract(page)[0]
+    assert text("<p>Only this paragraph stands here. It is short.</p>") == "Only this paragraph stands here. It is short."
+    assert text("Bare text page without any tags. It goes on.") == "Bare text page without any tags. It goes on."
+    page = "<body><div class='qx1'><a href=/>Home</a> <a href=/b>Blog</a></div><article><h1>Rivers</h1><p>A river flows. It ends in the sea.</p><p>Some rivers are long.</p></article><div id='{}'><p>I like it. So much.</p></div><div class='qx2'>&copy; Someone</div>"
+    for name in ("disqus", "talk", "zz9"):
+        assert text(page.format(name)) == "Rivers A river flows. It ends in the sea. Some rivers are long."
+    assert text("<div>" * 30_000 + "Deep text. It is here." + "</div>" * 30_000) == "Deep text. It is here."
+
+
+def test_html_query_against_a_slow_decoder(spark, tmp_path):
+    """The whole query against the best of all labellings, block by block."""
+    from tessera.llm import queries
+
+    pages_ = [p for p, _ in html_crf.labelled_pages(60, 77)]
+    pages_ = [p for p in pages_ if 0 < len(html_crf.blocks(p)) <= 13][:12]
+    spark.createDataFrame([*enumerate(pages_), (99, None)], "page_id long, html string").withColumn("url", F.lit("u")).write.parquet(f"{tmp_path}/pages.parquet")
+    field, want = html_crf.default_field(), {99: ""}
+    for i, p in enumerate(pages_):
+        found = html_crf.blocks(p)
+        s = field.scores(html_crf.features(found))
+        best = max(
+            (tuple(m >> j & 1 for j in range(len(found))) for m in range(1 << len(found))),
+            key=lambda y, s=s: field.start[y[0]] + sum(s[j] for j, v in enumerate(y) if v) + sum(field.pairs[a, b] for a, b in zip(y[:-1], y[1:], strict=True)),
+        )
+        want[i] = " ".join(b.text for b, v in zip(found, best, strict=True) if v)
+    assert {r.page_id: r.text for r in queries.op3_html_extraction(spark, str(tmp_path)).collect()} == want

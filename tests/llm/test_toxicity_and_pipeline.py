@@ -101,3 +101,54 @@ def test_pipeline_stages_in_turn(spark, tmp_path, prose, labelled):
     whole = pipeline.run(spark, str(tmp_path))
     key = lambda df: sorted((r.doc_id, r.shard) for r in df.collect())
     assert key(whole) == key(at)
+
+
+def test_readings_are_the_best_of_all(spark, labelled):
+    """Against an exhaustive decode of the lattice."""
+    import itertools
+
+    model = toxicity.CharModel.of(toxicity.char_counts(labelled[0]))
+
+    def value(text):
+        a = b = toxicity._EDGE
+        total = 0.0
+        for c in text:
+            k = toxicity._EDGE if c == " " else ord(c) - 97 if "a" <= c <= "z" else toxicity._OTHER
+            total += model.logp[a, b, k]
+            a, b = b, k
+        return total + model.logp[a, b, toxicity._EDGE]
+
+    for token, spaced in (("1d10t", False), ("m**ron", False), ("st.uup1d", False), ("aid10t", True), ("$tup1", True), ("xx77", False)):
+        steps = toxicity.lattice(token)
+        best = {}
+        for path in itertools.product(*steps):
+            cost = sum(c for _, c in path)
+            parts = [x for x, _ in path]
+            gaps = itertools.product(("", " "), repeat=len(parts) - 1) if spaced else [("",) * (len(parts) - 1)]
+            for gap in gaps:
+                text = parts[0] + "".join(g + x for g, x in zip(gap, parts[1:], strict=True))
+                if text and "  " not in text and not text.startswith(" "):
+                    best[text] = max(best.get(text, -1e300), cost + value(text))
+        want = sorted((-v, t) for t, v in best.items())[:3]
+        got = toxicity.readings(token, model, spaced=spaced)
+        assert [round(best[t], 9) for t in got] == [round(-v, 9) for v, _ in want], token
+
+
+def test_score_is_that_of_the_features(spark, labelled):
+    docs, labels = labelled
+    scorer = toxicity.learn(spark, docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.judge(spark, docs, labels).collect()}
+    weight = dict(zip(scorer.hashes.tolist(), scorer.weights.tolist(), strict=True))
+    for r in docs.limit(40).collect():
+        buf = np.frombuffer(r.text.encode(), np.uint8)
+        _, x = toxicity.features(buf, np.array([0, len(buf)]), scorer.model, {})
+        z = scorer.bias + sum(weight.get(h, 0.0) for h in set(x.tolist()))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_minimum_of_a_convex_function():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(30, 6))
+    h, b = a.T @ a, rng.normal(size=6)
+    w = toxicity.minimum(lambda w: (float(0.5 * w @ h @ w - b @ w), h @ w - b), np.zeros(6))
+    assert np.allclose(w, np.linalg.solve(h, b), atol=1e-5)
