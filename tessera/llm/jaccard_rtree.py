@@ -23,6 +23,7 @@ A cell of more than CHUNK classes is joined in chunks, each with each.
 from __future__ import annotations
 
 import gc
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,7 +161,7 @@ def levels(scanned: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, percent: int) -> DataFrame:
-    """kind 0: prefix shingles by bucket (shingle, k, n), each class once a batch; kind 1: points of classes (k, counts)."""
+    """kind 0: prefix shingles by bucket (shingle, k, n), each class once a batch; kind 1: points of classes (k, counts), by bucket of their keys."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
                 parts.append((x, key[doc], n[doc].astype(np.uint32)))
             if points:
                 m = len(points)
-                yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([k for k, _ in points], pa.int64()), pa.array([b for _, b in points], pa.binary())], ["kind", "bucket", "k", "blob"])
+                yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.array([k % n_buckets for k, _ in points], pa.int32()), pa.array([k for k, _ in points], pa.int64()), pa.array([b for _, b in points], pa.binary())], ["kind", "bucket", "k", "blob"])
                 x, k, n = (np.concatenate(c) for c in zip(*parts, strict=True))
                 rows = [(b, common.pack((x[r] >> np.uint64(8)).astype(np.uint32), k[r], n[r])) for b, r in common.split_rows(((x >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
                 m = len(rows)
@@ -209,10 +210,20 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
 
 
 def cells(packed: DataFrame, percent: int) -> DataFrame:
-    """cell, k, size: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list)."""
+    """cell, k, size: the classes of every cell of two or more; cells of the same classes are one (cell: key of the list). k, point: points as they came."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in common.grouped(batches):
+        batches = iter(batches)
+        head: list[pa.RecordBatch] = []
+        for batch in batches:
+            m = int((batch.column("kind").to_numpy() == 1).sum())  # points come first
+            if m:
+                none = pa.nulls(m, pa.int64())
+                yield pa.record_batch([none, batch.column("k").slice(0, m), none, batch.column("blob").slice(0, m)], names)
+            if m < len(batch):
+                head = [batch.slice(m)]
+                break
+        for _, t in common.grouped(itertools.chain(head, batches)):
             x, k, n = common.concat_packed(t.column("blob").to_pylist())
             o = np.lexsort((k, n, x))
             x, k, n = x[o], k[o], n[o]
@@ -231,10 +242,10 @@ def cells(packed: DataFrame, percent: int) -> DataFrame:
                 o = np.lexsort((k, cell))
                 cell, k, size = cell[o], k[o], size[o]
                 at = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (k[1:] != k[:-1]))))
-                yield pa.record_batch([pa.array(cell[at].view(np.int64)), pa.array(k[at]), pa.array(size[at])], ["cell", "k", "size"])
+                yield pa.record_batch([pa.array(cell[at].view(np.int64)), pa.array(k[at]), pa.array(size[at]), pa.nulls(len(at), pa.binary())], names)
 
-    found = common.by_bucket(packed).sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(reduce, "cell long, k long, size long")
-    return found.dropDuplicates(["cell", "k"])
+    names = ["cell", "k", "size", "point"]
+    return common.by_bucket(packed).sortWithinPartitions(F.col("kind").desc(), "bucket").mapInArrow(reduce, "cell long, k long, size long, point binary")
 
 
 class Forest:
@@ -531,6 +542,12 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
     return dealt.mapInArrow(check, "a long, b long")
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the exchanges of steps whose tables are written."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int = CHUNK, most: int = MOST_FIRST) -> tuple[DataFrame, DataFrame]:
     """A row per document (doc_id, id, h, k, n), and of each set key k its component l with the component's least id and, under it, least text hash (component_id, first)."""
     spark = common.tuned(docs.sparkSession)
@@ -542,11 +559,12 @@ def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int
     level = levels(scanned)
     one = F.when(F.min("k2") == F.max("k2"), F.first("n")).otherwise(F.raise_error(F.lit("two sets share a key; use other seeds")).cast("long"))
     nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), one.alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
-    packed = scratch.keep(prefixes(docs, level, n_buckets, width, percent), "prefixes")
-    members = scratch.keep(cells(packed.where("kind = 0"), percent).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
-    own = packed.where("kind = 1").select("k", F.col("blob").alias("point")).join(members.select("k", "n").distinct(), "k")
+    found = scratch.keep(cells(prefixes(docs, level, n_buckets, width, percent), percent), "cells")
+    members = scratch.keep(found.where("cell IS NOT NULL").dropDuplicates(["cell", "k"]).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
+    own = found.where("cell IS NULL").select("k", "point").join(members.select("k", "n").distinct(), "k")
     points = scratch.keep(own.dropDuplicates(["k"]).select("k", "n", "point"), "points")
-    scratch.drop_table(packed)
+    scratch.drop_table(found)
+    swept(spark)
     pairs, more = scratch.keep(lead(members, points, percent), "pairs"), True
     tried = links = pairs.limit(0)
     left = None
@@ -555,8 +573,7 @@ def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int
             tried = tried.unionByName(pairs)
             links = links.unionByName(scratch.keep(verify(spark, docs, pairs, nodes, width, percent), "links"))
         known = components(links, scratch, few=few)
-        gc.collect()
-        spark._jvm.java.lang.System.gc()  # lets Spark delete the exchanges of the round
+        swept(spark)
         if not more:
             break
         named = members.select("cell", "k", "n").join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
