@@ -16,17 +16,17 @@ def phase_rollup(timings: DataFrame, buckets: DataFrame, totals: DataFrame) -> D
 
     timings: label, bucket, t; buckets: bucket, phase; totals: label, total. phase and bucket are null in subtotals; residual is what no bucket has.
     """
-    df = timings.join(F.broadcast(buckets), "bucket")  # a fixed list of buckets
+    df = timings.join(buckets, "bucket")
     sums = df.rollup("label", "phase", "bucket").agg(F.sum("t").alias("t")).where("label IS NOT NULL")
     share = F.col("t") / F.nullif("total", F.lit(0.0))
-    out = sums.join(totals, "label").select("label", "phase", "bucket", "t", (100 * share).alias("pct"), ceiling(share).alias("ceiling"))
-    return out.withColumn("residual", F.when(F.col("phase").isNull(), F.col("t") / (F.col("pct") / 100) - F.col("t")))
+    out = sums.join(totals, "label").select("label", "phase", "bucket", "t", (100 * share).alias("pct"), ceiling(share).alias("ceiling"), "total")
+    return out.withColumn("residual", F.when(F.col("phase").isNull(), F.col("total") - F.col("t"))).drop("total")
 
 
 def arm_model(timings: DataFrame, arms: DataFrame, totals: DataFrame) -> DataFrame:
     """Two overlapping arms and the rest: predicted wall = larger arm + outside (A15 J15). arms: bucket, arm (MAIN, BG, OUTSIDE); totals: label, total, precut."""
     part = lambda a: F.sum(F.when(F.col("arm") == a, F.col("t")).otherwise(0.0))
-    sums = timings.join(F.broadcast(arms), "bucket").groupBy("label").agg(part("MAIN").alias("main"), part("BG").alias("bg"), part("OUTSIDE").alias("outside"))
+    sums = timings.join(arms, "bucket").groupBy("label").agg(part("MAIN").alias("main"), part("BG").alias("bg"), part("OUTSIDE").alias("outside"))
     df = sums.join(totals, "label").withColumn("outside", F.col("outside") + F.col("precut")).withColumn("predicted", F.greatest("main", "bg") + F.col("outside"))
     over = lambda a, b: F.when(b != 0, a / F.nullif(b, F.lit(0.0))).otherwise(0.0)
     return df.select("label", "main", "bg", "outside", "predicted", (over(F.col("predicted") - F.col("total"), F.col("total")) * 100).alias("error_pct"), over(F.col("bg"), F.col("main")).alias("ratio"), F.when(F.col("main") != 0, (1 - over(F.col("bg"), F.col("main"))) * 100).otherwise(0.0).alias("shed_pct"))
@@ -34,7 +34,7 @@ def arm_model(timings: DataFrame, arms: DataFrame, totals: DataFrame) -> DataFra
 
 def arm_breakdown(timings: DataFrame, arms: DataFrame) -> DataFrame:
     """Positive sums of each component of each arm, largest first."""
-    df = timings.join(F.broadcast(arms), "bucket").groupBy("label", "arm", "component").agg(F.sum("t").alias("t")).where("t > 0")
+    df = timings.join(arms, "bucket").groupBy("label", "arm", "component").agg(F.sum("t").alias("t")).where("t > 0")
     return df.orderBy("label", "arm", F.desc("t"), "component")
 
 
@@ -126,7 +126,7 @@ def linear_projection(points: DataFrame, keys: list[str], x: str, y: str, at: fl
 
 def reweighted(timings: DataFrame, populations: DataFrame, arms: DataFrame) -> DataFrame:
     """A run's seconds at another mix of populations (A25 J15): rate = t / run_n, wsi = rate * slide_n, summed per arm. populations: population, run_n, slide_n; arms: bucket, arm, population."""
-    df = timings.where("t > 0").join(F.broadcast(arms), "bucket").join(F.broadcast(populations), "population").where("run_n > 0")
+    df = timings.where("t > 0").join(arms, "bucket").join(populations, "population").where("run_n > 0")
     rate = F.col("t") / F.col("run_n")
     return df.groupBy("arm").agg(F.sum("t").alias("run_s"), F.sum(rate * F.col("slide_n")).alias("wsi_s"))
 

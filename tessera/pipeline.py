@@ -47,8 +47,8 @@ def label_pixels(planes: DataFrame) -> DataFrame:
     return planes.select("x", "y", "height", "width", "labels").mapInPandas(run, "tile_x long, tile_y long, y int, x int, label long")
 
 
-def match(cell_pixels: DataFrame, nucleus_pixels: DataFrame, cfg: Config = Config(), widest: float = 256.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Instances of cells and nuclei, candidates and one-to-one matches. widest: the largest reach a cell can have."""
+def match(cell_pixels: DataFrame, nucleus_pixels: DataFrame, cfg: Config = Config(), widest: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Instances of cells and nuclei, candidates and one-to-one matches. widest: as in matching.reach_pairs."""
     ihc, dish = C.region_props(cell_pixels), C.region_props(nucleus_pixels)
     reach = matching.with_reach(ihc, cfg.elastic_expand_factor, cfg.elastic_min_reach)
     pairs = matching.candidates(matching.overlap_pairs(cell_pixels, nucleus_pixels), matching.reach_pairs(reach, dish, widest), ihc, dish)

@@ -1,14 +1,15 @@
 """Resumable batches and streams.
 
 Results are kept in a table partitioned by config_hash, tile_x and tile_y. A tile's rows are replaced as a whole, so
-repeated work leaves one copy; a tile without rows has a marker, so that it isn't done again.
+repeated work leaves one copy. Each tile has one marker row, in the same file as its rows, that says how many there are;
+a tile with other than that many readable rows counts as not done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,12 +17,25 @@ KEY = ["tile_x", "tile_y"]
 
 
 def stored(spark: SparkSession, path: str, config_hash: str, schema: str) -> DataFrame:
-    """Rows of this configuration; none if the table isn't there yet (P19). Corrupt files are recomputed, not trusted."""
-    full = f"{schema}, marker boolean, config_hash string, tile_x long, tile_y long"
+    """Rows of this configuration's whole tiles; none if the table isn't there yet.
+
+    Files that can't be read are passed over, and tiles that lack rows by that (or their marker) are left out, so they
+    are done again.
+    """
+    full = f"{schema}, marker boolean, tile_rows long, config_hash string, tile_x long, tile_y long"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).option("ignoreCorruptFiles", "true").parquet(path).where(F.col("config_hash") == config_hash)
+    rows = spark.read.schema(full).option("ignoreCorruptFiles", "true").parquet(path).where(F.col("config_hash") == config_hash)
+    return rows.join(whole(rows), KEY, "left_semi")
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """Tiles of which as many rows can be read as their marker says. Every column is read, as a file may be broken in one."""
+    values = [c for c in rows.columns if c not in (*KEY, "marker", "tile_rows", "config_hash")]
+    content = F.xxhash64(*values) if values else F.lit(0)
+    n = rows.groupBy(*KEY).agg(F.count_if(~F.col("marker")).alias("have"), F.max(F.when(F.col("marker"), F.col("tile_rows"))).alias("want"), F.max(F.when(~F.col("marker"), content)).alias("content"))
+    return n.where("have = want AND (want = 0 OR content IS NOT NULL)").select(*KEY)
 
 
 def completed(rows: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -35,11 +49,15 @@ def pending(tiles: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def save(results: DataFrame, tiles: DataFrame, path: str, config_hash: str) -> None:
-    """Replace the rows of these tiles, in one commit of Spark's (R5). A tile's old partition goes only when its new one is whole."""
-    at = tiles.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"))
+    """Replace the rows of these tiles, in one commit of Spark's (R5). A tile's old partition goes only when its new one is whole.
+
+    The count of a tile's rows brings them and the marker into one task, so into one file.
+    """
+    at = tiles.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y")).distinct()
     own = results.join(at, KEY, "left_semi").withColumn("marker", F.lit(False))
     marks = at.withColumn("marker", F.lit(True))
-    rows = own.unionByName(marks, allowMissingColumns=True).withColumn("config_hash", F.lit(config_hash))
+    n = F.count_if(~F.col("marker")).over(Window.partitionBy(*KEY))
+    rows = own.unionByName(marks, allowMissingColumns=True).withColumn("tile_rows", n).withColumn("config_hash", F.lit(config_hash))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config_hash", *KEY).parquet(path)
 
 
@@ -49,7 +67,7 @@ def resume(spark: SparkSession, tiles: DataFrame, process: Callable[[DataFrame],
     if not todo.isEmpty():
         save(process(todo), todo, path, config_hash)
     rows = stored(spark, path, config_hash, schema).where("NOT marker")
-    return rows.join(tiles.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y")), KEY, "left_semi").drop("marker", "config_hash")
+    return rows.join(tiles.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y")), KEY, "left_semi").drop("marker", "tile_rows", "config_hash")
 
 
 def run_stream(arrivals: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, config_hash: str, schema: str, on_tile: Callable[[int, int], None] | None = None, available_now: bool = True) -> StreamingQuery:

@@ -68,3 +68,35 @@ def test_jobs():
     jobs.finish(a, tiles=4)
     b, new = jobs.submit("k")
     assert new and b != a and jobs.jobs[a]["status"] == "completed"
+
+
+def test_a_broken_file_is_done_again(spark, tmp_path):
+    path, at = tmp_path / "t", [(0, 0), (768, 0), (768, 768)]
+    first = sorted(tuple(r) for r in I.resume(spark, tiles(spark, *at), process, str(path), "h", SCHEMA).collect())
+    parts = sorted(path.glob("config_hash=h/tile_x=768/tile_y=0/*.parquet"))
+    assert len(parts) == 1  # rows and marker together
+    asked = []
+
+    def counted(df):
+        asked.append({tuple(r) for r in df.collect()})
+        return process(df)
+
+    whole = parts[0].read_bytes()
+    for broken in (b"no parquet", whole[: len(whole) // 2], whole[:4] + bytes(40) + whole[44:]):
+        (part,) = path.glob("config_hash=h/tile_x=768/tile_y=0/*.parquet")
+        part.write_bytes(broken)
+        for crc in part.parent.glob(".*.crc"):
+            crc.unlink()
+        spark.catalog.refreshByPath(str(path))
+        again = sorted(tuple(r) for r in I.resume(spark, tiles(spark, *at), counted, str(path), "h", SCHEMA).collect())
+        assert again == first and asked.pop() == {(768, 0)}
+        (part,) = path.glob("config_hash=h/tile_x=768/tile_y=0/*.parquet")
+        whole = part.read_bytes()
+
+
+def test_a_tile_without_its_marker_is_done_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = process(tiles(spark, (768, 0))).withColumns({"marker": F.lit(False), "config_hash": F.lit("h")})
+    rows.write.partitionBy("config_hash", *I.KEY).parquet(path)
+    assert I.stored(spark, path, "h", SCHEMA).count() == 0
+    assert I.resume(spark, tiles(spark, (768, 0)), process, path, "h", SCHEMA).count() == 2
