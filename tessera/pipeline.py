@@ -1,8 +1,7 @@
 """From paired tiles to the case report, without some stages of the survey's plan (3.4 b-i).
 
 run() doesn't apply core masks and masked or fused input (K2-K5), the background short cut (P5), clearing of slide edges
-(P6), enlargement before matching (K11) or bounds (P8 P9: n_out_of_bounds is 0); off-population dots are counted
-unmerged. Its figures therefore differ from a whole analysis.
+(P6), enlargement before matching (K11) or bounds (P8 P9: n_out_of_bounds is 0). Its figures therefore differ from a whole analysis.
 """
 
 from __future__ import annotations
@@ -83,10 +82,15 @@ def patches(dish: DataFrame, planes: DataFrame, matches: DataFrame, pad: int = 2
     return df.mapInPandas(run, "tile_x long, tile_y long, cell_id long, y0 int, x0 int, height int, width int, rgb binary, nucleus binary")
 
 
+def merged_dots(candidates: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Accepted dots, near ones of a cell as one; of equals the first as found."""
+    found = dots.gated(candidates, cfg).where("gate IS NULL").select(*KEY, "cell_id", "dot_type", "y", "x", "radius", "area", "solidity", "score", F.col("blob").alias("dot_id"))
+    return spatial.merge_dots(found, {"her2": cfg.black_merge, "cep17": cfg.red_merge})
+
+
 def facts(ihc: DataFrame, pairs: DataFrame, matches: DataFrame, candidates: DataFrame, cfg: Config = Config(), out_of_bounds: DataFrame | None = None) -> DataFrame:
     """The cell table: dots merged, counted per cell, and finalized (M3)."""
-    found = dots.accepted(candidates, cfg).withColumn("dot_id", F.xxhash64("y", "x", "area"))
-    found = spatial.merge_dots(found, {"her2": cfg.black_merge, "cep17": cfg.red_merge})
+    found = merged_dots(candidates, cfg)
     nuclei = matches.groupBy(*KEY, "cell_id").agg(F.count("*").alias("n_nuclei"))
     lost = matching.drop_outs(pairs, matches).withColumn("drop_out", F.lit(True))
     df = ihc.select(*KEY, F.col("id").alias("cell_id"), F.col("cx").alias("centroid_x"), F.col("cy").alias("centroid_y"), F.lit(True).alias("is_her2_positive"))
@@ -117,7 +121,7 @@ def tile_cells(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable
     most = own.groupBy(*KEY).agg(F.max("cell_id").alias("most"))
     alone = lone.join(most, KEY, "left").select(*KEY, "cell_id", (F.col("cell_id") - F.coalesce("most", F.lit(0))).alias("dish_id"))
     seen = dots.detect(patches(dish, planes["dish"], alone), cfg)
-    counts = C.dot_counts(dots.accepted(seen, cfg))
+    counts = C.dot_counts(merged_dots(seen, cfg))
     off = lone.join(counts, [*KEY, "cell_id"], "left").fillna(0, ["her2_dot_count", "cep17_dot_count"])
     off = C.finalize(off.withColumns({"n_nuclei": F.lit(1), "drop_out": F.lit(False), "out_of_bounds": F.lit(False), "blue_region_count": F.lit(1)}), cfg)
     return own.unionByName(off)

@@ -57,3 +57,11 @@ def test_command_line(spark, tmp_path, capsys):
     args = ["--ihc", str(path / "ihc"), "--dish", str(path / "dish"), "--output", str(path / "out"), "--tile", "100", "--overlap", "40"]
     assert cli.main(args) == 0
     assert "判讀結論" in capsys.readouterr().out and spark.read.text(str(path / "out/summary")).count() > 10
+
+
+def test_near_dots_count_once_and_the_first_of_equals_stays(spark):
+    """Two accepted dots one pixel apart, equal but for their place, the later one found further left."""
+    row = lambda blob, y, x: (0, 0, 5, "cep17", blob, y, x, 20, 2.5, 0.9, 0.9, 50.0, 30.0, 10.0, 40.0, 30.0, 32.0, 31.0, 5.0, 30.0)
+    found = spark.createDataFrame([row(1, 10.0, 11.0), row(2, 10.0, 10.0), row(3, 30.0, 30.0)], "tile_x long, tile_y long, cell_id long, " + K.CANDIDATE)
+    kept = pipeline.merged_dots(found, Config()).collect()
+    assert {(r.y, r.x) for r in kept} == {(10.0, 11.0), (30.0, 30.0)}
