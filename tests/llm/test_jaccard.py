@@ -71,9 +71,11 @@ def test_forest_finds_all_pairs_within_the_bound():
 def test_keep_first_keeps_one_of_each(spark, corpus):
     kept = jaccard_rtree.keep_first(corpus)
     assert kept.columns == corpus.columns
-    ids = [r.doc_id for r in kept.collect()]
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    ids = [i for i, _ in rows]
     assert {1, 4, 6, 7, 9, 13} <= set(ids) and not {2, 3, 10, 11, 14} & set(ids)
-    assert len(ids) == len(set(ids))
+    worded = [(i, t) for i, t in rows if t and t.strip()]
+    assert len(worded) == len(set(worded)) and ids.count(15) == 2  # two unlike texts have this id
 
 
 def test_keep_first_decides_by_row(spark, prose):
