@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, cube_mix, decontam, html_crf, jaccard_rtree, quality, sharding, sql, substring_lsm, suffix_bwt, toxicity, warc
+from . import common, cube_mix, decontam, html_crf, jaccard_rtree, quality, sharding, sql, substring_lsm, suffix_bwt, token_alignment, token_store, toxicity, warc, whitening
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Place of a vocabulary file of the installed package, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = common.Scratch(spark, "archives").path("warc")
     manifest = warc.write_archives(spark, table(spark, sf_dir, "pages"), base)
@@ -54,6 +62,21 @@ def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = common.Scratch(spark, "ids").path("files")
+    manifest = token_store.write_tokens(spark, table(spark, sf_dir, "documents"), base, tokenizer("word_bpe_49k.json"))
+    return token_store.read_tokens(spark, manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
