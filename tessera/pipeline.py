@@ -1,12 +1,14 @@
-"""From paired tiles to the case report, without some stages of the survey's plan (3.4 b-i).
+"""From paired tiles to the case report (survey 3.4 b-i).
 
-run() doesn't apply core masks and masked or fused input (K2-K5), the background short cut (P5), clearing of slide edges
-(P6), enlargement before matching (K11) or bounds (P8 P9: n_out_of_bounds is 0). Its figures therefore differ from a whole analysis.
+A tile goes through the core mask, and background tiles leave before any segmenter sees them; the others are masked and
+fused, cells are found on the fused image and nuclei on the second slide, cells at the slide's edge go, enlarged cells
+are matched with nuclei, and dots are counted in the nuclei that a cell won.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from .config import Config
 from .functions import kernels
 from .operators import cells as C
 from .operators import dots, grid, matching, spatial
+from .sources import images
 
 KEY = ["tile_x", "tile_y"]
 
@@ -33,17 +36,67 @@ def segmented(tiles: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], n
     return tiles.select("x", "y", "height", "width", "data").mapInPandas(run, "x long, y long, height int, width int, labels binary")
 
 
-def label_pixels(planes: DataFrame) -> DataFrame:
-    """Labelled pixels in long form, background left out: tile_x, tile_y, y, x, label."""
+def core_masks(ihc: DataFrame, core: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config()) -> DataFrame:
+    """Core masks of the first slide's tiles (K1 K2): x, y, height, width, core, core_px. core makes a predictor of window batches, once a task."""
+    masks = images.predict_masks(ihc, core, batch=cfg.batch_size, finish=lambda m: kernels.clean_core(m, cfg.close_kernel, cfg.min_fragment))
+    return masks.withColumnsRenamed({"mask": "core", "mask_px": "core_px"})
+
+
+def overlays(ihc: DataFrame, dish: DataFrame, cores: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The image that cells are found on (K3-K6): both slides masked by the core and fused. Only tiles of `cores` are read: x, y, height, width, data."""
+    side = lambda t, c: t.select("x", "y", F.col("data").alias(c))
+    df = cores.select("x", "y", "height", "width", "core").join(side(ihc, "ihc"), ["x", "y"]).join(side(dish, "dish"), ["x", "y"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
+            for t in pdf.itertuples(index=False):
+                core = np.frombuffer(t.core, np.uint8).reshape(t.height, t.width)
+                first, second = (kernels.masked(np.frombuffer(d, np.uint8).reshape(t.height, t.width, 3), core, cfg.background_fill, cfg.mask_blur_sigma) for d in (t.ihc, t.dish))
+                out.append(kernels.fused(second, first, cfg.overlay_alpha).tobytes())
+            yield pdf.assign(data=out)[["x", "y", "height", "width", "data"]]
+
+    return df.mapInPandas(run, images.TILE)
+
+
+def cell_planes(planes: DataFrame, flags: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Label planes of cells without those at the slide's edge (P6), and the planes they're matched on, with cells enlarged (K11): adds matching.
+
+    flags: x, y, edge_top, edge_bottom, edge_left, edge_right of the tiles.
+    """
+    df = planes.join(flags.select("x", "y", "edge_top", "edge_bottom", "edge_left", "edge_right"), ["x", "y"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            labels, grown = [], []
             for t in pdf.itertuples(index=False):
                 a = np.frombuffer(t.labels, np.int32).reshape(t.height, t.width)
+                if cfg.clear_border_cells:
+                    a = kernels.without_edges(a, t.edge_top, t.edge_bottom, t.edge_left, t.edge_right)
+                labels.append(a.tobytes())
+                grown.append(kernels.enlarged(a, cfg.enlarge_area_factor).tobytes())
+            yield pdf.assign(labels=labels, matching=grown)[["x", "y", "height", "width", "labels", "matching"]]
+
+    return df.mapInPandas(run, "x long, y long, height int, width int, labels binary, matching binary")
+
+
+def label_pixels(planes: DataFrame, labels: str = "labels", core: str | None = None) -> DataFrame:
+    """Labelled pixels in long form, background left out: tile_x, tile_y, y, x, label, and core (0 or 1) where its column is named."""
+    extra = [core] if core else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(len(pdf)):
+                t = pdf.iloc[k]
+                shape = int(t["height"]), int(t["width"])
+                a = np.frombuffer(t[labels], np.int32).reshape(shape)
                 y, x = np.nonzero(a)
-                yield pd.DataFrame({"tile_x": t.x, "tile_y": t.y, "y": y.astype(np.int32), "x": x.astype(np.int32), "label": a[y, x].astype(np.int64)})
+                out = {"tile_x": int(t["x"]), "tile_y": int(t["y"]), "y": y.astype(np.int32), "x": x.astype(np.int32), "label": a[y, x].astype(np.int64)}
+                if core:
+                    out["core"] = (np.frombuffer(t[core], np.uint8).reshape(shape)[y, x] > 0).astype(np.int32)
+                yield pd.DataFrame(out)
 
-    return planes.select("x", "y", "height", "width", "labels").mapInPandas(run, "tile_x long, tile_y long, y int, x int, label long")
+    return planes.select("x", "y", "height", "width", labels, *extra).mapInPandas(run, "tile_x long, tile_y long, y int, x int, label long" + (", core int" if core else ""))
 
 
 def match(cell_pixels: DataFrame, nucleus_pixels: DataFrame, cfg: Config = Config(), widest: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -54,18 +107,22 @@ def match(cell_pixels: DataFrame, nucleus_pixels: DataFrame, cfg: Config = Confi
     return ihc, dish, pairs, matching.greedy(pairs)
 
 
-def patches(dish: DataFrame, planes: DataFrame, matches: DataFrame, pad: int = 2) -> DataFrame:
+def patches(dish: DataFrame, planes: DataFrame, matches: DataFrame, pad: int = 2, cores: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
     """The patch of each matched cell (K12 K13): the box of its nuclei in the DISH tile, and which pixels are its own.
 
-    A tile's matches travel with it as one array, bounded by the tile.
+    With cores (x, y, core) the tile is masked first. A tile's matches travel with it as one array, bounded by the tile.
     """
     own = matches.groupBy(*KEY).agg(F.collect_list(F.struct("cell_id", "dish_id")).alias("pairs"))
     df = dish.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "height", "width", "data").join(planes.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "labels"), KEY).join(own, KEY)
+    none = F.lit(None).cast("binary")
+    df = df.withColumn("core", none) if cores is None else df.join(cores.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "core"), KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for t in pdf.itertuples(index=False):
                 rgb = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 3)
+                if t.core is not None:
+                    rgb = kernels.masked(rgb, np.frombuffer(t.core, np.uint8).reshape(t.height, t.width), cfg.background_fill, cfg.mask_blur_sigma)
                 labels = np.frombuffer(t.labels, np.int32).reshape(t.height, t.width)
                 owner = np.zeros(int(labels.max(initial=0)) + 1, np.int64)
                 for p in t.pairs:
@@ -108,29 +165,65 @@ def case_cells(tile_cells: DataFrame, tiles: DataFrame, cfg: Config = Config())
     return spatial.renumber(spatial.dedup_ghosts(grid.owned(tile_cells, tiles), cfg.ghost_distance))
 
 
-def tile_cells(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config()) -> DataFrame:
-    """Tile-local facts of paired tiles (M2 M3), off-population cells included."""
+@dataclass(frozen=True)
+class TileFacts:
+    """What a case's tiles give: tile-local cells, all dots, and what they came from."""
+
+    cells: DataFrame
+    dots: DataFrame
+    cores: DataFrame
+    planes: DataFrame
+    nuclei: DataFrame
+    matches: DataFrame
+
+
+def tile_facts(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config(), core: Callable[[], Callable[[np.ndarray], np.ndarray]] = kernels.whole_core, nucleus_segmenter: Callable | None = None, flags: DataFrame | None = None) -> TileFacts:
+    """Facts of paired tiles (M1 M2 M3), off-population cells and their dots included (O1 O2).
+
+    core: a predictor of tissue, by default all is tissue; tiles without any give no rows, and no segmenter runs on them
+    (P5). nucleus_segmenter: another segmenter for the second slide. flags: edge flags of the tiles, by default from
+    their grid. Cells that only touch nuclei outside the core are out of bounds (P8 P9); dots are counted on the masked
+    second slide, those of the off-population on the slide itself.
+    """
     from .session import checkpointed
 
-    planes = {k: checkpointed(segmented(t, segmenter, cfg)) for k, t in (("ihc", ihc), ("dish", dish))}  # models run once
-    cells, nuclei, pairs, matches = match(label_pixels(planes["ihc"]), label_pixels(planes["dish"]), cfg)
+    if flags is None:
+        flags = grid.geometry(ihc.select("x", "y"), cfg.tile_size, cfg.overlap)
+    cores = checkpointed(core_masks(ihc, core, cfg).where("core_px > 0"))  # models run once
+    planes = checkpointed(cell_planes(segmented(overlays(ihc, dish, cores, cfg), segmenter, cfg), flags, cfg))
+    seen = dish.join(cores.select("x", "y"), ["x", "y"], "left_semi")
+    nuclei = checkpointed(segmented(seen, nucleus_segmenter or segmenter, cfg))
+    cell_pixels, core_pixels = label_pixels(planes, "matching"), label_pixels(nuclei.join(cores.select("x", "y", "core"), ["x", "y"]), core="core")
+    _, stains, pairs, matches = match(cell_pixels, core_pixels, cfg)
     matches = checkpointed(matches)
-    found = dots.detect(patches(dish, planes["dish"], matches), cfg)
-    own = facts(cells, pairs, matches, found, cfg)
-    lone = C.off_population(nuclei, matches, own)
+    dropped = C.inside_core(core_pixels, cfg.core_min_inside).where("NOT kept").select(*KEY, F.col("label").alias("dish_id"))
+    cells = C.region_props(label_pixels(planes))
+    outside = C.out_of_bounds(cells.select(*KEY, F.col("id").alias("cell_id")), matching.overlap_pairs(cell_pixels, core_pixels), dropped)
+    found = dots.detect(patches(dish, nuclei, matches, cores=cores, cfg=cfg), cfg)
+    own = facts(cells, pairs, matches, found, cfg, outside)
+    lone = C.off_population(stains, matches, own)
     most = own.groupBy(*KEY).agg(F.max("cell_id").alias("most"))
     alone = lone.join(most, KEY, "left").select(*KEY, "cell_id", (F.col("cell_id") - F.coalesce("most", F.lit(0))).alias("dish_id"))
-    seen = dots.detect(patches(dish, planes["dish"], alone), cfg)
-    counts = C.dot_counts(merged_dots(seen, cfg))
-    off = lone.join(counts, [*KEY, "cell_id"], "left").fillna(0, ["her2_dot_count", "cep17_dot_count"])
+    others = merged_dots(dots.detect(patches(dish, nuclei, alone), cfg), cfg)
+    off = lone.join(C.dot_counts(others), [*KEY, "cell_id"], "left").fillna(0, ["her2_dot_count", "cep17_dot_count"])
     off = C.finalize(off.withColumns({"n_nuclei": F.lit(1), "drop_out": F.lit(False), "out_of_bounds": F.lit(False), "blue_region_count": F.lit(1)}), cfg)
-    return own.unionByName(off)
+    return TileFacts(own.unionByName(off), all_dots(merged_dots(found, cfg), others), cores, planes, nuclei, matches)
+
+
+def all_dots(own: DataFrame, others: DataFrame) -> DataFrame:
+    """Dots of matched cells and of the off-population as one table (O2)."""
+    return own.withColumn("off_population", F.lit(False)).unionByName(others.withColumn("off_population", F.lit(True)))
+
+
+def tile_cells(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config(), **options) -> DataFrame:
+    """The cells of tile_facts()."""
+    return tile_facts(ihc, dish, segmenter, cfg, **options).cells
 
 
-def run(ihc: DataFrame, dish: DataFrame, output: str, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config(), resume: bool = False) -> DataFrame:
+def run(ihc: DataFrame, dish: DataFrame, output: str, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config(), resume: bool = False, core: Callable[[], Callable[[np.ndarray], np.ndarray]] = kernels.whole_core, nucleus_segmenter: Callable | None = None) -> DataFrame:
     """A case from two sets of tiles (x, y, height, width, data) to its report and summary below `output`; returns the case's cells.
 
-    With resume, tiles stored under this configuration aren't done again.
+    With resume, tiles stored under this configuration aren't done again. core, nucleus_segmenter: as in tile_facts().
     """
     from .operators import summary
     from .schemas import CELLS
@@ -143,7 +236,7 @@ def run(ihc: DataFrame, dish: DataFrame, output: str, segmenter: Callable[[], Ca
 
     def process(todo: DataFrame) -> DataFrame:
         pick = lambda t: t.join(todo, ["x", "y"], "left_semi")
-        return tile_cells(pick(ihc), pick(dish), segmenter, cfg).select(*names)
+        return tile_cells(pick(ihc), pick(dish), segmenter, cfg, core=core, nucleus_segmenter=nucleus_segmenter, flags=plan).select(*names)
 
     if resume:
         local = incremental.resume(spark, tiles, process, f"{output}/tiles", cfg.fingerprint(), CELLS.replace("tile_x long, tile_y long, ", ""))

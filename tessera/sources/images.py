@@ -1,4 +1,4 @@
-"""Image tiles: scans, cropping, mosaics and pyramids as tile tables."""
+"""Image tiles: scans, cropping, mosaics and pyramids as tile tables."""
 
 from __future__ import annotations
 
@@ -80,6 +80,56 @@ def map_tiles(tiles: DataFrame, make: Callable[[], Callable[[np.ndarray], np.nda
     return tiles.select("x", "y", "height", "width", "data").mapInPandas(run, TILE)
 
 
+def window_list(height: int, width: int, side: int) -> list[tuple[int, int, int, int]]:
+    """Windows without overlap in row-major order, the last of each axis cut short (K20): y, x, height, width."""
+    return [(y, x, min(side, height - y), min(side, width - x)) for y in range(0, height, side) for x in range(0, width, side)]
+
+
+def predict_masks(tiles: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int = 1024, batch: int = 4, fill: int = 255, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Masks of tiles of any size from a predictor of windows (K1 K20): x, y, height, width, mask (a byte a pixel), mask_px.
+
+    The windows of all tiles of a task are dealt into batches of `batch` as they come, also over tiles, and padded with
+    `fill` to the full side; predictions are cut and laid back, and a tile leaves when its last window is done. make() is
+    called once a task and gives a function from n x side x side x 3 to n x side x side. finish: a last step a tile.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = make()
+        waiting: list[tuple[int, tuple[int, int, int, int], np.ndarray]] = []
+        open_: dict[int, tuple[int, int, np.ndarray, int]] = {}
+
+        def work() -> Iterator[pd.DataFrame]:
+            nonlocal waiting
+            done = predict(np.stack([w for _, _, w in waiting]))
+            for (k, (y, x, h, w), _), m in zip(waiting, done, strict=True):
+                tx, ty, mask, left = open_[k]
+                mask[y : y + h, x : x + w] = m[:h, :w]
+                open_[k] = tx, ty, mask, left - 1
+                if left == 1:
+                    del open_[k]
+                    mask = mask if finish is None else finish(mask)
+                    mask = mask.astype(np.uint8)
+                    yield pd.DataFrame({"x": [tx], "y": [ty], "height": [mask.shape[0]], "width": [mask.shape[1]], "mask": [mask.tobytes()], "mask_px": [int((mask > 0).sum())]})
+            waiting = []
+
+        n = 0
+        for pdf in batches:
+            for tx, ty, h, w, data in zip(pdf["x"], pdf["y"], pdf["height"], pdf["width"], pdf["data"], strict=True):
+                image, n = np.frombuffer(data, np.uint8).reshape(h, w, 3), n + 1
+                parts = window_list(h, w, side)
+                open_[n] = tx, ty, np.zeros((h, w), np.uint8), len(parts)
+                for y, x, wh, ww in parts:
+                    full = np.full((side, side, 3), fill, np.uint8)
+                    full[:wh, :ww] = image[y : y + wh, x : x + ww]
+                    waiting.append((n, (y, x, wh, ww), full))
+                    if len(waiting) == batch:
+                        yield from work()
+        if waiting:
+            yield from work()
+
+    return tiles.select("x", "y", "height", "width", "data").mapInPandas(run, "x long, y long, height int, width int, mask binary, mask_px long")
+
+
 def long_pixels(tiles: DataFrame) -> DataFrame:
     """One row a pixel: tile_x, tile_y, y, x, r, g, b. For small planes and tests."""
 
@@ -93,6 +143,11 @@ def long_pixels(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, "tile_x long, tile_y long, y int, x int, r int, g int, b int")
 
 
+def first_tiles(tiles: DataFrame, side: int, overlap: int) -> DataFrame:
+    """x, y of the 2 x 2 first tiles of a grid, a grid themselves; for trial runs."""
+    return tiles.select("x", "y").where(F.greatest("x", "y") <= side - overlap)
+
+
 def slide_size(tiles: DataFrame) -> DataFrame:
     """Width from the first row of tiles, height from the first column."""
     first = tiles.agg(F.min("row").alias("r0"), F.min("col").alias("c0"))
