@@ -307,19 +307,24 @@ def detach(labels: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
     return out
 
 
-def suppress(instances: list[tuple[int, int, int, np.ndarray]], iomin: float = 0.5) -> list[int]:
-    """Places of instances kept: by falling area, unless one kept before covers `iomin` of the smaller."""
+def suppress(instances: list[tuple[int, int, int, np.ndarray]], iomin: float = 0.5, grid: int = 256) -> list[int]:
+    """Places of instances kept: by falling area, unless one kept before covers `iomin` of the smaller (K10 G4). Only instances of common grid squares are compared."""
     keep: list[int] = []
+    squares: dict[tuple[int, int], list[int]] = {}
     for i in sorted(range(len(instances)), key=lambda i: -instances[i][0]):
         area, y, x, bits = instances[i]
-        for j in keep:
+        own = [(p, q) for p in range(y // grid, (y + bits.shape[0] - 1) // grid + 1) for q in range(x // grid, (x + bits.shape[1] - 1) // grid + 1)]
+        for j in {k for square in own for k in squares.get(square, ())}:
             other, oy, ox, obits = instances[j]
             t, l = max(y, oy), max(x, ox)  # noqa: E741
             b, r = min(y + bits.shape[0], oy + obits.shape[0]), min(x + bits.shape[1], ox + obits.shape[1])
-            if t < b and l < r and (bits[t - y : b - y, l - x : r - x] & obits[t - oy : b - oy, l - ox : r - ox]).sum() >= iomin * min(area, other):
+            n = (bits[t - y : b - y, l - x : r - x] & obits[t - oy : b - oy, l - ox : r - ox]).sum() if t < b and l < r else 0
+            if n and n >= iomin * min(area, other):
                 break
         else:
             keep.append(i)
+            for square in own:
+                squares.setdefault(square, []).append(i)
     return keep
 
 

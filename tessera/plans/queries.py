@@ -111,19 +111,40 @@ def tiles(spark: SparkSession) -> DataFrame:
     return grid.geometry(grid.tile_positions(spark, 4000, 4000))
 
 
-@query(f"WITH {_GEOMETRY} SELECT * FROM tiles")
+_SLIDES = """s AS (SELECT c_custkey AS slide, 600 + c_custkey % 7 * 531 AS width, 700 + c_custkey % 5 * 613 AS height, CASE WHEN c_custkey % 7 > 3 AND c_custkey % 5 > 2 AND c_custkey % 3 = 0 THEN 64 + c_custkey % 50 END AS region_x,
+  CASE WHEN c_custkey % 7 > 3 AND c_custkey % 5 > 2 AND c_custkey % 3 = 0 THEN 32 + c_custkey % 40 END AS region_y, CASE WHEN c_custkey % 7 > 3 AND c_custkey % 5 > 2 AND c_custkey % 3 = 0 THEN 1024 + c_custkey % 300 END AS region_w,
+  CASE WHEN c_custkey % 7 > 3 AND c_custkey % 5 > 2 AND c_custkey % 3 = 0 THEN 1500 + c_custkey % 400 END AS region_h FROM {customer})"""
+#: Starts along the axes of slides, of w and h or of their regions, and the grid's cores and flags.
+_SLIDE_GRID = _SLIDES + """,
+ax AS (SELECT slide, x, lag(x) OVER v AS p, lead(x) OVER v AS q, row_number() OVER v - 1 AS ix FROM (SELECT slide, unnest(list_distinct(list_append(range(0, greatest(width - 1024, 0) + 1, 768), greatest(width - 1024, 0)))) AS x FROM s) a WINDOW v AS (PARTITION BY slide ORDER BY x)),
+ay AS (SELECT slide, y, lag(y) OVER v AS p, lead(y) OVER v AS q, row_number() OVER v - 1 AS ix FROM (SELECT slide, unnest(list_distinct(list_append(range(0, greatest(height - 1024, 0) + 1, 768), greatest(height - 1024, 0)))) AS y FROM s) a WINDOW v AS (PARTITION BY slide ORDER BY y)),
+st AS (SELECT ax.slide, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(ax.ix AS INT) AS col, CAST(ay.ix AS INT) AS row, CAST(CASE WHEN ax.p IS NULL THEN 0 ELSE x + 128 END AS BIGINT) AS core_x0, CAST(coalesce(ax.q + 128, x + 1024) AS BIGINT) AS core_x1,
+  CAST(CASE WHEN ay.p IS NULL THEN 0 ELSE y + 128 END AS BIGINT) AS core_y0, CAST(coalesce(ay.q + 128, y + 1024) AS BIGINT) AS core_y1, ay.p IS NULL AS edge_top, ay.q IS NULL AS edge_bottom, ax.p IS NULL AS edge_left, ax.q IS NULL AS edge_right FROM ax JOIN ay USING (slide))"""
+
+
+def slides(spark: SparkSession, sf_dir: str, regions: bool = False) -> DataFrame:
+    s = view(spark, sf_dir, f"WITH {_SLIDES} SELECT * FROM s")
+    return s if regions else s.withColumns({f"region_{c}": F.lit(None).cast("int") for c in "xywh"})
+
+
+@query(f"WITH {_SLIDE_GRID} SELECT * FROM st")
 def tile_grid(spark, sf_dir):
-    return tiles(spark)
+    """A slide a customer, of sizes below a tile and above."""
+    return grid.geometry(grid.slide_tiles(slides(spark, sf_dir)), by=("slide",))
 
 
-@query("""SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM (SELECT unnest([384, 576, 768, 896]) AS x) a CROSS JOIN (SELECT unnest([256, 448, 512]) AS y) b""")
+@query(f"""WITH {_SLIDES}, r AS (SELECT slide, coalesce(region_x, 0) AS ox, coalesce(region_y, 0) AS oy, greatest(coalesce(region_w, width) - 1024, 0) AS lx, greatest(coalesce(region_h, height) - 1024, 0) AS ly FROM s),
+y AS (SELECT slide, ox, oy, lx, unnest(list_distinct(list_append(range(0, ly + 1, 768), ly))) AS y FROM r)
+SELECT slide, CAST(ox + x AS BIGINT) AS x, CAST(oy + y AS BIGINT) AS y FROM (SELECT slide, ox, oy, y, unnest(list_distinct(list_append(range(0, lx + 1, 768), lx))) AS x FROM y) q""")
 def roi_grid(spark, sf_dir):
-    return grid.tile_positions(spark, 1400, 1100, 256, 64, (384, 256, 768, 512))
+    """Grids on the regions of slides that have one, on whole slides where not."""
+    return grid.slide_tiles(slides(spark, sf_dir, True))
 
 
-@query("SELECT CAST(a * 1024 AS BIGINT) AS x, CAST(b * 1024 AS BIGINT) AS y, least(1024, 4000 - a * 1024) AS w, least(1024, 2500 - b * 1024) AS h FROM range(0, 4) AS t(a) CROSS JOIN range(0, 3) AS u(b)")
+@query(f"""WITH {_SLIDES} SELECT slide, CAST(a * 512 AS BIGINT) AS x, CAST(b * 512 AS BIGINT) AS y, CAST(least(512, width - a * 512) AS BIGINT) AS w, CAST(least(512, height - b * 512) AS BIGINT) AS h
+FROM (SELECT slide, width, height, a, unnest(range(0, CAST(ceil(height / 512.0) AS BIGINT))) AS b FROM (SELECT *, unnest(range(0, CAST(ceil(width / 512.0) AS BIGINT))) AS a FROM s) p) q""")
 def ragged_grid(spark, sf_dir):
-    return grid.ragged_tiles(spark, 4000, 2500, 1024)
+    return grid.ragged_slide_tiles(slides(spark, sf_dir), 512)
 
 
 @query("""WITH s AS (SELECT n_nationkey AS slide, n_nationkey * 3 AS x, 100 + n_nationkey AS w, n_nationkey * 7 AS y, 1000 + n_nationkey * 113 AS h FROM nation)
@@ -133,11 +154,12 @@ def strip_plan(spark, sf_dir):
     return grid.strips(s, 300)
 
 
-@query(f"""WITH {_GEOMETRY}, d AS (SELECT col, row, 'right' AS side, core_x1 - core_x0 AS w, core_y1 - core_y0 AS n FROM tiles WHERE NOT edge_right UNION ALL SELECT col, row, 'bottom', core_y1 - core_y0, core_x1 - core_x0 FROM tiles WHERE NOT edge_bottom),
+@query(f"""WITH {_SLIDE_GRID}, d AS (SELECT slide, col, row, 'right' AS side, core_x1 - core_x0 AS w, core_y1 - core_y0 AS n FROM st WHERE NOT edge_right UNION ALL SELECT slide, col, row, 'bottom', core_y1 - core_y0, core_x1 - core_x0 FROM st WHERE NOT edge_bottom),
 e AS (SELECT *, k * 36 AS pos, least(k * 36 + 22, n) - 1 AS till FROM d, unnest(range(0, 40)) AS u(k) WHERE k * 36 < n)
-SELECT col, row, side, CAST(CASE WHEN side = 'right' THEN w - 1 ELSE pos END AS BIGINT) AS x0, CAST(CASE WHEN side = 'right' THEN pos ELSE w - 1 END AS BIGINT) AS y0, CAST(CASE WHEN side = 'right' THEN w - 1 ELSE till END AS BIGINT) AS x1, CAST(CASE WHEN side = 'right' THEN till ELSE w - 1 END AS BIGINT) AS y1 FROM e""")
+SELECT slide, col, row, side, CAST(CASE WHEN side = 'right' THEN w - 1 ELSE pos END AS BIGINT) AS x0, CAST(CASE WHEN side = 'right' THEN pos ELSE w - 1 END AS BIGINT) AS y0, CAST(CASE WHEN side = 'right' THEN w - 1 ELSE till END AS BIGINT) AS x1, CAST(CASE WHEN side = 'right' THEN till ELSE w - 1 END AS BIGINT) AS y1 FROM e""")
 def seam_dashes(spark, sf_dir):
-    return grid.seam_dashes(tiles(spark))
+    tiles_ = grid.geometry(grid.slide_tiles(slides(spark, sf_dir)), by=("slide",))
+    return grid.seam_dashes(tiles_, by=("slide",))
 
 
 _NAMES = "SELECT 'a_tile_x' || CAST(o_orderkey * 3 AS VARCHAR) || '_y' || CAST(o_custkey AS VARCHAR) || '.png' AS name, o_orderkey * 3 AS x, o_custkey AS y FROM orders"
@@ -738,3 +760,6 @@ def stream_event_counts(spark, sf_dir):
     counts = incremental.windowed_counts(source).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
     counts.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import image_queries  # noqa: E402, F401  registers its queries
