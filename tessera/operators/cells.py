@@ -1,4 +1,4 @@
-"""Cell facts: dot counts, exclusion ladder, scores, classes, off-population cells."""
+"""Cell facts: dot counts, exclusion ladder, scores, classes, off-population cells."""
 
 from __future__ import annotations
 

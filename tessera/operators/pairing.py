@@ -1,4 +1,4 @@
-"""Tile names, listings and pairs."""
+"""Tile names, listings and pairs."""
 
 from __future__ import annotations
 
@@ -34,9 +34,39 @@ def listed(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     return files.where(ok).orderBy("name")
 
 
+def ranked(df: DataFrame, order: Column, into: str = "rn") -> DataFrame:
+    """Rows numbered 1..n by an order, without one task for all: ranges are sorted apart, and only their sizes, one row a partition, are summed up."""
+    from ..session import checkpointed
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__order", order).repartitionByRange(parts, "__order").sortWithinPartitions("__order")
+    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = checkpointed(dealt.drop("__order"))  # so that sizes and rows come from one dealing out
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return dealt.join(F.broadcast(starts), "__part").withColumn(into, F.col("__before") + F.col("__row") + 1).select(*df.columns, into)
+
+
+def split(rows: DataFrame, key: Column, share: float, seed: int = 42) -> DataFrame:
+    """Rows with `validation`, true for exactly floor(share * n) of them (S41): those first by a hash of the seed and a key, which no partitioning changes. Keys should be unique."""
+    if not 0 <= share <= 1:
+        raise ValueError("share must be in [0, 1]")
+    numbered = ranked(rows, F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string")).cast("binary")), "__rn")
+    n = numbered.agg(F.floor(F.count("*") * F.lit(float(share)) + 1e-9).alias("__most"))
+    return numbered.crossJoin(F.broadcast(n)).withColumn("validation", F.col("__rn") <= F.col("__most")).select(*rows.columns, "validation")  # one row
+
+
+def augmented(rows: DataFrame, copies: int) -> DataFrame:
+    """Each row as itself, copy 0, and `copies` times more."""
+    if copies < 0:
+        raise ValueError("copies must not be negative")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+
+
 def positional_pairs(left: DataFrame, right: DataFrame, strict: bool = True) -> DataFrame:
     """The k-th name of one listing with the k-th of the other, to the end of the shorter (J1); coordinates must agree."""
-    number = lambda df, c: df.select(F.col("name").alias(c), F.row_number().over(Window.orderBy("name")).alias("rn"))  # noqa: E731  a listing of tiles
+    number = lambda df, c: ranked(df.select(F.col("name").alias(c)), F.col(c)).withColumn("rn", F.col("rn").cast("int"))
     df = number(left, "left_name").join(number(right, "right_name"), "rn")
     df = df.select("rn", "left_name", "right_name", coordinate(F.col("left_name"), "x").alias("x"), coordinate(F.col("left_name"), "y").alias("y"), coordinate(F.col("right_name"), "x").alias("rx"), coordinate(F.col("right_name"), "y").alias("ry"))
     same = (F.col("x") == F.col("rx")) & (F.col("y") == F.col("ry"))

@@ -1,4 +1,4 @@
-"""Registration quality."""
+"""Registration quality (A32 A33 W11 S27; in part V3)."""
 
 from __future__ import annotations
 

@@ -13,7 +13,8 @@ from .. import pipeline
 from ..config import Config
 from ..functions import kernels
 from ..operators import cells as C
-from ..operators import instances
+from ..functions import pixels as P
+from ..operators import instances, matching, pairing
 from ..sources import images
 from . import adapters as D
 from .adapters import view
@@ -176,3 +177,71 @@ def window_list(spark, sf_dir):
             yield pd.DataFrame(out, columns=["slide", "y", "x", "h", "w"])
 
     return rows.mapInPandas(run, "slide long, y long, x long, h long, w long")
+
+
+@query(f"WITH {_PX} SELECT tile_x, tile_y, label AS cell_id, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, true AS is_her2_positive FROM px WHERE label > 0 GROUP BY tile_x, tile_y, label")
+def seed_cells(spark, sf_dir):
+    """A positive cell for every label."""
+    found = C.seed_cells(pixels(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("centroid_x", "centroid_y")})
+
+
+@query(f"""WITH f AS ({D.FACTS}), r AS (SELECT cell_id, her2_dot_count, blue_region_count, out_of_bounds AS excluded FROM f WHERE cell_id % 3 = 0)
+SELECT f.cell_id, f.is_her2_positive, coalesce(r.her2_dot_count, 0) AS her2_dot_count, coalesce(r.blue_region_count, 0) AS blue_region_count, coalesce(r.excluded, false) AS excluded FROM f LEFT JOIN r USING (cell_id)""")
+def enriched_cells(spark, sf_dir):
+    """All cells with the results of those that have some."""
+    cells = view(spark, sf_dir, D.FACTS)
+    results = cells.where("cell_id % 3 = 0").select("cell_id", "her2_dot_count", "blue_region_count", F.col("out_of_bounds").alias("excluded"))
+    return C.enrich(cells.select("cell_id", "is_her2_positive"), results, ["cell_id"])
+
+
+_CLAIMS = f"m AS (SELECT tile_x, tile_y, min(cell_id) AS cell_id, dot_id % 400 AS dish_id FROM ({D.DOTS}) q WHERE dot_id % 3 > 0 GROUP BY tile_x, tile_y, dot_id % 400)"
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    dots = view(spark, sf_dir, D.DOTS).withColumn("dish_id", F.col("dot_id") % 400)
+    return dots, dots.where("dot_id % 3 > 0").groupBy("tile_x", "tile_y", "dish_id").agg(F.min("cell_id").alias("cell_id"))
+
+
+@query(f"WITH {_CLAIMS} SELECT d.tile_x, d.tile_y, d.dot_id, m.cell_id FROM ({D.DOTS}) d JOIN m ON m.tile_x = d.tile_x AND m.tile_y = d.tile_y AND m.dish_id = d.dot_id % 400")
+def dot_owners(spark, sf_dir):
+    """Dots of claimed nuclei with the cell that claimed them."""
+    dots, claims = _claims(spark, sf_dir)
+    return C.dot_owners(dots.drop("cell_id"), claims).select("tile_x", "tile_y", "dot_id", "cell_id")
+
+
+@query(f"WITH {_CLAIMS} SELECT DISTINCT tile_x, tile_y, dish_id FROM m")
+def matched_nuclei(spark, sf_dir):
+    return matching.matched_nuclei(_claims(spark, sf_dir)[1])
+
+
+@query(f"WITH {_PX} SELECT tile_x, y, x, CASE WHEN r >= g AND r >= b THEN 0 WHEN g >= b THEN 1 ELSE 2 END AS class FROM px")
+def best_classes(spark, sf_dir):
+    """The class of the largest of three scores a pixel, the first of equals."""
+    return pixels(spark, sf_dir).select("tile_x", "y", "x", P.best_class(F.array("r", "g", "b")).alias("class"))
+
+
+@query(f"WITH {_PX} SELECT tile_x, CAST(sum(g) AS BIGINT) AS r, CAST(sum(b) AS BIGINT) AS g, CAST(sum(r) AS BIGINT) AS b FROM px GROUP BY tile_x")
+def modality_merge(spark, sf_dir):
+    """Three planes as the channels of one image, summed up by tile."""
+    merged = pixels(spark, sf_dir).select("tile_x", P.rgb_merge(F.col("g"), F.col("b"), F.col("r")).alias("m")).select("tile_x", "m.*")
+    return merged.groupBy("tile_x").agg(*[F.sum(c).alias(c) for c in "rgb"])
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CASE WHEN p_partkey % 3 = 0 THEN p_name || '-overlay' ELSE p_name END AS data, p_partkey % 3 <> 0 AS blank FROM part""")
+def blank_tiles(spark, sf_dir):
+    """Every tile's overlay, or its raw crop where none was drawn."""
+    raw = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.col("p_name").alias("data"))
+    return pairing.with_blanks(raw, raw.where("x % 3 = 0").withColumn("data", F.concat("data", F.lit("-overlay"))), raw)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5('42-' || CAST(p_partkey AS VARCHAR))) <= floor((SELECT count(*) FROM part) * 0.2) AS validation FROM part")
+def validation_split(spark, sf_dir):
+    """A fifth of the parts, exactly, by a hash rank."""
+    return pairing.split(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), F.col("p_partkey"), 0.2)
+
+
+@query("SELECT p_partkey, CAST(c AS INT) AS copy FROM part, unnest(range(0, 4)) AS u(c)")
+def augmented_rows(spark, sf_dir):
+    """Each part as itself and three times more."""
+    return pairing.augmented(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), 3)

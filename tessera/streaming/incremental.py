@@ -1,4 +1,4 @@
-"""Resumable batches and streams.
+"""Resumable batches and streams (R1-R6 R8 R12 P18 P19 O7 S23 F5; progress of streams is in progress.py).
 
 Results are kept in a table partitioned by config_hash, tile_x and tile_y. A tile's rows are replaced as a whole, so
 repeated work leaves one copy. Each tile has one marker row, in the same file as its rows, that says how many there are;

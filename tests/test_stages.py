@@ -204,3 +204,15 @@ def test_regions_are_whole_or_raise(spark):
     for bad in ((5, 6, 1024, None), (-1, 0, 1024, 1024), (0, 0, 1000, 1024), (2500, 0, 1024, 1024)):
         with pytest.raises(Exception, match="a region must be whole"):
             grid.slide_tiles(slide([(1, 3000, 2000, *bad)])).collect()
+
+
+def test_a_split_is_exact_and_doesn_t_depend_on_partitions(spark):
+    from tessera.operators import pairing
+
+    rows = spark.range(1003).withColumn("name", F.concat(F.lit("n"), "id"))
+    sets = [{r.id for r in pairing.split(df, F.col("name"), 0.2).where("validation").collect()} for df in (rows.repartition(1), rows.repartition(7, "id"))]
+    assert sets[0] == sets[1] and len(sets[0]) == 200
+    assert pairing.split(rows.limit(0), F.col("name"), 0.2).count() == 0
+    numbers = pairing.ranked(rows, F.col("name")).collect()
+    assert [r.name for r in sorted(numbers, key=lambda r: r.rn)] == sorted(f"n{k}" for k in range(1003)) and {r.rn for r in numbers} == set(range(1, 1004))
+    assert pairing.augmented(rows, 2).groupBy("id").count().where("count <> 3").isEmpty()
