@@ -14,7 +14,7 @@ from ..config import Config
 from ..functions import kernels
 from ..operators import cells as C
 from ..functions import pixels as P
-from ..operators import instances, matching, pairing
+from ..operators import components, instances, matching, pairing
 from ..sources import images
 from . import adapters as D
 from .adapters import view
@@ -245,3 +245,33 @@ def validation_split(spark, sf_dir):
 def augmented_rows(spark, sf_dir):
     """Each part as itself and three times more."""
     return pairing.augmented(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), 3)
+
+
+#: Embeddings as tiles of 8 x 8 pixels, 25 in a row, of one slide; set pixels are those above a level.
+_SET = f"{_PX}, q AS (SELECT CAST(tile_x // 25 * 8 + y AS INT) AS y, CAST(tile_x % 25 * 8 + x AS INT) AS x, v FROM px)"
+_NEAR = "(VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) AS d(dy, dx)"
+
+
+def slide_masks(spark: SparkSession, sf_dir: str, level: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            k = pdf["vec_id"]
+            yield pd.DataFrame({"x": k % 25 * 8, "y": k // 25 * 8, "height": 8, "width": 8, "mask": [(np.asarray(e, float) > level).astype(np.uint8).tobytes() for e in pdf["embedding"]]})
+
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").mapInPandas(run, "x long, y long, height int, width int, mask binary")
+
+
+@query(f"""WITH RECURSIVE {_SET}, s AS (SELECT y, x, CAST(y AS BIGINT) * 200 + x AS p FROM q WHERE v > 0.15), e AS (SELECT a.p AS a, b.p AS b FROM s a, {_NEAR} JOIN s b ON b.y = a.y + dy AND b.x = a.x + dx),
+r(p, c) AS (SELECT p, p FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.p)
+SELECT c // 200 AS py, c % 200 AS px, CAST(count(*) AS BIGINT) AS area FROM (SELECT p, min(c) AS c FROM r GROUP BY p) z GROUP BY c""")
+def slide_components(spark, sf_dir):
+    """Components of the whole slide across the seams of its tiles."""
+    return components.components(slide_masks(spark, sf_dir, 0.15))
+
+
+@query(f"""WITH RECURSIVE {_SET}, s AS (SELECT y, x FROM q WHERE v <= -0.03), ends AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM q),
+r(y, x) AS (SELECT s.y, s.x FROM s, ends WHERE s.y IN (y0, y1) OR s.x IN (x0, x1) UNION SELECT s.y, s.x FROM r, {_NEAR} JOIN s ON s.y = r.y + dy AND s.x = r.x + dx)
+SELECT CAST(x - x % 8 AS BIGINT) AS x, CAST(y - y % 8 AS BIGINT) AS y, CAST(count_if(v <= -0.03 AND NOT EXISTS (SELECT 1 FROM r WHERE r.y = q.y AND r.x = q.x)) AS BIGINT) AS filled_px FROM q GROUP BY ALL""")
+def slide_holes(spark, sf_dir):
+    """Pixels by tile that filling the slide's holes sets."""
+    return components.filled(slide_masks(spark, sf_dir, -0.03)).select("x", "y", "filled_px")
