@@ -12,6 +12,7 @@ lost task leaves nothing wrong behind. The ids before a file are a sum over part
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -155,22 +156,22 @@ class TokenFile:
 
 
 @cache
-def _tokenizer(path: str) -> tuple[units.Memo, tuple[bytes, ...]]:
-    """Encoder of units and the strings that stand for one id wherever they occur."""
+def _tokenizer(path: str) -> tuple[units.Memo, tuple[bytes, ...], bool]:
+    """Encoder of units, the strings that stand for one id wherever they occur, and whether texts are put in lower case."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     whole = tuple(t.content.encode() for t in made.get_added_tokens_decoder().values())
-    return units.Memo(lambda texts: [(np.array(e.ids, np.uint32),) for e in made.encode_batch_fast(texts, add_special_tokens=False)]), whole
+    apart = units.Apart(made, np.uint32)
+    steps = (json.loads(made.to_str())["normalizer"] or {}).get("normalizers", [])
+    return units.Memo(lambda texts: [apart(texts)]), whole, any(s["type"] == "Lowercase" for s in steps)
 
 
 def token_ids(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and their ends."""
-    memo, whole = _tokenizer(tokenizer)
-    distinct, places, begins = units.units(texts, whole)
-    known = [x[0] for x in memo(distinct)]
-    flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-    ids, ends = units.ragged(flat, np.array([len(x) for x in known], np.int64).cumsum(), places)
+    memo, whole, lower = _tokenizer(tokenizer)
+    distinct, places, begins = units.units(texts, whole, lower)
+    ids, ends = units.ragged(*memo(distinct)[0], places)
     return ids, np.concatenate(([0], ends))[begins[1:]]
 
 

@@ -18,8 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of units that a worker remembers; beyond it, it starts anew. Longer units are encoded each time.
-MOST_KEPT, LONGEST_KEPT = 48 << 20, 256
+#: Bytes of units and their columns that a worker remembers, and new units encoded at once.
+MOST_KEPT, AT_ONCE = 32 << 20, 4096
+
+#: Numbers of several rows, one after the other, and the rows' ends.
+Column = tuple[np.ndarray, np.ndarray]
 
 _code = np.arange(256)
 _DIGIT_LETTER = np.array([chr(c).isalnum() and c < 128 for c in _code])
@@ -64,14 +67,30 @@ def cuts(data: np.ndarray, start: np.ndarray, whole: Sequence[bytes] = ()) -> np
     return np.flatnonzero(at)
 
 
-def units(texts: pa.Array, whole: Sequence[bytes] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct units, the number of the unit at each place, and where each text's places begin (one more than texts)."""
+def lowered(data: np.ndarray, whole: Sequence[bytes] = ()) -> np.ndarray:
+    """ASCII letters in lower case, but for those before a character that might combine with them and texts that only so become one of `whole`."""
+    after = np.append(data[1:], np.uint8(32))
+    upper = (data >= 65) & (data <= 90) & ((after < 128) | (after == 0xC2) | (after == 0xC3))
+    out = data + (upper * np.uint8(32))
+    raw = out.tobytes() if whole else b""
+    for text in whole:
+        k = raw.find(text)
+        while k >= 0:
+            out[k : k + len(text)] = data[k : k + len(text)]
+            k = raw.find(text, k + 1)
+    return out
+
+
+def units(texts: pa.Array, whole: Sequence[bytes] = (), lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units, the number of the unit at each place, and where each text's places begin (one more than texts). lower: for tokenizers that take texts in lower case."""
     data, start = joined(texts)
+    if lower:
+        data = lowered(data, whole)
     at = cuts(data, start, whole)
     off = np.append(at, len(data)).astype(np.int64)
     col = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(off), pa.py_buffer(data)])
     coded = col.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.searchsorted(at, start)
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.searchsorted(at, start)
 
 
 def crossed(pieces: Iterable[str]) -> bool:
@@ -95,19 +114,60 @@ def ragged(flat: np.ndarray, ends: np.ndarray, take: np.ndarray) -> tuple[np.nda
 
 
 class Memo:
-    """What `encode` gives for units, each a tuple of arrays; kept for the units met last."""
-
-    def __init__(self, encode: Callable[[list[str]], list[tuple]]):
-        self.encode, self.known, self.size = encode, {}, 0
-
-    def __call__(self, texts: list[str]) -> list[tuple]:
-        if self.size > MOST_KEPT:
-            self.known, self.size = {}, 0
-        out = [self.known.get(t) for t in texts]
-        new = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(new, self.encode([texts[k] for k in new]) if new else [], strict=True):
-            out[k] = x
-            if len(texts[k]) <= LONGEST_KEPT:
-                self.known[texts[k]] = x
-                self.size += len(texts[k]) + 4 * sum(getattr(y, "nbytes", 8) for y in x) + 300
+    """Columns of numbers for units, several a unit, as `encode` gives them; kept for the units met last.
+
+    encode takes new units and returns for each column the numbers of all units and their ends.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[Column]]):
+        self.encode, self.known, self.columns = encode, pa.array([], pa.large_string()), None
+
+    def __call__(self, distinct: pa.Array) -> list[Column]:
+        """The columns of these units, in their order."""
+        at = pc.index_in(distinct, value_set=self.known)
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new) or self.columns is None:
+            texts = distinct.take(pa.array(new)).to_pylist()
+            parts = [self.encode(texts[k : k + AT_ONCE]) for k in range(0, len(texts), AT_ONCE)] or [self.encode([])]
+            parts = [self.columns, *parts] if self.columns else parts
+            self.columns = [_appended(c) for c in zip(*parts, strict=True)]
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new))])
+        out = [ragged(*c, at) for c in self.columns]
+        if self.known.nbytes + sum(x.nbytes for c in self.columns for x in c) > MOST_KEPT:
+            self.known, self.columns = distinct, out
         return out
+
+
+def _appended(parts: Sequence[Column]) -> Column:
+    size = np.cumsum([0] + [len(flat) for flat, _ in parts])
+    return np.concatenate([flat for flat, _ in parts]), np.concatenate([ends + k for (_, ends), k in zip(parts, size, strict=False)])
+
+
+class Apart:
+    """Encodes units with a tokenizer of the tokenizers library, many in one text, set apart by one of its special tokens."""
+
+    def __init__(self, tokenizer, kind: type):
+        added = sorted((k, t.content) for k, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.lstrip and not t.rstrip and not t.single_word)
+        self.tokenizer, self.kind, (self.id, self.mark) = tokenizer, kind, added[0] if added else (None, None)
+        self.odd = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> Column:
+        alone = [k for k, t in enumerate(texts) if self.mark is None or any(x in t for x in self.odd)]
+        skip = set(alone)
+        rest = [k for k in range(len(texts)) if k not in skip] if skip else range(len(texts))
+        out: list[np.ndarray] = [None] * len(texts)
+        for k, ids in zip(alone, self._each([texts[k] for k in alone]), strict=True):
+            out[k] = ids
+        joined_ = [rest[k : k + 128] for k in range(0, len(rest), 128)]
+        for own, ids in zip(joined_, self._each([self.mark.join(texts[k] for k in own) for own in joined_] if joined_ else []), strict=True):
+            cut = np.flatnonzero(ids == self.id)
+            if len(cut) != len(own) - 1:
+                raise ValueError("a unit holds the mark between units")
+            for k, a, b in zip(own, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                out[k] = ids[a:b]
+        return np.concatenate(out) if out else np.zeros(0, self.kind), np.cumsum([len(x) for x in out], dtype=np.int64)
