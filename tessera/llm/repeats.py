@@ -267,12 +267,13 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], ["kind", "bucket", "blob"])
 
 
-def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return (textnum.mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+def doc_bucket(doc: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    """Rows are dealt by id and text, so that texts of one id, or without one, don't meet in one task."""
+    return (textnum.mix(doc.astype(np.uint64) ^ textnum.mix(tag.astype(np.uint64))) % np.uint64(n)).astype(np.int64)
 
 
-def by_doc(kind: int, n: int, doc: np.ndarray, *rest: np.ndarray) -> list[tuple[int, int, bytes]]:
-    return [(kind, b, common.pack(doc[r], *(x[r] for x in rest))) for b, r in common.split_rows(doc_bucket(doc, n), n)]
+def by_doc(kind: int, n: int, doc: np.ndarray, tag: np.ndarray, *rest: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return [(kind, b, common.pack(doc[r], tag[r], *(x[r] for x in rest))) for b, r in common.split_rows(doc_bucket(doc, tag, n), n)]
 
 
 def bloom(packed: DataFrame) -> bytes:
@@ -331,7 +332,7 @@ def attach(spark: SparkSession, docs: DataFrame, packed: DataFrame, bits: bytes,
             at = np.flatnonzero(in_bloom(held, ids))
             if len(at):
                 own = batch.take(pa.array(at))
-                yield pa.record_batch([pa.array(doc_bucket(ids[at], n_buckets), pa.int32()), pa.nulls(len(at), pa.binary()), own.column(0).cast(pa.int64()), own.column(1).cast(pa.string())], ["bucket", "blob", "doc_id", "text"])
+                yield pa.record_batch([pa.array(doc_bucket(ids[at], textnum.digests(*textnum.texts(own.column(1).cast(pa.string()))), n_buckets), pa.int32()), pa.nulls(len(at), pa.binary()), own.column(0).cast(pa.int64()), own.column(1).cast(pa.string())], ["bucket", "blob", "doc_id", "text"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, columns = None, [], None

@@ -190,11 +190,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(grams: np.ndarray, w: int) -> np.ndarray:
-    """Position of the least of each w consecutive grams, the leftmost of equals."""
-    bits = max(1, int(len(grams)).bit_length())
-    low = _U((1 << bits) - 1)
-    key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    return (sliding_min(key, w) & low).astype(np.int64)
+    """Position of the least of each w consecutive grams, the leftmost of equals; whole hashes are compared, so equal windows agree in any batch."""
+    least, at, size = grams, np.arange(len(grams)), 1
+    n = max(len(grams) - w + 1, 0)
+    while size < w:
+        step = min(size, w - size)
+        right = least[step:] < least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        size += step
+    return at[:n]
 
 
 def union_length(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -188,3 +188,24 @@ def test_runs_merge_in_order():
     rows = sorted((int(a), int(b), int(x), int(y), k) for k, p in enumerate(parts) for a, b, x, y in zip(*p, strict=True))
     assert sorted(zip(g.tolist(), c.tolist(), c2.tolist(), d.tolist(), run.tolist(), strict=True)) == rows
     assert [r[:3] for r in zip(g.tolist(), c.tolist(), c2.tolist(), strict=True)] == [r[:3] for r in rows]
+
+
+def test_rows_without_id_are_dealt_evenly():
+    """200,000 rows of one id, or none, and unlike texts: no bucket has over twice its share."""
+    rng = np.random.default_rng(3)
+    for doc in (repeats.NULL_ID, 17):
+        n = np.bincount(repeats.doc_bucket(np.full(200_000, doc, np.int64), rng.integers(0, 1 << 63, 200_000).astype(np.uint64), 64), minlength=64)
+        assert n.min() > 0 and n.max() < 2 * 200_000 / 64
+    packed = repeats.by_doc(0, 64, np.full(1000, 5, np.int64), rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+    assert len(packed) == 64
+
+
+def test_anchors_don_t_depend_on_the_batch():
+    """Grams that differ in low bits only have the same least one in a short batch and at the head of a long one."""
+    rng = np.random.default_rng(4)
+    for w in (1, 2, 3, 7, 17, 34):
+        grams = (rng.integers(0, 6, 400) + (1 << 40)).astype(np.uint64)
+        got = textnum.anchors(grams, w)
+        want = [p + int(np.argmin(grams[p : p + w])) for p in range(len(grams) - w + 1)]
+        assert got.tolist() == want
+        assert textnum.anchors(grams[:w], w).tolist() == want[:1] and len(textnum.anchors(grams[: w - 1], w)) == 0
