@@ -48,6 +48,10 @@ SKETCH = 1 << 20
 MOST_FIRST = 16
 #: Classes of a cell that are joined in one task, and partners of a class that are verified in one place.
 CHUNK, PARTNERS = 20_000, 128
+#: Seed of the second half of a set's key; sets that may share a first half (1e12 sets make some 30,000 such).
+SECOND, MOST_SHARED = 0x2545F4914F6CDD1D, 100_000
+#: Of a key that unlike sets have, the new keys by second half.
+Renames = dict[int, dict[int, int]]
 
 
 def power_of(n: np.ndarray) -> np.ndarray:
@@ -106,6 +110,44 @@ def class_keys(doc: np.ndarray, x: np.ndarray, n_docs: int, seed: int = 0x5851F4
     return key.view(np.int64), n
 
 
+def renamed_keys(doc: np.ndarray, x: np.ndarray, n_docs: int, mask: int, renames: Renames) -> tuple[np.ndarray, np.ndarray]:
+    """class_keys within the mask, with the keys that some sets get instead because unlike sets had one."""
+    key, n = class_keys(doc, x, n_docs)
+    key = key & mask
+    if renames and (at := np.flatnonzero(np.isin(key, list(renames)))).size:
+        other = class_keys(doc, x, n_docs, SECOND)[0]
+        for d in at:
+            key[d] = renames[int(key[d])].get(int(other[d]), key[d])
+    return key, n
+
+
+def settled(rows: DataFrame, scratch: common.Scratch) -> Renames:
+    """New keys for all but one of unlike sets that share a key: a dozen among 10^10 sets, so they fit the driver.
+
+    Sets are told apart by 128 bits, k and k2; a new key is one that no set has.
+    """
+    shared = rows.where("n > 0").groupBy("k").agg(F.min("k2").alias("a"), F.max("k2").alias("b")).where("a <> b").select("k")
+    shared = scratch.keep(shared, "shared")
+    if shared.isEmpty():
+        return {}
+    sets = rows.join(F.broadcast(shared), "k").select("k", "k2").distinct().orderBy("k", "k2").limit(MOST_SHARED + 1).collect()
+    if len(sets) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} sets share a key")
+    out: Renames = {}
+    left = [(r.k, r.k2) for before, r in itertools.pairwise(sets) if before.k == r.k]
+    spark, step, used = rows.sparkSession, 1, set()
+    while left:
+        offer = [(k, k2, int(textnum.mix(np.array([k2 + step], np.int64).view(np.uint64)).view(np.int64)[0])) for k, k2 in left]
+        taken = {r.k for r in rows.join(F.broadcast(spark.createDataFrame([(o,) for _, _, o in offer], "k long")), "k", "left_semi").select("k").distinct().collect()} | used
+        for k, k2, o in offer:
+            if o not in taken:
+                taken.add(o)
+                used.add(o)
+                out.setdefault(k, {})[k2] = o
+        left, step = [(k, k2) for k, k2 in left if k2 not in out.get(k, {})], step + 1
+    return out
+
+
 def _bin(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(24)) & np.uint64(SKETCH - 1)).astype(np.int64)
 
@@ -117,7 +159,7 @@ def _slices(batch: pa.RecordBatch, at: int, width: int):
         yield i, j, raw, own, *shingle_sets(raw, own, width)
 
 
-def scan_sets(docs: DataFrame, width: int) -> DataFrame:
+def scan_sets(docs: DataFrame, width: int, mask: int = -1) -> DataFrame:
     """A row per document (id, tag, h: hash of its text, k and k2: keys of its set, n) and rows of the sketch (part, counts)."""
     part = 1 << 14
 
@@ -127,7 +169,8 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
             found = []
             for i, j, raw, own, doc, x in _slices(batch, 1, width):
                 k, n = class_keys(doc, x, j - i)
-                found.append((textnum.digests(raw, own).view(np.int64), k, class_keys(doc, x, j - i, 0x2545F4914F6CDD1D)[0], n))
+                k = k & mask
+                found.append((textnum.digests(raw, own).view(np.int64), k, class_keys(doc, x, j - i, SECOND)[0], n))
                 counts += np.bincount(_bin(x), minlength=SKETCH).astype(np.uint32)
             if m := len(batch):
                 tag, *keys = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
@@ -160,7 +203,7 @@ def levels(scanned: DataFrame) -> np.ndarray:
     return np.where(over > 0, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, percent: int, mask: int = -1, renames: Renames | None = None) -> DataFrame:
     """kind 0: prefix shingles by bucket (shingle, k, n), each class once a batch; kind 1: points of classes (k, counts), by bucket of their keys."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -171,7 +214,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, n_buckets: int, width: int, per
             press = zstandard.ZstdCompressor(level=1, write_content_size=True)
             parts, points = [], []
             for i, j, _, _, doc, x in _slices(batch, 1, width):
-                key, n = class_keys(doc, x, j - i)
+                key, n = renamed_keys(doc, x, j - i, mask, renames or {})
                 fresh = np.zeros(j - i, bool)
                 for d in np.flatnonzero(n):
                     if (k := int(key[d])) not in seen:
@@ -548,18 +591,21 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
-def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int = CHUNK, most: int = MOST_FIRST) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int = CHUNK, most: int = MOST_FIRST, mask: int = -1) -> tuple[DataFrame, DataFrame]:
     """A row per document (doc_id, id, h, k, n), and of each set key k its component l with the component's least id and, under it, least text hash (component_id, first)."""
     spark = common.tuned(docs.sparkSession)
     scratch = common.Scratch(spark, "rtree")
     n_buckets = common.buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = scratch.keep(scan_sets(docs, width), "sets")
+    scanned = scratch.keep(scan_sets(docs, width, mask), "sets")
     rows = scanned.where(F.col("part").isNull()).select("doc_id", "id", "tag", "h", "k", "k2", "n")
+    renames = settled(rows, scratch)
+    if renames:
+        new = spark.createDataFrame([(k, k2, o) for k, own in renames.items() for k2, o in own.items()], "k long, k2 long, other long")
+        rows = rows.join(F.broadcast(new), ["k", "k2"], "left").withColumn("k", F.coalesce("other", "k")).drop("other")
     level = levels(scanned)
-    one = F.when(F.min("k2") == F.max("k2"), F.first("n")).otherwise(F.raise_error(F.lit("two sets share a key; use other seeds")).cast("long"))
-    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), one.alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
-    found = scratch.keep(cells(prefixes(docs, level, n_buckets, width, percent), percent), "cells")
+    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
+    found = scratch.keep(cells(prefixes(docs, level, n_buckets, width, percent, mask, renames), percent), "cells")
     members = scratch.keep(found.where("cell IS NOT NULL").dropDuplicates(["cell", "k"]).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
     own = found.where("cell IS NULL").select("k", "point").join(members.select("k", "n").distinct(), "k")
     points = scratch.keep(own.dropDuplicates(["k"]).select("k", "n", "point"), "points")
@@ -601,7 +647,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, **limits
     component_id is the smallest doc_id among the rows reachable by links. Null and empty texts have no shingles and are
     linked with nothing, their component is their own id. Equal sets are linked. Rows of one id are rows of their own;
     a null id stands behind all others, and a component of null ids only has the id null. Other columns are ignored.
-    limits: few, chunk and most of linked(); they change the work, not the result.
+    limits: few, chunk, most and mask (bits of the first half of a set's key) of linked(); they change the work, not the result.
     """
     rows, named = linked(docs, width, percent, **limits)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component_id") == repeats.NULL_ID, None).otherwise(F.col("component_id")))

@@ -140,3 +140,11 @@ def test_folded_points_bound_the_overlap():
         least = min(p.shape[1] for p in points)
         p, q = (jaccard_rtree.fold(v, (v.shape[1] // least).bit_length() - 1) for v in points)
         assert p.sum() == n and q.sum() == m and np.minimum(p, q).sum() >= len(both)
+
+
+def test_unlike_sets_that_share_half_a_key(spark, corpus):
+    """With few bits in the first half of the keys most sets share one; classes and components stay what they are."""
+    want = sorted((tuple(r) for r in jaccard_rtree.join(corpus).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    for mask in (7, 0):
+        got = jaccard_rtree.join(corpus, mask=mask)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
