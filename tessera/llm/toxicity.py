@@ -15,8 +15,10 @@ most, whatever the length of a text. Only the text enters a score.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,10 @@ class CharModel:
 
     logp: np.ndarray
 
+    @cached_property
+    def table(self) -> list[list[list[float]]]:
+        return self.logp.tolist()
+
     @classmethod
     def of(cls, counts: np.ndarray) -> CharModel:
         c = counts.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS).astype(float)
@@ -105,37 +111,91 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+class Prefixes:
+    """Texts as places of a tree: a place knows the one before it and its character, so a longer text costs one place whatever its length."""
+
+    def __init__(self):
+        self.before, self.depth, self.jump, self.char = array("q", [0]), array("q", [0]), array("q", [0]), [""]
+        self.after: dict[int, dict[str, int]] = {}
+
+    def grown(self, at: int, text: str) -> int:
+        """The place of the text at a place with more behind it; equal texts share a place."""
+        for c in text:
+            own = self.after.setdefault(at, {})
+            if c not in own:
+                own[c] = len(self.char)
+                self.before.append(at)
+                self.depth.append(self.depth[at] + 1)
+                far = self.jump[at]
+                self.jump.append(self.jump[far] if self.depth[at] - self.depth[far] == self.depth[far] - self.depth[self.jump[far]] else at)
+                self.char.append(c)
+            at = own[c]
+        return at
+
+    def forget(self, live: set[int]) -> None:
+        """Texts grow from live places only; what lies two characters behind them may be asked for again."""
+        near = {c for t in live for c in self.after.get(t, {}).values()}
+        self.after = {t: own for t in live | near if (own := self.after.get(t))}
+
+    def compare(self, x: int, y: int) -> int:
+        """Below, at or above 0 as the first text sorts before, with or after the second; jumps make the steps to where they part few."""
+        a, b = self._cut(x, self.depth[y]), self._cut(y, self.depth[x])
+        if a == b:
+            return self.depth[x] - self.depth[y]
+        while self.before[a] != self.before[b]:
+            a, b = (self.jump[a], self.jump[b]) if self.jump[a] != self.jump[b] else (self.before[a], self.before[b])
+        return -1 if self.char[a] < self.char[b] else 1
+
+    def _cut(self, at: int, depth: int) -> int:
+        """The first `depth` characters of a text, the whole of a shorter one."""
+        while self.depth[at] > depth:
+            at = self.jump[at] if self.depth[self.jump[at]] >= depth else self.before[at]
+        return at
+
+    def text(self, at: int) -> str:
+        out = []
+        while at:
+            out.append(self.char[at])
+            at = self.before[at]
+        return "".join(reversed(out))
+
+
 def readings(token: str, model: CharModel, n: int = READINGS, spaced: bool = False) -> list[str]:
     """The n likeliest readings of a token, by Viterbi with n readings a state. spaced: its characters stood apart, so it may be several words."""
-    logp = model.logp
-    states: dict[tuple[int, int], dict[str, float]] = {(_EDGE, _EDGE): {"": 0.0}}
+    logp, tree = model.table, Prefixes()
+    states: dict[tuple[int, int], dict[int, float]] = {(_EDGE, _EDGE): {0: 0.0}}
+
+    def order(x: tuple[int, float], y: tuple[int, float]) -> int:
+        return (x[1] < y[1]) - (x[1] > y[1]) or tree.compare(x[0], y[0])
 
-    def best(texts: dict[str, float]) -> dict[str, float]:
-        return texts if len(texts) <= n else dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[:n])
+    def best(texts: dict[int, float]) -> dict[int, float]:
+        return texts if len(texts) <= n else dict(sorted(texts.items(), key=cmp_to_key(order))[:n])
 
     for step in lattice(token):
         if spaced:
-            ended: dict[tuple[int, int], dict[str, float]] = {}
+            ended: dict[tuple[int, int], dict[int, float]] = {}
             for (a, b), texts in states.items():
                 if b != _EDGE:
-                    ended.setdefault((b, _EDGE), {}).update({t + " ": s + logp[a, b, _EDGE] for t, s in texts.items()})
+                    ended.setdefault((b, _EDGE), {}).update({tree.grown(t, " "): s + logp[a][b][_EDGE] for t, s in texts.items()})
             for key, texts in ended.items():
                 states[key] = best(states.get(key, {}) | texts)
-        new: dict[tuple[int, int], dict[str, float]] = {}
+        new: dict[tuple[int, int], dict[int, float]] = {}
         for (a, b), texts in states.items():
             for x, cost in step:
                 s, p, q = cost, a, b
                 for c in x:
                     k = ord(c) - 97 if "a" <= c <= "z" else _OTHER
-                    s += logp[p, q, k]
+                    s += logp[p][q][k]
                     p, q = q, k
                 own = new.setdefault((p, q), {})
                 for t, before in texts.items():
-                    if before + s > own.get(t + x, -1e300):
-                        own[t + x] = before + s
+                    longer = tree.grown(t, x)
+                    if before + s > own.get(longer, -1e300):
+                        own[longer] = before + s
         states = {key: best(texts) for key, texts in new.items()}
-    ends = sorted(((-s - logp[a, b, _EDGE], t) for (a, b), texts in states.items() for t, s in texts.items() if t.strip()))
-    return [t for _, t in ends][:n]
+        tree.forget({t for texts in states.values() for t in texts})
+    ends = {tree.text(t): -s - logp[a][b][_EDGE] for (a, b), texts in states.items() for t, s in texts.items()}
+    return [t for _, t in sorted((s, t) for t, s in ends.items() if t.strip())][:n]
 
 
 def suspects(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, str]]:
@@ -368,11 +428,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
     return fit(picked.column(1).to_numpy().astype(float), doc, np.concatenate(places).astype(np.int64), x, model)
 
 
-def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every row with __score (0 to 1) and __predicted (0 or 1)."""
+def score(docs: DataFrame, scorer: Scorer, into: tuple[str, str], threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of every row with a score (0 to 1) and a decision (0 or 1) in the columns `into`, names that aren't kept ones."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     names = list(keep)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias(common.fresh(docs, "text")[0]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple[str, bool], list[str]] = {}
@@ -380,9 +440,9 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, keep: t
             buf, off = textnum.texts(batch.column(len(names)))
             parts = [sent.value.score(buf[off[i] : off[j]], off[i : j + 1] - off[i], memo) for i, j in textnum.slices(off)]
             p = np.concatenate(parts) if parts else np.empty(0)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "__score", "__predicted"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, *into])
 
-    out = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:-1]), "__score double", "__predicted int"])
+    out = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:-1]), f"`{into[0]}` double", f"`{into[1]}` int"])
     return rows.mapInArrow(scan, out)
 
 
@@ -393,11 +453,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels:
     scores. Without labels of both classes all texts get one score. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = score(rows, learn(spark, rows, labels, most_labels))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    out = score(rows, learn(spark, rows, labels, most_labels), ("score", "predicted"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
     """The rows of docs that aren't judged toxic, with all their columns."""
-    scored = score(docs, learn(spark, docs, labels, most_labels), keep=tuple(docs.columns))
-    return scored.where("__predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = common.fresh(docs, "score", "predicted")
+    scored = score(docs, learn(spark, docs, labels, most_labels), tuple(into), keep=tuple(docs.columns))
+    return scored.where(F.col(into[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

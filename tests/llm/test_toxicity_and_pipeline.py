@@ -152,3 +152,26 @@ def test_minimum_of_a_convex_function():
     h, b = a.T @ a, rng.normal(size=6)
     w = toxicity.minimum(lambda w: (float(0.5 * w @ h @ w - b @ w), h @ w - b), np.zeros(6))
     assert np.allclose(w, np.linalg.solve(h, b), atol=1e-5)
+
+
+def test_long_spaced_text_takes_time_in_proportion(spark, labelled):
+    import time
+
+    model = toxicity.CharModel.of(toxicity.char_counts(labelled[0]))
+    took = []
+    for n in (4000, 16000):
+        start = time.process_time()
+        found = toxicity.readings("stupid" * (n // 6), model, spaced=True)
+        took.append(time.process_time() - start)
+        assert len(found[0].replace(" ", "")) == n // 6 * 6
+    assert took[1] < 8 * took[0] + 0.5, took
+
+
+def test_columns_of_the_input_may_have_any_name(spark, labelled):
+    docs, labels = labelled
+    from pyspark.sql import functions as F
+
+    odd = docs.select("doc_id", "text", F.lit(1).alias("__text"), F.lit(2).alias("__score"), F.lit(3).alias("__predicted"), F.lit("p").alias("predicted"), F.lit("s").alias("Score"))
+    kept = toxicity.clean(spark, odd, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
+    assert kept.select("__score", "__predicted", "predicted", "Score").distinct().collect() == [(2, 3, "p", "s")]
