@@ -14,6 +14,7 @@ under which equal rows have equal hits.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,7 +157,7 @@ def _hits(docs: DataFrame, sent: Broadcast | None) -> DataFrame:
                         lo, hi = textnum.union_length(start[r] - words.off[d], end[r] - words.off[d])
                         spans[i + d] = np.stack([lo, hi]).astype(np.int64).tobytes()
                         found = {index.ids[x] for x in np.unique(item[r])} - {None}
-                        items[i + d] = "\0".join(sorted(found)).encode() if found else None
+                        items[i + d] = json.dumps(sorted(found)).encode() if found else None
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, pa.binary()), pa.array(items, pa.binary())], ["doc_id", "digest", "n_words", "spans", "items"])
 
     return docs.mapInArrow(scan, _SCHEMA)
@@ -169,7 +170,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
             both = np.concatenate([np.frombuffer(s, np.int64).reshape(2, -1) for s in spans], 1) if spans else np.empty((2, 0), np.int64)
             lo, hi = textnum.union_length(both[0], both[1])
-            found = sorted({x for i in items for x in i.decode().split("\0")})
+            found = sorted({x for i in items for x in json.loads(i)})
             hit.append(int((hi - lo).sum()))
             n_items.append(len(found))
             sha.append(hashlib.sha256(",".join(found).encode()).hexdigest())
@@ -184,14 +185,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(docs: DataFrame, benchmark: DataFrame, most: int = common.MOST_BROADCAST) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the spans of hit words, the items, and digest.
 
-    digest is the text's SHA-1 where the benchmark takes several blocks, else null. Null and empty texts have no words
+    digest is the text's SHA-1. Null and empty texts have no words
     and no hits; items without words match nothing; items of one id count once, those of a null id count for words
     only. Repeated rows each get a row. Other columns of docs are ignored.
     """
     spark = common.tuned(docs.sparkSession)
     items = _items(benchmark)
     n = n_blocks(items, most)
-    digest = F.lit(None).cast("string") if n == 1 else F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    digest = F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.col("text").cast("string").alias("text"))
     if n == 1:
         wrap = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<binary>")).otherwise(F.array(c)).alias(c)
