@@ -321,3 +321,12 @@ def test_html_query_against_a_slow_decoder(spark, tmp_path):
         )
         want[i] = " ".join(b.text for b, v in zip(found, best, strict=True) if v)
     assert {r.page_id: r.text for r in queries.op3_html_extraction(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("most", [common.MOST_BROADCAST, 200])
+def test_item_ids_of_any_characters(spark, prose, most):
+    passage, other = prose(70, 20), prose(71, 20)
+    bench = spark.createDataFrame([("a\0b", passage), ("c", other), ('q"[,', passage), (None, other)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"{passage} and {other}"), (2, "clean words")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_items, r.items, r.digest) for r in decontam.find(docs, bench, most).collect()}
+    assert got[1][:2] == (3, sorted(["a\0b", "c", 'q"[,'])) and got[2][:2] == (0, []) and all(d and len(d) == 40 for _, _, d in got.values())
