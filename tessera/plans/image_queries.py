@@ -14,7 +14,7 @@ from ..config import Config
 from ..functions import kernels
 from ..operators import cells as C
 from ..functions import pixels as P
-from ..operators import components, instances, matching, pairing
+from ..operators import components, contours, instances, matching, pairing
 from ..sources import images
 from . import adapters as D
 from .adapters import view
@@ -275,3 +275,10 @@ SELECT CAST(x - x % 8 AS BIGINT) AS x, CAST(y - y % 8 AS BIGINT) AS y, CAST(coun
 def slide_holes(spark, sf_dir):
     """Pixels by tile that filling the slide's holes sets."""
     return components.filled(slide_masks(spark, sf_dir, -0.03)).select("x", "y", "filled_px")
+
+
+@query(f"""WITH {_PX}, s AS (SELECT tile_x, y, x, label FROM px WHERE label > 0)
+SELECT a.tile_x, a.y, a.x, a.label FROM s a LEFT JOIN s b ON b.tile_x = a.tile_x AND b.label = a.label AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL HAVING count(b.x) < 4""")
+def boundary_pixels(spark, sf_dir):
+    """Outlines of the labels of the embeddings' planes."""
+    return contours.boundary_pixels(pixels(spark, sf_dir).select("tile_x", "tile_y", "y", "x", "label")).drop("tile_y")

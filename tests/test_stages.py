@@ -216,3 +216,34 @@ def test_a_split_is_exact_and_doesn_t_depend_on_partitions(spark):
     numbers = pairing.ranked(rows, F.col("name")).collect()
     assert [r.name for r in sorted(numbers, key=lambda r: r.rn)] == sorted(f"n{k}" for k in range(1003)) and {r.rn for r in numbers} == set(range(1, 1004))
     assert pairing.augmented(rows, 2).groupBy("id").count().where("count <> 3").isEmpty()
+
+
+def test_rings_are_closed_outlines(spark):
+    from tessera.operators import contours
+
+    rng = np.random.default_rng(6)
+    shapes = [np.ones((1, 1), bool), np.ones((1, 5), bool), np.ones((4, 3), bool), np.eye(4, dtype=bool), K.disk(4)]
+    shapes += [K.label8(rng.random((14, 15)) < 0.55) == 1 for _ in range(30)]
+    for bits in shapes:
+        found = contours.ring(bits)
+        part = K.label8(bits)
+        own = part == part[found[0]]
+        assert all(own[p] for p in found) and (len(found) == 1 or all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(found, [*found[1:], found[0]])))
+        wide = np.pad(own, 1)
+        outside = K.label8(~wide)  # corners included: what an outline that may step diagonally leaves outside
+        out4 = np.zeros_like(wide)
+        todo = [(0, 0)]
+        while todo:  # flood from outside over sides only
+            y, x = todo.pop()
+            if 0 <= y < wide.shape[0] and 0 <= x < wide.shape[1] and not wide[y, x] and not out4[y, x]:
+                out4[y, x] = True
+                todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        sides = out4[:-2, 1:-1] | out4[2:, 1:-1] | out4[1:-1, :-2] | out4[1:-1, 2:]
+        assert set(found) == {tuple(map(int, p)) for p in np.argwhere(own & sides)} and outside.max() >= 1
+    planes = np.zeros((9, 9), np.int32)
+    planes[1:4, 1:4], planes[5:8, 5:8] = 3, 4
+    tiles = spark.createDataFrame([(7, 0, 9, 9, planes.tobytes())], "x long, y long, height int, width int, labels binary")
+    made = instances.detached(tiles)
+    rows = contours.coloured(made, made, spark.createDataFrame([(7, 0, 4)], "tile_x long, tile_y long, dish_id long")).collect()
+    assert sorted((r.z, r.id, r.colour) for r in rows) == [(1, 3, "orange"), (1, 4, "pink"), (2, 3, "green"), (2, 4, "green")]
+    assert list(zip(rows[0].ys, rows[0].xs)) and all(len(r.ys) == len(r.xs) == 8 for r in rows)
