@@ -110,6 +110,12 @@ def clear_edges(instances: DataFrame, tiles: DataFrame, height: int, width: int)
     return relabel(instances.join(flags, KEY).where(~cut).select(*instances.columns))
 
 
+def clear_border(instances: DataFrame, height: int, width: int) -> DataFrame:
+    """Without instances whose box touches any side of their tile, ids made dense."""
+    inner = (F.col("y0") > 0) & (F.col("x0") > 0) & (F.col("y1") < height) & (F.col("x1") < width)
+    return relabel(instances.where(inner))
+
+
 def region_props(pixels: DataFrame) -> DataFrame:
     """Area, centroid and box of each label (A5 A13), from long-form pixels tile, y, x, label."""
     df = pixels.where("label > 0").groupBy(*KEY, F.col("label").cast("long").alias("id"))

@@ -1,8 +1,8 @@
-"""Tile names, listings and pairs."""
+"""Tile names, listings and pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COORDINATES = r"tile_x(\d+)_y(\d+)"
@@ -149,3 +149,22 @@ def done_steps(artifacts: DataFrame) -> DataFrame:
     order = F.array(*[F.lit(s) for s in STEPS])
     df = artifacts.groupBy("run_id").agg(F.collect_set("step").alias("s"))
     return df.select("run_id", F.filter(order, lambda s: F.array_contains(F.col("s"), s)).alias("steps"))
+
+
+def present(layers: DataFrame, existing: DataFrame) -> DataFrame:
+    """Layers whose slide there is (P21): rows of layers with an id in existing."""
+    return layers.join(existing.select("id").distinct(), "id", "left_semi")
+
+
+def foreign(values: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that the list of allowed ones doesn't have (O8), a null one included; none means a subset."""
+    return values.select(key).distinct().exceptAll(allowed.select(key).distinct())
+
+
+def resolved(spark: SparkSession, path: str, base: str) -> str:
+    """A path as it is if it's absolute, else below the base folder (C8); FileNotFoundError if nothing is there, in any store that Spark reaches."""
+    full = path if "://" in path or path.startswith("/") else f"{base.rstrip('/')}/{path}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(full)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(full)
+    return full

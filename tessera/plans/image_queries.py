@@ -282,3 +282,23 @@ SELECT a.tile_x, a.y, a.x, a.label FROM s a LEFT JOIN s b ON b.tile_x = a.tile_x
 def boundary_pixels(spark, sf_dir):
     """Outlines of the labels of the embeddings' planes."""
     return contours.boundary_pixels(pixels(spark, sf_dir).select("tile_x", "tile_y", "y", "x", "label")).drop("tile_y")
+
+
+@query("SELECT n_nationkey AS id, n_name AS layer FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 3 = 0)")
+def present_layers(spark, sf_dir):
+    """Layers of which there is a slide."""
+    layers = view(spark, sf_dir, "SELECT n_nationkey AS id, n_name AS layer FROM {nation}")
+    return pairing.present(layers, view(spark, sf_dir, "SELECT s_nationkey AS id FROM {supplier} WHERE s_suppkey % 3 = 0"))
+
+
+@query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 > 0)")
+def foreign_keys(spark, sf_dir):
+    """Keys that the list of allowed ones doesn't have."""
+    return pairing.foreign(view(spark, sf_dir, "SELECT o_custkey AS k FROM {orders}"), view(spark, sf_dir, "SELECT c_custkey AS k FROM {customer} WHERE c_custkey % 5 > 0"), "k")
+
+
+@query(f"""WITH {_PX}, b AS (SELECT tile_x, label, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1, count(*) AS area FROM (SELECT * FROM px WHERE v > 0.16 AND label > 0) q GROUP BY ALL)
+SELECT tile_x, row_number() OVER (PARTITION BY tile_x ORDER BY label) AS id, CAST(area AS BIGINT) AS area FROM b WHERE y0 > 0 AND x0 > 0 AND y1 < 8 AND x1 < 8""")
+def inner_instances(spark, sf_dir):
+    """Instances that touch no side of their tile, numbered anew."""
+    return C.clear_border(C.region_props(pixels(spark, sf_dir).where("v > 0.16")), 8, 8).select("tile_x", "id", "area")

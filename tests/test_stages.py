@@ -247,3 +247,12 @@ def test_rings_are_closed_outlines(spark):
     rows = contours.coloured(made, made, spark.createDataFrame([(7, 0, 4)], "tile_x long, tile_y long, dish_id long")).collect()
     assert sorted((r.z, r.id, r.colour) for r in rows) == [(1, 3, "orange"), (1, 4, "pink"), (2, 3, "green"), (2, 4, "green")]
     assert list(zip(rows[0].ys, rows[0].xs)) and all(len(r.ys) == len(r.xs) == 8 for r in rows)
+
+
+def test_paths_are_absolute_or_below_the_base(spark, tmp_path):
+    from tessera.operators import pairing
+
+    (tmp_path / "a").mkdir()
+    assert pairing.resolved(spark, "a", str(tmp_path)) == pairing.resolved(spark, str(tmp_path / "a"), "/nowhere") == str(tmp_path / "a")
+    with pytest.raises(FileNotFoundError):
+        pairing.resolved(spark, "b", str(tmp_path))
