@@ -1,9 +1,10 @@
 """Aligning the tokens of two tokenizers and counting which ids stand together.
 
 Python only tokenises. It takes a block of documents and gives the tokens of the block's distinct units (see units.py),
-one after the other, with their ends in bytes, and the unit numbers of each document. From there Spark's higher-order
-functions go on: array_intersect of both end arrays gives the ends of the groups, ranks of these among the tokens'
-ends come from a sort of two sorted arrays, sequence and transform cut the groups out and pair their ids.
+one after the other, with their ends in bytes and the token that holds each byte, and the unit numbers of each document.
+From there Spark's higher-order functions go on: array_intersect of both end arrays gives the ends of the groups,
+transform finds the tokens that end there, sequence and transform cut the groups out and pair their ids, and aggregate
+sums up.
 
 Counts are sums over blocks: a document's distinct pairs are exploded and counted with partial sums before the
 exchange. Pairs held by the most documents, up to a bounded number, are sent to all tasks; the others, of which none is
@@ -12,6 +13,7 @@ frequent, are joined by an exchange. Sums come back by block and unit, then docu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,13 +26,13 @@ from pyspark.sql import functions as F
 from . import common, units
 
 #: Bytes of text in a block, blocks in a file (a file's blocks may be in memory at once).
-BLOCK_BYTES, FILE_BLOCKS = 2 << 20, 16
+BLOCK_BYTES, FILE_BLOCKS = 1 << 20, 16
 #: Pairs, most frequent first, that are sent to all tasks (24 bytes each).
 MOST_PAIRS = 1 << 20
 _SHIFT = 32
 _BLOCK = (
     "block long, docs array<struct<doc_id:long,n_a:long,n_b:long,units:array<int>>>, "
-    "unit_ends array<int>, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+    "unit_ends array<int>, a array<int>, a_ends array<int>, a_of array<int>, b array<int>, b_ends array<int>, b_of array<int>"
 )
 
 
@@ -41,42 +43,65 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@cache
-def _pair(path_a: str, path_b: str) -> units.Memo:
-    """Gives for units: ids of A, bytes of each, ids of B, bytes of each, and the bytes of B where they aren't the unit's."""
-    from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer
-
-    first, second = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
-    first.encode_special_tokens = True
-    spell = byte_of_char()
-    vocabulary = first.get_vocab(with_added_tokens=True)
-    added = {k: t.content.encode() for k, t in first.get_added_tokens_decoder().items()}
-    bytes_a = {k: added[k] if k in added else bytes(spell[c] for c in v) for v, k in vocabulary.items()}
-    pieces = [second.id_to_piece(k) for k in range(second.vocab_size())]
-    if units.crossed(p for k, p in enumerate(pieces) if not (second.is_byte(k) or second.is_control(k) or second.is_unknown(k))):
-        raise ValueError("this vocabulary has pieces that cross a cut")
-    bytes_b = [bytes([int(p[3:5], 16)]) if second.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-    size_a = np.zeros(max(bytes_a) + 1, np.int32)
-    for k, v in bytes_a.items():
-        size_a[k] = len(v)
-    size_b = np.array([len(v) for v in bytes_b], np.int32)
-    lead = second.encode("a")
-
-    def encode(texts: list[str]) -> list[tuple]:
-        out = []
+class Pair:
+    """Both tokenizers: their ids for units, and the bytes of each id."""
+
+    def __init__(self, path_a: str, path_b: str):
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
+
+        first, self.second = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        first_plain = Tokenizer.from_file(path_a)
+        first_plain.encode_special_tokens = True
+        self.plain, self.apart = first_plain, units.Apart(first, np.int32)
+        spell, added = byte_of_char(), {k: t.content.encode() for k, t in first.get_added_tokens_decoder().items()}
+        words = first.get_vocab(with_added_tokens=True)
+        bytes_a = [b""] * (max(words.values()) + 1)
+        for word, k in words.items():
+            bytes_a[k] = added[k] if k in added else bytes(spell[c] for c in word)
+        b = self.second
+        pieces = [b.id_to_piece(k) for k in range(b.vocab_size())]
+        if units.crossed(p for k, p in enumerate(pieces) if not (b.is_byte(k) or b.is_control(k) or b.is_unknown(k))):
+            raise ValueError("this vocabulary has pieces that cross a cut")
+        bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.bytes = [(np.frombuffer(b"".join(x), np.uint8), np.cumsum([len(v) for v in x])) for x in (bytes_a, bytes_b)]
+        self.sizes = [np.array([len(v) for v in x], np.int64) for x in (bytes_a, bytes_b)]
+        self.lead = len(self.second.encode("a"))
+        self.memo = units.Memo(self.encode)
+
+    def spelled(self, which: int, ids: np.ndarray) -> bytes:
+        return units.ragged(*self.bytes[which], ids)[0].tobytes()
+
+    def encode(self, texts: list[str]) -> list[units.Column]:
+        """Ids of A, ids of B, and 1 where the bytes of either aren't the unit's."""
+        marks = [k for k, t in enumerate(texts) if any(x in t for x in self.apart.odd)]
+        a, a_ends = self.apart(["" if k in set(marks) else t for k, t in enumerate(texts)] if marks else texts)
+        if marks:  # strings of special tokens are ordinary text
+            rows = np.split(a, a_ends[:-1])
+            for k in marks:
+                rows[k] = np.array(self.plain.encode(texts[k], add_special_tokens=False).ids, np.int32)
+            a, a_ends = np.concatenate(rows), np.cumsum([len(x) for x in rows])
         spaced = [t[0] == " " for t in texts]
         # B puts a space first itself; a unit without one is encoded after a letter, which a cut parts from it
-        ids_b = second.encode([t[1:] if s else "a" + t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
-        for t, s, e, y in zip(texts, spaced, first.encode_batch_fast(texts, add_special_tokens=False), ids_b, strict=True):
-            x = np.array(e.ids, np.int32)
-            y = np.array(y if s else y[len(lead) :], np.int32)
-            raw = t.encode()
-            other_a, other_b = b"".join([bytes_a[k] for k in x.tolist()]), b"".join([bytes_b[k] for k in y.tolist()])
-            out.append((x, size_a[x], y, size_b[y], None if other_a == raw == other_b else (other_a, other_b)))
-        return out
+        own = self.second.encode([t[1:] if s else "a" + t for t, s in zip(texts, spaced, strict=True)], num_threads=1) if texts else []
+        own = [y if s else y[self.lead :] for y, s in zip(own, spaced, strict=True)]
+        b, b_ends = np.fromiter(itertools.chain.from_iterable(own), np.int32), np.cumsum([len(y) for y in own], dtype=np.int64)
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        data, bad = np.frombuffer(b"".join(raw), np.uint8), np.zeros(len(texts), np.int8)
+        for which, ids, id_ends in ((0, a, a_ends), (1, b, b_ends)):
+            spelled, token_ends = units.ragged(*self.bytes[which], ids)
+            own_ends = np.concatenate(([0], token_ends))[id_ends]
+            if np.array_equal(own_ends, ends) and np.array_equal(spelled, data):
+                continue
+            for k, (i, j, p, q) in enumerate(zip(np.append(0, own_ends[:-1]), own_ends, np.append(0, ends[:-1]), ends, strict=True)):
+                bad[k] |= not np.array_equal(spelled[i:j], data[p:q])
+        return [(a, a_ends), (b, b_ends), (bad, np.arange(1, len(texts) + 1))]
+
 
-    return units.Memo(encode)
+@cache
+def _pair(path_a: str, path_b: str) -> Pair:
+    return Pair(path_a, path_b)
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -89,45 +114,42 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_B
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, part, k = _pair(path_a, path_b), TaskContext.get().partitionId(), 0
+        pair, part, k = _pair(path_a, path_b), TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(batch.column(1)).to_pylist()], np.int64)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
             which = (sizes.cumsum() - sizes) // block_bytes
-            for b in np.unique(which):
-                rows = np.flatnonzero(which == b)
-                yield one(memo, (part << 32) | k, batch.slice(int(rows[0]), len(rows)))
+            for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(which)) + 1):
+                if not len(rows):
+                    continue
+                ids, texts = (batch.column(c).slice(int(rows[0]), len(rows)) for c in (0, 1))
+                distinct, places, begins = units.units(texts)
+                columns = pair.memo(distinct)
+                (a, a_ends), (b, b_ends), (bad, _) = columns
+                keep = sizes[rows] > 0
+                if bad.any():
+                    wrong = np.concatenate(([0], (bad[places] > 0).cumsum()))[begins]
+                    for d in np.flatnonzero(keep & (np.diff(wrong) > 0)):  # unlike units may still make equal texts
+                        own = places[begins[d] : begins[d + 1]]
+                        text = b" " + texts[int(d)].as_py().encode()
+                        keep[d] = pair.spelled(0, units.ragged(a, a_ends, own)[0]) == text == pair.spelled(1, units.ragged(b, b_ends, own)[0])
+                yield one(pair, (part << 32) | k, ids, keep, places, begins, columns)
                 k += 1
 
-    def one(memo: units.Memo, number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        distinct, places, begins = units.units(batch.column(1))
-        tokens = memo(distinct)
-        bad = np.array([x[4] is not None for x in tokens], bool)
-        text_size = np.diff(begins)
-        keep = ~np.array([v in (None, 0) for v in pa.compute.binary_length(batch.column(1)).to_pylist()], bool)
-        if bad.any():
-            for d in np.flatnonzero(np.add.reduceat(np.append(bad[places], False), begins[:-1]) * (text_size > 0) > 0) if len(places) else ():
-                own = [distinct[u].encode() for u in places[begins[d] : begins[d + 1]]]
-                got = [tokens[u][4] or (own[i], own[i]) for i, u in enumerate(places[begins[d] : begins[d + 1]])]
-                want = b"".join(own)
-                keep[d] &= b"".join(x for x, _ in got) == want == b"".join(y for _, y in got)
-        n_a, n_b = (np.array([len(x[c]) for x in tokens], np.int64) for c in (0, 2))
-        sums_a, sums_b = (np.concatenate(([0], n[places].cumsum()))[begins] for n in (n_a, n_b))
-        used = np.repeat(keep, text_size)
-        live = np.unique(places[used])
-        number_of = np.zeros(len(distinct), np.int32)
-        number_of[live] = np.arange(len(live))
-        doc_ends = np.concatenate(([0], np.where(keep, text_size, 0).cumsum()))
-        flat = {}
-        for name, c in (("a", 0), ("b", 2)):
-            flat[name] = np.concatenate([tokens[u][c] for u in live]) if len(live) else np.zeros(0, np.int32)
-            flat[name + "_ends"] = np.concatenate([tokens[u][c + 1] for u in live]).cumsum() if len(live) else np.zeros(0, np.int64)
-        unit_ends = np.array([int(tokens[u][1].sum()) for u in live], np.int64).cumsum()
-        items = pa.StructArray.from_arrays(
-            [batch.column(0), pa.array(np.where(keep, np.diff(sums_a), 0)), pa.array(np.where(keep, np.diff(sums_b), 0)), pa.ListArray.from_arrays(pa.array(doc_ends, pa.int32()), pa.array(number_of[places[used]], pa.int32()))],
-            ["doc_id", "n_a", "n_b", "units"],
-        )
-        lists = [pa.array([x], pa.list_(pa.int32())) for x in (unit_ends, flat["a"], flat["a_ends"], flat["b"], flat["b_ends"])]
-        return pa.record_batch([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items), *lists], ["block", "docs", "unit_ends", "a", "a_ends", "b", "b_ends"])
+    def one(pair: Pair, number: int, ids: pa.Array, keep: np.ndarray, places: np.ndarray, begins: np.ndarray, columns: list[units.Column]) -> pa.RecordBatch:
+        size = np.diff(begins)
+        used = places[np.repeat(keep, size)]
+        seen = np.zeros(len(columns[0][1]), bool)
+        seen[used] = True
+        live, numbers = np.flatnonzero(seen), (seen.cumsum() - 1)[used]
+        ends = np.concatenate(([0], np.where(keep, size, 0).cumsum()))
+        (a, a_at), (b, b_at) = (units.ragged(*c, live) for c in columns[:2])
+        a_ends, b_ends = pair.sizes[0][a].cumsum(), pair.sizes[1][b].cumsum()
+        n_a, n_b = (np.concatenate(([0], np.diff(c, prepend=0)[numbers].cumsum()))[ends] for c in (a_at, b_at))
+        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()))
+        items = pa.StructArray.from_arrays([ids, pa.array(np.diff(n_a)), pa.array(np.diff(n_b)), own], ["doc_id", "n_a", "n_b", "units"])
+        a_of, b_of = (np.repeat(np.arange(len(x), dtype=np.int32), pair.sizes[k][x]) for k, x in enumerate((a, b)))
+        lists = [pa.array([x], pa.list_(pa.int32())) for x in (a_ends[a_at - 1], a, a_ends, a_of, b, b_ends, b_of)]
+        return pa.record_batch([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items), *lists], ["block", "docs", "unit_ends", "a", "a_ends", "a_of", "b", "b_ends", "b_of"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, _BLOCK)
@@ -143,55 +165,67 @@ def ranks(ends: Column, marks: Column) -> Column:
 def aligned(tokens: DataFrame) -> DataFrame:
     """block, docs, and for each unit: n_groups, n_links, the groups as text, and the linked pairs with how often each group links them.
 
-    A group's ids are taken distinct with their counts before they are paired, so a group of many equal tokens makes few pairs.
+    A group of one token and one token, as most are, is written down at once. The ids of the others are taken distinct
+    with their counts before they are paired, so a group of many equal tokens makes few pairs.
     """
-    none = F.lit(0)
+    # each step is read more than once by the next, so the optimizer leaves it a step instead of repeating it an element
     step = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    step = step.select("block", "docs", "a", "b", F.size("common").alias("n"), ranks(F.col("a_ends"), F.col("common")).alias("at_a"), ranks(F.col("b_ends"), F.col("common")).alias("at_b"), ranks(F.col("common"), F.col("unit_ends")).alias("at"))
+    zero = F.array(F.lit(0))
+    after = lambda of: F.concat(zero, F.transform("common", lambda e: F.col(of)[e - 1] + 1))
+    step = step.select("block", "docs", "a", "b", F.size("common").alias("n"), after("a_of").alias("at_a"), after("b_of").alias("at_b"), F.concat(zero, ranks(F.col("common"), F.col("unit_ends"))).alias("at"))
 
-    def before(c: str, g: Column) -> Column:
-        return F.when(g == 0, none).otherwise(F.col(c)[g - 1])
+    def part(ids: str, at: str, g: Column) -> Column:
+        return F.slice(ids, F.col(at)[g] + 1, F.col(at)[g + 1] - F.col(at)[g])
 
     def group(g: Column) -> Column:
-        i, j = before("at_a", g), before("at_b", g)
-        return F.struct(F.slice("a", i + 1, F.col("at_a")[g] - i).alias("a"), F.slice("b", j + 1, F.col("at_b")[g] - j).alias("b"))
+        alone = (F.col("at_a")[g + 1] - F.col("at_a")[g] == 1) & (F.col("at_b")[g + 1] - F.col("at_b")[g] == 1)
+        return F.when(~alone, F.struct(part("a", "at_a", g).alias("a"), part("b", "at_b", g).alias("b")))
 
-    empty = F.lit(None).cast("array<int>")
-    groups = F.transform(F.when(F.col("n") > 0, F.sequence(none, F.col("n") - 1)).otherwise(F.coalesce(empty, F.array().cast("array<int>"))), group)
-    step = step.select("block", "docs", "at", groups.alias("groups"))
+    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    step = step.select("block", "docs", "a", "b", "at_a", "at_b", "at", F.transform(numbers, group).alias("groups"))
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.shiftleft(x.cast("long"), _SHIFT).bitwiseOR(y.cast("long")).alias("pair")
 
     def times(ids: Column, x: Column) -> Column:
-        return F.when(F.size(ids) == 1, F.lit(1)).otherwise(F.size(F.filter(ids, lambda v: v == x)))
+        return F.size(F.filter(ids, lambda v: v == x))
 
     def pairs(g: Column) -> Column:
-        each = F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: F.struct(F.shiftleft(x.cast("long"), _SHIFT).bitwiseOR(y.cast("long")).alias("pair"), (times(g["a"], x).cast("long") * times(g["b"], y)).alias("w"))))
+        each = F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: F.struct(pair(x, y), (times(g["a"], x) * times(g["b"], y)).cast("long").alias("w"))))
         return F.flatten(each)
 
     def text(g: Column) -> Column:
         return F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))
 
-    step = step.select(
-        "block", "docs", "at", F.transform("groups", text).alias("texts"), F.transform("groups", pairs).alias("pairs"),
-        F.transform("groups", lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])).alias("links"),
-    )
-    first = F.transform("at", lambda e, u: F.when(u == 0, none).otherwise(F.col("at")[u - 1]))
-    step = step.withColumn("spans", F.arrays_zip(first.alias("i"), F.col("at").alias("j")))
+    def ids(k: Column) -> tuple[Column, Column]:
+        return F.col("a")[F.col("at_a")[k]], F.col("b")[F.col("at_b")[k]]
+
+    def numbers_of(u: Column) -> Column:
+        return F.sequence(F.col("at")[u], F.col("at")[u + 1] - 1)  # a unit has a group at least, as both tokenizers end with it
 
-    def part(c: str, s: Column) -> Column:
-        return F.slice(c, s["i"] + 1, s["j"] - s["i"])
+    def text_of(k: Column) -> Column:
+        x, y = ids(k)
+        g = F.col("groups")[k]
+        return F.when(g.isNull(), F.concat(x.cast("string"), F.lit("|"), y.cast("string"))).otherwise(text(g))
 
-    return step.select(
-        "block", "docs", F.transform("spans", lambda s: s["j"] - s["i"]).alias("n_groups"),
-        F.transform("spans", lambda s: F.aggregate(part("links", s), F.lit(0).cast("long"), lambda t, v: t + v)).alias("n_links"),
-        F.transform("spans", lambda s: F.array_join(part("texts", s), ";")).alias("texts"), F.transform("spans", lambda s: F.flatten(part("pairs", s))).alias("pairs"),
+    def pairs_of(k: Column) -> Column:
+        x, y = ids(k)
+        g = F.col("groups")[k]
+        return F.when(g.isNull(), F.array(F.struct(pair(x, y), F.lit(1).cast("long").alias("w")))).otherwise(pairs(g))
+
+    spans = F.when(F.size("at") > 1, F.sequence(F.lit(0), F.size("at") - 2)).otherwise(F.array().cast("array<int>"))
+    step = step.select(
+        "block", "docs", F.transform(spans, lambda u: F.col("at")[u + 1] - F.col("at")[u]).alias("n_groups"),
+        F.transform(spans, lambda u: F.array_join(F.transform(numbers_of(u), text_of), ";")).alias("texts"), F.transform(spans, lambda u: F.flatten(F.transform(numbers_of(u), pairs_of))).alias("pairs"),
     )
+    weights = F.transform("pairs", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda t, x: t + x["w"]))
+    return step.select("block", "docs", "n_groups", F.when(F.size("pairs") >= 0, weights).alias("n_links"), "texts", "pairs")
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
     """pair, n (documents that hold it linked), best (whether no other pair of its A id has more)."""
-    held = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["units"]), lambda u: F.col("ids")[u]))))
-    ids = made.select("docs", F.transform("pairs", lambda p: F.array_distinct(p["pair"])).alias("ids"))
-    counts = ids.select(F.explode(F.flatten(held)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    held = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["units"]), lambda u: F.col("pairs")[u]["pair"]))))
+    counts = made.select(F.explode(F.flatten(held)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     return counts
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of units and their columns that a worker remembers, and new units encoded at once.
-MOST_KEPT, AT_ONCE = 32 << 20, 4096
+MOST_KEPT, AT_ONCE = 32 << 20, 2048
 
 #: Numbers of several rows, one after the other, and the rows' ends.
 Column = tuple[np.ndarray, np.ndarray]
