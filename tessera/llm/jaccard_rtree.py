@@ -121,6 +121,12 @@ def renamed_keys(doc: np.ndarray, x: np.ndarray, n_docs: int, mask: int, renames
     return key, n
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """A row a key: its least row, its size, and whether unlike sets share it."""
+    own = rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), F.first("n").alias("n"), (F.min("k2") != F.max("k2")).alias("shared"))
+    return own.select("k", "r.id", "r.tag", "r.h", "n", "shared")
+
+
 def settled(rows: DataFrame, scratch: common.Scratch) -> Renames:
     """New keys for all but one of unlike sets that share a key: a dozen among 10^10 sets, so they fit the driver.
 
@@ -599,12 +605,14 @@ def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = scratch.keep(scan_sets(docs, width, mask), "sets")
     rows = scanned.where(F.col("part").isNull()).select("doc_id", "id", "tag", "h", "k", "k2", "n")
-    renames = settled(rows, scratch)
-    if renames:
+    level = levels(scanned)
+    nodes = scratch.keep(classes(rows), "classes")
+    renames: Renames = {}
+    if not nodes.where("shared").isEmpty():
+        renames = settled(rows, scratch)
         new = spark.createDataFrame([(k, k2, o) for k, own in renames.items() for k2, o in own.items()], "k long, k2 long, other long")
         rows = rows.join(F.broadcast(new), ["k", "k2"], "left").withColumn("k", F.coalesce("other", "k")).drop("other")
-    level = levels(scanned)
-    nodes = scratch.keep(rows.where("n > 0").groupBy("k").agg(F.min(F.struct("id", "tag", "h")).alias("r"), F.first("n").alias("n")).select("k", "r.id", "r.tag", "r.h", "n"), "classes")
+        nodes = scratch.keep(classes(rows), "classes")
     found = scratch.keep(cells(prefixes(docs, level, n_buckets, width, percent, mask, renames), percent), "cells")
     members = scratch.keep(found.where("cell IS NOT NULL").dropDuplicates(["cell", "k"]).join(nodes.select("k", "n"), "k").select("cell", "k", "n", "size"), "members")
     own = found.where("cell IS NULL").select("k", "point").join(members.select("k", "n").distinct(), "k")
