@@ -125,8 +125,11 @@ def linear_projection(points: DataFrame, keys: list[str], x: str, y: str, at: fl
 
 
 def reweighted(timings: DataFrame, populations: DataFrame, arms: DataFrame) -> DataFrame:
-    """A run's seconds at another mix of populations (A25 J15): rate = t / run_n, wsi = rate * slide_n, summed per arm. populations: population, run_n, slide_n; arms: bucket, arm, population."""
-    df = timings.where("t > 0").join(arms, "bucket").join(populations, "population").where("run_n > 0")
+    """A run's seconds at another mix of populations (A25 J15): rate = t / run_n, wsi = rate * slide_n, summed per arm. populations: population, run_n, slide_n; arms: bucket, arm, population.
+
+    A few buckets share all timings, so these stay where they are and the table of buckets is broadcast.
+    """
+    df = timings.where("t > 0").join(F.broadcast(arms.join(populations, "population").where("run_n > 0")), "bucket")
     rate = F.col("t") / F.col("run_n")
     return df.groupBy("arm").agg(F.sum("t").alias("run_s"), F.sum(rate * F.col("slide_n")).alias("wsi_s"))
 
