@@ -75,7 +75,7 @@ def seams(planes: DataFrame) -> DataFrame:
     edge = edge_pixels(planes)
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) > (0, 0)])  # one of two directions
     near = edge.select(_node().alias("a"), "py", "px", F.explode(steps).alias("s")).select("a", (F.col("py") + F.col("s.dy")).alias("py"), (F.col("px") + F.col("s.dx")).alias("px"))
-    met = near.join(edge.select(_node().alias("b"), "py", "px"), ["py", "px"])
+    met = near.join(edge.select(_node().alias("b"), "py", "px").hint("merge"), ["py", "px"])
     other = (F.col("a.tile_x") != F.col("b.tile_x")) | (F.col("a.tile_y") != F.col("b.tile_y"))
     return met.where(other).select("a", "b").distinct()
 
@@ -84,7 +84,7 @@ def named(planes: DataFrame) -> DataFrame:
     """label_rows with `root`, equal for all labels of a component of the slide."""
     roots = least_labels(seams(planes)).withColumnsRenamed({"k": "node", "label": "least"})
     rows = label_rows(planes).withColumn("node", _node())
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("least", "node")).drop("node", "least")
+    return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("least", "node")).drop("node", "least")
 
 
 def components(masks: DataFrame) -> DataFrame:
@@ -99,15 +99,15 @@ def filled(masks: DataFrame, most_at_border: int = 0) -> DataFrame:
     Tiles must cover a rectangle without overlap.
     """
     planes = checkpointed(labelled(masks, 0))
-    rows = named(planes)
+    rows = checkpointed(named(planes))
     box = masks.agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.max(F.col("y") + F.col("height")).alias("y1"), F.max(F.col("x") + F.col("width")).alias("x1"))
     c = F.col
     outer = (c("py") == c("y0")) | (c("px") == c("x0")) | (c("py") == c("y1") - 1) | (c("px") == c("x1") - 1)
     reach = edge_pixels(planes).crossJoin(F.broadcast(box)).where(outer).select(*KEY).distinct().withColumn("outer", F.lit(True))  # one row
-    whole = rows.join(reach, KEY, "left").groupBy("root").agg(F.sum("area").alias("area"), F.max(F.coalesce("outer", F.lit(False))).alias("outer"))
-    holes = rows.join(whole.where((~c("outer")) | (c("area") <= most_at_border)).select("root"), "root", "left_semi")
+    whole = rows.join(reach.hint("merge"), KEY, "left").groupBy("root").agg(F.sum("area").alias("area"), F.max(F.coalesce("outer", F.lit(False))).alias("outer"))
+    holes = rows.join(whole.where((~c("outer")) | (c("area") <= most_at_border)).select("root").hint("merge"), "root", "left_semi")
     by_tile = holes.groupBy(c("tile_x").alias("x"), c("tile_y").alias("y")).agg(F.collect_list("label").alias("holes"))  # a tile's labels at most
-    df = masks.select("x", "y", "height", "width", "mask").join(planes.select("x", "y", "labels"), ["x", "y"]).join(by_tile, ["x", "y"], "left")
+    df = masks.select("x", "y", "height", "width", "mask").join(planes.select("x", "y", "labels").hint("merge"), ["x", "y"]).join(by_tile.hint("merge"), ["x", "y"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
