@@ -56,11 +56,9 @@ def detect(patches: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for p in pdf.itertuples(index=False):
-                rgb = np.frombuffer(p.rgb, np.uint8).reshape(p.height, p.width, 3)
-                own = np.frombuffer(p.nucleus, np.uint8).reshape(p.height, p.width) > 0
-                rows += [(p.tile_x, p.tile_y, p.cell_id, kind, k, y + p.y0, x + p.x0, *rest) for kind, k, y, x, *rest in kernels.candidates(rgb, own, cfg)]
+            cells = list(pdf[["tile_x", "tile_y", "cell_id", "y0", "x0"]].itertuples(index=False, name=None))
+            patches = [(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), np.frombuffer(own, np.uint8).reshape(h, w) > 0) for h, w, rgb, own in zip(pdf["height"], pdf["width"], pdf["rgb"], pdf["nucleus"], strict=True)]
+            rows = [(tx, ty, c, kind, k, y + y0, x + x0, *rest) for (tx, ty, c, y0, x0), found in zip(cells, kernels.candidates_of(patches, cfg), strict=True) for kind, k, y, x, *rest in found]
             out = pd.DataFrame(rows, columns=names)
             out["ring"] = out["ring"].astype(object).where(out["ring"].notna(), None)
             yield out
