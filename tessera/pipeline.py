@@ -22,6 +22,8 @@ from .operators import dots, grid, matching, spatial
 from .sources import images
 
 KEY = ["tile_x", "tile_y"]
+#: Pixels, from whole tiles, that make a batch of rows.
+ROWS = 1 << 16
 
 
 def segmented(tiles: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config()) -> DataFrame:
@@ -37,8 +39,11 @@ def segmented(tiles: DataFrame, segmenter: Callable[[], Callable[[np.ndarray], n
 
 
 def core_masks(ihc: DataFrame, core: Callable[[], Callable[[np.ndarray], np.ndarray]], cfg: Config = Config()) -> DataFrame:
-    """Core masks of the first slide's tiles (K1 K2): x, y, height, width, core, core_px. core makes a predictor of window batches, once a task."""
-    masks = images.predict_masks(ihc, core, batch=cfg.batch_size, finish=lambda m: kernels.clean_core(m, cfg.close_kernel, cfg.min_fragment))
+    """Core masks of the first slide's tiles (K1 K2): x, y, height, width, core, core_px. core makes a predictor of window batches, once a task.
+
+    Windows have the side of a tile, 1024 at most, so that none is filled up for the most part.
+    """
+    masks = images.predict_masks(ihc, core, side=min(1024, cfg.tile_size), batch=cfg.batch_size, finish=lambda m: kernels.clean_core(m, cfg.close_kernel, cfg.min_fragment))
     return masks.withColumnsRenamed({"mask": "core", "mask_px": "core_px"})
 
 
@@ -84,17 +89,26 @@ def label_pixels(planes: DataFrame, labels: str = "labels", core: str | None = N
     """Labelled pixels in long form, background left out: tile_x, tile_y, y, x, label, and core (0 or 1) where its column is named."""
     extra = [core] if core else []
 
+    names = ["tile_x", "tile_y", "y", "x", "label", *(["core"] if core else [])]
+
+    def pixels(t: dict) -> tuple[np.ndarray, ...]:
+        shape = int(t["height"]), int(t["width"])
+        a = np.frombuffer(t[labels], np.int32).reshape(shape)
+        y, x = np.nonzero(a)
+        out = np.full(len(y), t["x"], np.int64), np.full(len(y), t["y"], np.int64), y.astype(np.int32), x.astype(np.int32), a[y, x].astype(np.int64)
+        return (*out, (np.frombuffer(t[core], np.uint8).reshape(shape)[y, x] > 0).astype(np.int32)) if core else out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k in range(len(pdf)):
-                t = pdf.iloc[k]
-                shape = int(t["height"]), int(t["width"])
-                a = np.frombuffer(t[labels], np.int32).reshape(shape)
-                y, x = np.nonzero(a)
-                out = {"tile_x": int(t["x"]), "tile_y": int(t["y"]), "y": y.astype(np.int32), "x": x.astype(np.int32), "label": a[y, x].astype(np.int64)}
-                if core:
-                    out["core"] = (np.frombuffer(t[core], np.uint8).reshape(shape)[y, x] > 0).astype(np.int32)
-                yield pd.DataFrame(out)
+            parts, n = [], 0
+            for t in pdf.to_dict("records"):
+                parts.append(pixels(t))
+                n += len(parts[-1][0])
+                if n >= ROWS:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                    parts, n = [], 0
+            if n:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return planes.select("x", "y", "height", "width", labels, *extra).mapInPandas(run, "tile_x long, tile_y long, y int, x int, label long" + (", core int" if core else ""))
 

@@ -43,9 +43,9 @@ def painted(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         return ihc, dish
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            both = [paint(int(k)) for k in pdf["k"]]
-            yield pd.DataFrame({"x": pdf["k"] * SIDE, "y": 0, "height": SIDE, "width": SIDE, "ihc": [a.tobytes() for a, _ in both], "dish": [b.tobytes() for _, b in both]})
+        for part in (pdf["k"].iloc[i : i + 256] for pdf in batches for i in range(0, len(pdf), 256)):  # 24 kB a tile and slide
+            both = [paint(int(k)) for k in part]
+            yield pd.DataFrame({"x": part * SIDE, "y": 0, "height": SIDE, "width": SIDE, "ihc": [a.tobytes() for a, _ in both], "dish": [b.tobytes() for _, b in both]})
 
     k = rows.select(F.col(key).cast("long").alias("k"))
     made = k.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").mapInPandas(run, "x long, y long, height int, width int, ihc binary, dish binary")

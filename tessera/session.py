@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes of an Arrow batch, so that rows of whole tiles come few at a time to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers that see this folder import the package. On a cluster without it, ship it with spark.submit.pyFiles."""
+    """Let Python workers that see this folder import the package, and hold Arrow batches small. On a cluster without the package, ship it with spark.submit.pyFiles."""
+    now = re.fullmatch(r"(-?\d+)[bB]?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:

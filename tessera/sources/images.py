@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.pairing import coordinate
 
 TILE = "x long, y long, height int, width int, data binary"
+#: Bytes of masks that leave a task together, whole tiles.
+MASKS = 1 << 20
 
 
 def to_rgb(data: bytes, height: int, width: int, channels: int, bgr: bool = True) -> np.ndarray:
@@ -89,7 +91,7 @@ def predict_masks(tiles: DataFrame, make: Callable[[], Callable[[np.ndarray], np
     """Masks of tiles of any size from a predictor of windows (K1 K20): x, y, height, width, mask (a byte a pixel), mask_px.
 
     The windows of all tiles of a task are dealt into batches of `batch` as they come, also over tiles, and padded with
-    `fill` to the full side; predictions are cut and laid back, and a tile leaves when its last window is done. make() is
+    `fill` to the full side; predictions are cut and laid back, and a tile is done with its last window; done tiles leave together, small ones many at a time. make() is
     called once a task and gives a function from n x side x side x 3 to n x side x side. finish: a last step a tile.
     """
 
@@ -98,8 +100,16 @@ def predict_masks(tiles: DataFrame, make: Callable[[], Callable[[np.ndarray], np
         waiting: list[tuple[int, tuple[int, int, int, int], np.ndarray]] = []
         open_: dict[int, tuple[int, int, np.ndarray, int]] = {}
 
+        ready: list[tuple] = []
+        size = 0
+
+        def leave() -> pd.DataFrame:
+            nonlocal ready, size
+            out, ready, size = pd.DataFrame(ready, columns=["x", "y", "height", "width", "mask", "mask_px"]), [], 0
+            return out
+
         def work() -> Iterator[pd.DataFrame]:
-            nonlocal waiting
+            nonlocal waiting, size
             done = predict(np.stack([w for _, _, w in waiting]))
             for (k, (y, x, h, w), _), m in zip(waiting, done, strict=True):
                 tx, ty, mask, left = open_[k]
@@ -109,7 +119,10 @@ def predict_masks(tiles: DataFrame, make: Callable[[], Callable[[np.ndarray], np
                     del open_[k]
                     mask = mask if finish is None else finish(mask)
                     mask = mask.astype(np.uint8)
-                    yield pd.DataFrame({"x": [tx], "y": [ty], "height": [mask.shape[0]], "width": [mask.shape[1]], "mask": [mask.tobytes()], "mask_px": [int((mask > 0).sum())]})
+                    ready.append((tx, ty, *mask.shape, mask.tobytes(), int((mask > 0).sum())))
+                    size += mask.size
+                    if size >= MASKS:
+                        yield leave()
             waiting = []
 
         n = 0
@@ -126,6 +139,8 @@ def predict_masks(tiles: DataFrame, make: Callable[[], Callable[[np.ndarray], np
                         yield from work()
         if waiting:
             yield from work()
+        if ready:
+            yield leave()
 
     return tiles.select("x", "y", "height", "width", "data").mapInPandas(run, "x long, y long, height int, width int, mask binary, mask_px long")
 
