@@ -114,11 +114,14 @@ def label_pixels(planes: DataFrame, labels: str = "labels", core: str | None = N
 
 
 def match(cell_pixels: DataFrame, nucleus_pixels: DataFrame, cfg: Config = Config(), widest: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Instances of cells and nuclei, candidates and one-to-one matches. widest: as in matching.reach_pairs."""
-    ihc, dish = C.region_props(cell_pixels), C.region_props(nucleus_pixels)
+    """Instances of cells and nuclei, candidates and one-to-one matches, each made once. widest: as in matching.reach_pairs."""
+    from .session import checkpointed
+
+    ihc, dish = checkpointed(C.region_props(cell_pixels)), checkpointed(C.region_props(nucleus_pixels))
     reach = matching.with_reach(ihc, cfg.elastic_expand_factor, cfg.elastic_min_reach)
     pairs = matching.candidates(matching.overlap_pairs(cell_pixels, nucleus_pixels), matching.reach_pairs(reach, dish, widest), ihc, dish)
-    return ihc, dish, pairs, matching.greedy(pairs)
+    pairs = checkpointed(pairs)
+    return ihc, dish, pairs, checkpointed(matching.greedy(pairs))
 
 
 def patches(dish: DataFrame, planes: DataFrame, matches: DataFrame, pad: int = 2, cores: DataFrame | None = None, cfg: Config = Config()) -> DataFrame:
@@ -161,7 +164,11 @@ def merged_dots(candidates: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def facts(ihc: DataFrame, pairs: DataFrame, matches: DataFrame, candidates: DataFrame, cfg: Config = Config(), out_of_bounds: DataFrame | None = None) -> DataFrame:
     """The cell table: dots merged, counted per cell, and finalized (M3)."""
-    found = merged_dots(candidates, cfg)
+    return cell_table(ihc, pairs, matches, merged_dots(candidates, cfg), cfg, out_of_bounds)
+
+
+def cell_table(ihc: DataFrame, pairs: DataFrame, matches: DataFrame, found: DataFrame, cfg: Config = Config(), out_of_bounds: DataFrame | None = None) -> DataFrame:
+    """facts() from dots that are merged already."""
     nuclei = matches.groupBy(*KEY, "cell_id").agg(F.count("*").alias("n_nuclei"))
     lost = matching.drop_outs(pairs, matches).withColumn("drop_out", F.lit(True))
     df = ihc.select(*KEY, F.col("id").alias("cell_id"), F.col("cx").alias("centroid_x"), F.col("cy").alias("centroid_y"), F.lit(True).alias("is_her2_positive"))
@@ -209,19 +216,20 @@ def tile_facts(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable
     nuclei = checkpointed(segmented(seen, nucleus_segmenter or segmenter, cfg))
     cell_pixels, core_pixels = label_pixels(planes, "matching"), label_pixels(nuclei.join(cores.select("x", "y", "core"), ["x", "y"]), core="core")
     _, stains, pairs, matches = match(cell_pixels, core_pixels, cfg)
-    matches = checkpointed(matches)
     dropped = C.inside_core(core_pixels, cfg.core_min_inside).where("NOT kept").select(*KEY, F.col("label").alias("dish_id"))
     cells = C.region_props(label_pixels(planes))
-    outside = C.out_of_bounds(cells.select(*KEY, F.col("id").alias("cell_id")), matching.overlap_pairs(cell_pixels, core_pixels), dropped)
-    found = dots.detect(patches(dish, nuclei, matches, cores=cores, cfg=cfg), cfg)
-    own = facts(cells, pairs, matches, found, cfg, outside)
+    outside = C.out_of_bounds(cells.select(*KEY, F.col("id").alias("cell_id")), pairs.where("reach_only = 0"), dropped)
+    # merging reads candidates many times, and cells and dots both need what it gives
+    merged = lambda p: checkpointed(merged_dots(checkpointed(dots.detect(p, cfg)), cfg))
+    found = merged(patches(dish, nuclei, matches, cores=cores, cfg=cfg))
+    own = checkpointed(cell_table(cells, pairs, matches, found, cfg, outside))
     lone = C.off_population(stains, matches, own)
     most = own.groupBy(*KEY).agg(F.max("cell_id").alias("most"))
     alone = lone.join(most, KEY, "left").select(*KEY, "cell_id", (F.col("cell_id") - F.coalesce("most", F.lit(0))).alias("dish_id"))
-    others = merged_dots(dots.detect(patches(dish, nuclei, alone), cfg), cfg)
+    others = merged(patches(dish, nuclei, alone))
     off = lone.join(C.dot_counts(others), [*KEY, "cell_id"], "left").fillna(0, ["her2_dot_count", "cep17_dot_count"])
     off = C.finalize(off.withColumns({"n_nuclei": F.lit(1), "drop_out": F.lit(False), "out_of_bounds": F.lit(False), "blue_region_count": F.lit(1)}), cfg)
-    return TileFacts(own.unionByName(off), all_dots(merged_dots(found, cfg), others), cores, planes, nuclei, matches)
+    return TileFacts(own.unionByName(off), all_dots(found, others), cores, planes, nuclei, matches)
 
 
 def all_dots(own: DataFrame, others: DataFrame) -> DataFrame:
