@@ -49,7 +49,7 @@ def core_masks(ihc: DataFrame, core: Callable[[], Callable[[np.ndarray], np.ndar
 
 def overlays(ihc: DataFrame, dish: DataFrame, cores: DataFrame, cfg: Config = Config()) -> DataFrame:
     """The image that cells are found on (K3-K6): both slides masked by the core and fused. Only tiles of `cores` are read: x, y, height, width, data."""
-    side = lambda t, c: t.select("x", "y", F.col("data").alias(c))
+    side = lambda t, c: t.select("x", "y", F.col("data").alias(c)).hint("merge")  # noqa: E731  plain tiles pack so small that Spark would broadcast them
     df = cores.select("x", "y", "height", "width", "core").join(side(ihc, "ihc"), ["x", "y"]).join(side(dish, "dish"), ["x", "y"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def cell_planes(planes: DataFrame, flags: DataFrame, cfg: Config = Config()) ->
 
     flags: x, y, edge_top, edge_bottom, edge_left, edge_right of the tiles.
     """
-    df = planes.join(flags.select("x", "y", "edge_top", "edge_bottom", "edge_left", "edge_right"), ["x", "y"])
+    df = planes.join(flags.select("x", "y", "edge_top", "edge_bottom", "edge_left", "edge_right").hint("merge"), ["x", "y"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,9 +130,9 @@ def patches(dish: DataFrame, planes: DataFrame, matches: DataFrame, pad: int = 2
     With cores (x, y, core) the tile is masked first. A tile's matches travel with it as one array, bounded by the tile.
     """
     own = matches.groupBy(*KEY).agg(F.collect_list(F.struct("cell_id", "dish_id")).alias("pairs"))
-    df = dish.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "height", "width", "data").join(planes.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "labels"), KEY).join(own, KEY)
+    df = dish.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "height", "width", "data").join(planes.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "labels").hint("merge"), KEY).join(own.hint("merge"), KEY)
     none = F.lit(None).cast("binary")
-    df = df.withColumn("core", none) if cores is None else df.join(cores.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "core"), KEY)
+    df = df.withColumn("core", none) if cores is None else df.join(cores.select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "core").hint("merge"), KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,7 +214,7 @@ def tile_facts(ihc: DataFrame, dish: DataFrame, segmenter: Callable[[], Callable
     planes = checkpointed(cell_planes(segmented(overlays(ihc, dish, cores, cfg), segmenter, cfg), flags, cfg))
     seen = dish.join(cores.select("x", "y"), ["x", "y"], "left_semi")
     nuclei = checkpointed(segmented(seen, nucleus_segmenter or segmenter, cfg))
-    cell_pixels, core_pixels = label_pixels(planes, "matching"), label_pixels(nuclei.join(cores.select("x", "y", "core"), ["x", "y"]), core="core")
+    cell_pixels, core_pixels = label_pixels(planes, "matching"), label_pixels(nuclei.join(cores.select("x", "y", "core").hint("merge"), ["x", "y"]), core="core")
     _, stains, pairs, matches = match(cell_pixels, core_pixels, cfg)
     dropped = C.inside_core(core_pixels, cfg.core_min_inside).where("NOT kept").select(*KEY, F.col("label").alias("dish_id"))
     cells = C.region_props(label_pixels(planes))
