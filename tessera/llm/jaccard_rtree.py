@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import gc
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ FULL = 255
 FAN = 8
 #: Counters of the sketch that orders shingles: 4 MB a task when made, 1 MB when sent.
 SKETCH = 1 << 20
+#: Pairs of nodes or points that are compared at once, and rows of cells that are.
+MOST_PAIRS, CELL_ROWS = 1 << 16, 16_384
 #: Pairs that a component of a cell proposes in the first round.
 MOST_FIRST = 16
 #: Classes of a cell that are joined in one task, and partners of a class that are verified in one place.
@@ -333,28 +335,28 @@ class Forest:
             ok[r] = ((100 + percent) * bound >= percent * (lo[a[r]] + lo[b[r]])) | (bound == FULL * low.shape[1])
         return ok
 
-    def join(self, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points of a cell, of different labels, that the bound lets pass."""
+    def join(self, percent: int, most: int = MOST_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points of a cell, of different labels, that the bound lets pass; about `most` of each level are held at once."""
         top = len(self.levels) - 1
         roots = np.arange(len(self.levels[top][0]))
         todo = [(top, roots, roots)]
         while todo:
             level, a, b = todo.pop()
-            if len(a) > most:
-                todo += [(level, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
-                continue
+            few = max(1, most // FAN**2) if level else most  # a pair of nodes has FAN^2 pairs of children
+            if len(a) > few:
+                todo.append((level, a[few:], b[few:]))
+                a, b = a[:few], b[:few]
             ok = self.may_link(level, a, b, percent) if level < top else np.ones(len(a), bool)
             a, b = a[ok], b[ok]
             if level == 0:
                 keep = a < b
                 yield a[keep], b[keep]
                 continue
-            for i in range(0, len(a), most // FAN):
-                pair, x = self.children(level, a[i : i + most // FAN])
-                again, y = self.children(level, b[i : i + most // FAN][pair])
-                x, y = x[again], y
-                keep = x <= y
-                todo.append((level - 1, x[keep], y[keep]))
+            pair, x = self.children(level, a)
+            again, y = self.children(level, b[pair])
+            x = x[again]
+            keep = x <= y
+            todo.append((level - 1, x[keep], y[keep]))
 
 
 def bound_passes(high: np.ndarray, low: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -362,6 +364,20 @@ def bound_passes(high: np.ndarray, low: np.ndarray, n: np.ndarray, m: np.ndarray
     return ((100 + percent) * bound >= percent * (n + m)) | (bound == FULL * high.shape[1])
 
 
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: Callable[[], int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, at least so many at a time but for the last."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for part in pairs:
+        parts.append(part)
+        size += len(part[0])
+        if size >= least():
+            yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+            parts, size = [], 0
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
 def lead(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """a, b: the first pairs to verify, each class with two points of its largest and of its smallest cell. members: cell, k, n, size; points: k, n, point."""
     ends = members.groupBy("k").agg(F.max(F.struct("size", "cell"))["cell"].alias("most"), F.min(F.struct("size", "cell"))["cell"].alias("least"))
@@ -443,7 +459,7 @@ def candidates(members: DataFrame, points: DataFrame, percent: int, most: int) -
                 place, heads = placed(heads), []
             held.append(batch.slice(m))
             size += len(batch) - m
-            if size >= 50_000:
+            if size >= CELL_ROWS:
                 t = pa.Table.from_batches(held)
                 cell = t.column("cell").to_numpy()
                 cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
@@ -497,7 +513,7 @@ def candidates(members: DataFrame, points: DataFrame, percent: int, most: int) -
     def best(pairs: Iterator[tuple[np.ndarray, np.ndarray]], cell: np.ndarray, points: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The closest pairs of each label of a cell, and a row of each label that had more."""
         more, held = [np.empty(0, np.int64)], [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        for a, b in pairs:
+        for a, b in gathered(pairs, lambda: max(MOST_PAIRS, len(held[0]) // 2)):
             close = np.concatenate([np.minimum(points[a[i : i + 8192]], points[b[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(a), 8192)] or [held[0]])
             a, b, close = (np.concatenate(x) for x in zip(held, (np.concatenate((a, b)), np.concatenate((b, a)), np.tile(close / (n[a] + n[b]), 2)), strict=True))
             o = np.lexsort((b, a, -close, label[a], cell[a]))
