@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import itertools
 import re
 import tempfile
@@ -119,6 +120,12 @@ class Scratch:
             self.drop(f)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the exchanges of steps whose tables are written."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df doesn't have."""
     have, out = {c.lower() for c in df.columns}, []

@@ -22,7 +22,6 @@ A cell of more than CHUNK classes is joined in chunks, each with each.
 
 from __future__ import annotations
 
-import gc
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -607,12 +606,6 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFr
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets Spark delete the exchanges of steps whose tables are written."""
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
-
-
 def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int = CHUNK, most: int = MOST_FIRST, mask: int = -1) -> tuple[DataFrame, DataFrame]:
     """A row per document (doc_id, id, h, k, n), and of each set key k its component l with the component's least id and, under it, least text hash (component_id, first)."""
     spark = common.tuned(docs.sparkSession)
@@ -634,7 +627,7 @@ def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int
     own = found.where("cell IS NULL").select("k", "point").join(members.select("k", "n").distinct(), "k")
     points = scratch.keep(own.dropDuplicates(["k"]).select("k", "n", "point"), "points")
     scratch.drop_table(found)
-    swept(spark)
+    common.swept(spark)
     pairs, more = scratch.keep(lead(members, points, percent), "pairs"), True
     tried = links = pairs.limit(0)
     left = None
@@ -643,7 +636,7 @@ def linked(docs: DataFrame, width: int, percent: int, few: int = FEW, chunk: int
             tried = tried.unionByName(pairs)
             links = links.unionByName(scratch.keep(verify(spark, docs, pairs, nodes, width, percent), "links"))
         known = components(links, scratch, few=few)
-        swept(spark)
+        common.swept(spark)
         if not more:
             break
         named = members.select("cell", "k", "n").join(known.withColumnRenamed("l", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))

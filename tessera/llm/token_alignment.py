@@ -1,39 +1,43 @@
 """Aligning the tokens of two tokenizers and counting which ids stand together.
 
-Python only tokenises. It takes a block of documents and gives the tokens of the block's distinct units (see units.py),
-one after the other, with their ends in bytes and the token that holds each byte, and the unit numbers of each document.
-From there Spark's higher-order functions go on: array_intersect of both end arrays gives the ends of the groups,
-transform finds the tokens that end there, sequence and transform cut the groups out and pair their ids, and aggregate
-sums up.
-
-Counts are sums over blocks: a document's distinct pairs are exploded and counted with partial sums before the
-exchange. Pairs held by the most documents, up to a bounded number, are sent to all tasks; the others, of which none is
-frequent, are joined by an exchange. Sums come back by block and unit, then documents add up their units.
+Documents are cut into units (see units.py) block by block: a block keeps its distinct units and, packed, the unit
+numbers of its documents. The distinct units of the whole corpus are one dictionary, tokenised by Python and aligned
+once by Spark's higher-order functions: array_intersect of both end arrays gives the ends of the groups, transform finds
+the tokens that end there, sequence and transform cut the groups out and pair their ids, and aggregate sums up. Units
+are joined to the dictionary and meet their block, where documents add up what their units have.
+
+Counts are sums over blocks: each block counts its documents by pair. Pairs held by the most documents, up to a bounded
+number, are sent to all tasks; the others, of which none is frequent, are joined by an exchange. Their sums are taken
+by unit of the dictionary.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, units
 
-#: Bytes of text in a block, blocks in a file (a file's blocks may be in memory at once).
-BLOCK_BYTES, FILE_BLOCKS = 1 << 20, 16
+#: Bytes of text in a block.
+BLOCK_BYTES = 24 << 20
+#: Rows that are packed at once.
+PACK_ROWS = 1 << 18
 #: Pairs, most frequent first, that are sent to all tasks (24 bytes each).
 MOST_PAIRS = 1 << 20
 _SHIFT = 32
-_BLOCK = (
-    "block long, docs array<struct<doc_id:long,n_a:long,n_b:long,units:array<int>>>, "
-    "unit_ends array<int>, a array<int>, a_ends array<int>, a_of array<int>, b array<int>, b_ends array<int>, b_of array<int>"
-)
+_CUT = "block long, unit int, text string, docs binary"
+_TOKENS = "texts array<string>, n_a array<int>, n_b array<int>, unit_ends array<int>, a array<int>, a_ends array<int>, a_of array<int>, b array<int>, b_ends array<int>, b_of array<int>"
+_DOCUMENT = {"doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "n_best": "long", "count_sum": "long", "groups_sha256": "string"}
+_SUMS = list(_DOCUMENT)[1:-1]
 
 
 def byte_of_char() -> dict[str, int]:
@@ -104,55 +108,75 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents with the unit numbers of their text, and the tokens of the units, block by block.
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Block by block a row for each distinct unit (unit: its number in the block) and one with the packed documents.
 
-    Documents without tokens (null or empty text, or bytes that don't come back from the tokens) have no units.
+    Of documents: id, whether it is null, whether there is a text, where the units end, and the units' numbers.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), itertools.count()
+        held: list[tuple] = []
+        total = 0
+        for batch in batches:
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            start = 0
+            while start < len(batch):
+                n = int(np.searchsorted(sizes[start:].cumsum(), block_bytes - total, "left")) + 1
+                ids, texts = (batch.column(c).slice(start, n) for c in (0, 1))
+                own = sizes[start : start + n]
+                distinct, places, begins = units.units(texts)
+                held.append((ids, own > 0, distinct, places.astype(np.int32), begins))
+                total += int(own.sum())
+                start += n
+                if total >= block_bytes:
+                    yield from block((part << 32) | next(k), held)
+                    held, total = [], 0
+        if held:
+            yield from block((part << 32) | next(k), held)
+
+    def block(number: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+        distinct, codes = coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum([len(h[2]) for h in held])[:-1])
+        places = np.concatenate([c[h[3]] for c, h in zip(codes, held, strict=True)]).astype(np.uint32)
+        ends = np.concatenate([np.diff(h[4]) for h in held]).cumsum()
+        ids = pa.concat_arrays([h[0] for h in held])
+        planes = np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T).ravel()  # bytes of one rank side by side compress best
+        data = common.pack(pa.compute.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), np.concatenate([h[1] for h in held]), ends.astype(np.int64), planes)
+        data = zstandard.ZstdCompressor(level=1).compress(data)
+        yield pa.record_batch([pa.array([number], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([data], pa.binary())], names)
+        for i in range(0, len(distinct), 1 << 14):
+            own = distinct.slice(i, 1 << 14)
+            yield pa.record_batch([pa.array(np.full(len(own), number)), pa.array(np.arange(i, i + len(own), dtype=np.int32)), own.cast(pa.string()), pa.nulls(len(own), pa.binary())], names)
+
+    names = ["block", "unit", "text", "docs"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _CUT)
+
+
+def tokens(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """The tokens of a batch of units, one unit after the other, with their ends in bytes and the token that holds each byte.
+
+    Units whose bytes don't come back from their tokens are left out; a text that has one doesn't come back either.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pair, part, k = _pair(path_a, path_b), TaskContext.get().partitionId(), 0
+        pair = _pair(path_a, path_b)
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
-            which = (sizes.cumsum() - sizes) // block_bytes
-            for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(which)) + 1):
-                if not len(rows):
-                    continue
-                ids, texts = (batch.column(c).slice(int(rows[0]), len(rows)) for c in (0, 1))
-                distinct, places, begins = units.units(texts)
-                columns = pair.memo(distinct)
-                (a, a_ends), (b, b_ends), (bad, _) = columns
-                keep = sizes[rows] > 0
-                if bad.any():
-                    wrong = np.concatenate(([0], (bad[places] > 0).cumsum()))[begins]
-                    for d in np.flatnonzero(keep & (np.diff(wrong) > 0)):  # unlike units may still make equal texts
-                        own = places[begins[d] : begins[d + 1]]
-                        text = b" " + texts[int(d)].as_py().encode()
-                        keep[d] = pair.spelled(0, units.ragged(a, a_ends, own)[0]) == text == pair.spelled(1, units.ragged(b, b_ends, own)[0])
-                yield one(pair, (part << 32) | k, ids, keep, places, begins, columns)
-                k += 1
-
-    def one(pair: Pair, number: int, ids: pa.Array, keep: np.ndarray, places: np.ndarray, begins: np.ndarray, columns: list[units.Column]) -> pa.RecordBatch:
-        size = np.diff(begins)
-        used = places[np.repeat(keep, size)]
-        seen = np.zeros(len(columns[0][1]), bool)
-        seen[used] = True
-        live, numbers = np.flatnonzero(seen), (seen.cumsum() - 1)[used]
-        ends = np.concatenate(([0], np.where(keep, size, 0).cumsum()))
-        (a, a_at), (b, b_at) = (units.ragged(*c, live) for c in columns[:2])
-        a_ends, b_ends = pair.sizes[0][a].cumsum(), pair.sizes[1][b].cumsum()
-        n_a, n_b = (np.concatenate(([0], np.diff(c, prepend=0)[numbers].cumsum()))[ends] for c in (a_at, b_at))
-        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()))
-        items = pa.StructArray.from_arrays([ids, pa.array(np.diff(n_a)), pa.array(np.diff(n_b)), own], ["doc_id", "n_a", "n_b", "units"])
-        a_of, b_of = (np.repeat(np.arange(len(x), dtype=np.int32), pair.sizes[k][x]) for k, x in enumerate((a, b)))
-        lists = [pa.array([x], pa.list_(pa.int32())) for x in (a_ends[a_at - 1], a, a_ends, a_of, b, b_ends, b_of)]
-        return pa.record_batch([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items), *lists], ["block", "docs", "unit_ends", "a", "a_ends", "a_of", "b", "b_ends", "b_of"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, _BLOCK)
+            (a, a_at), (b, b_at), (bad, _) = pair.encode(batch.column(0).to_pylist())
+            live = np.flatnonzero(bad == 0)
+            if not len(live):
+                continue
+            (a, a_at), (b, b_at) = units.ragged(a, a_at, live), units.ragged(b, b_at, live)
+            a_ends, b_ends = pair.sizes[0][a].cumsum(), pair.sizes[1][b].cumsum()
+            a_of, b_of = (np.repeat(np.arange(len(x), dtype=np.int32), pair.sizes[k][x]) for k, x in enumerate((a, b)))
+            lists = [pa.array([x], pa.list_(pa.int32())) for x in (np.diff(a_at, prepend=0), np.diff(b_at, prepend=0), a_ends[a_at - 1], a, a_ends, a_of, b, b_ends, b_of)]
+            own = batch.column(0).cast(pa.string()).take(pa.array(live))
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *lists], ["texts", "n_a", "n_b", "unit_ends", "a", "a_ends", "a_of", "b", "b_ends", "b_of"])
+
+    return texts.select("text").mapInArrow(encode, _TOKENS)
 
 
 def ranks(ends: Column, marks: Column) -> Column:
@@ -163,16 +187,17 @@ def ranks(ends: Column, marks: Column) -> Column:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """block, docs, and for each unit: n_groups, n_links, the groups as text, and the linked pairs with how often each group links them.
+    """A row a unit: text, n_a, n_b, n_groups, n_links, the groups as text, and the linked pairs with how often each group links them.
 
     A group of one token and one token, as most are, is written down at once. The ids of the others are taken distinct
     with their counts before they are paired, so a group of many equal tokens makes few pairs.
     """
     # each step is read more than once by the next, so the optimizer leaves it a step instead of repeating it an element
     step = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
+    whole = ["texts", "n_a", "n_b"]
     zero = F.array(F.lit(0))
     after = lambda of: F.concat(zero, F.transform("common", lambda e: F.col(of)[e - 1] + 1))
-    step = step.select("block", "docs", "a", "b", F.size("common").alias("n"), after("a_of").alias("at_a"), after("b_of").alias("at_b"), F.concat(zero, ranks(F.col("common"), F.col("unit_ends"))).alias("at"))
+    step = step.select(*whole, "a", "b", F.size("common").alias("n"), after("a_of").alias("at_a"), after("b_of").alias("at_b"), F.concat(zero, ranks(F.col("common"), F.col("unit_ends"))).alias("at"))
 
     def part(ids: str, at: str, g: Column) -> Column:
         return F.slice(ids, F.col(at)[g] + 1, F.col(at)[g + 1] - F.col(at)[g])
@@ -182,7 +207,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
         return F.when(~alone, F.struct(part("a", "at_a", g).alias("a"), part("b", "at_b", g).alias("b")))
 
     numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    step = step.select("block", "docs", "a", "b", "at_a", "at_b", "at", F.transform(numbers, group).alias("groups"))
+    step = step.select(*whole, "a", "b", "at_a", "at_b", "at", F.transform(numbers, group).alias("groups"))
 
     def pair(x: Column, y: Column) -> Column:
         return F.shiftleft(x.cast("long"), _SHIFT).bitwiseOR(y.cast("long")).alias("pair")
@@ -215,29 +240,92 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
     spans = F.when(F.size("at") > 1, F.sequence(F.lit(0), F.size("at") - 2)).otherwise(F.array().cast("array<int>"))
     step = step.select(
-        "block", "docs", F.transform(spans, lambda u: F.col("at")[u + 1] - F.col("at")[u]).alias("n_groups"),
-        F.transform(spans, lambda u: F.array_join(F.transform(numbers_of(u), text_of), ";")).alias("texts"), F.transform(spans, lambda u: F.flatten(F.transform(numbers_of(u), pairs_of))).alias("pairs"),
+        *whole, F.transform(spans, lambda u: F.col("at")[u + 1] - F.col("at")[u]).alias("n_groups"),
+        F.transform(spans, lambda u: F.array_join(F.transform(numbers_of(u), text_of), ";")).alias("spelled"), F.transform(spans, lambda u: F.flatten(F.transform(numbers_of(u), pairs_of))).alias("pairs"),
     )
-    weights = F.transform("pairs", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda t, x: t + x["w"]))
-    return step.select("block", "docs", "n_groups", F.when(F.size("pairs") >= 0, weights).alias("n_links"), "texts", "pairs")
+    row = F.explode(F.arrays_zip(F.col("texts").alias("text"), "n_a", "n_b", "n_groups", F.col("spelled").alias("groups"), "pairs")).alias("u")
+    step = step.select(row).select("u.*")
+    return step.withColumn("n_links", F.aggregate("pairs", F.lit(0).cast("long"), lambda t, x: t + x["w"]))
+
 
+def by_block(spark: SparkSession, cut: DataFrame, found: DataFrame) -> DataFrame:
+    """block, blob: rows of blocks, block after block, first the documents, then units with what the dictionary has of them (null if nothing), packed."""
 
-def pair_counts(made: DataFrame) -> DataFrame:
-    """pair, n (documents that hold it linked), best (whether no other pair of its A id has more)."""
-    held = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["units"]), lambda u: F.col("pairs")[u]["pair"]))))
-    counts = made.select(F.explode(F.flatten(held)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
-    return counts
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= PACK_ROWS:
+                yield packed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield packed(pa.Table.from_batches(held))
+
+    def packed(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by([("block", "ascending"), ("unit", "ascending")]).combine_chunks()
+        block, blobs = t.column("block").to_numpy(), []
+        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        t = t.drop_columns(["block"])
+        for i, j in itertools.pairwise([*starts.tolist(), len(block)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t.slice(i, j - i))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(block[starts]), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+    rows = cut.where("unit IS NOT NULL").select("block", "unit", "text").join(found.hint("shuffle_merge"), "text", "left").drop("text")
+    rows = rows.mapInArrow(pack, "block long, blob binary").withColumn("kind", F.lit(1))
+    rows = rows.unionByName(cut.where("unit IS NULL").select("block", F.col("docs").alias("blob"), F.lit(0).alias("kind")))
+    return rows.repartition(common.partitions(spark), "block").sortWithinPartitions("block", "kind").select("block", "blob")
+
+
+def _block(table: pa.Table, known: str) -> tuple[list[np.ndarray], pa.Table, np.ndarray]:
+    """The documents of a block, its units by number, and of which documents all units are known (and there are any)."""
+    first, *rest = table.column("blob")
+    ids, null, some, ends, planes = common.unpack(zstandard.ZstdDecompressor().decompress(first.as_py()))
+    places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rest]).sort_by("unit").combine_chunks()  # an empty text has a unit too
+    lost = np.concatenate(([0], rows.column(known).is_null().to_numpy()[places].cumsum()))[np.concatenate(([0], ends))]
+    return [ids, null, some, ends, places], rows, some & (np.diff(lost) == 0)
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """pair, n: documents that hold it linked. rows: of by_block(), with the distinct pairs of units."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in common.grouped(batches, "block"):
+            (_, _, _, ends, places), own, keep = _block(t, "pairs")
+            pairs = own.column("pairs").combine_chunks()
+            distinct, codes = np.unique(pairs.flatten().to_numpy(), return_inverse=True)
+            pair_ends = pa.compute.fill_null(pairs.value_lengths(), 0).to_numpy().astype(np.int64).cumsum()
+            n = np.zeros(len(distinct), np.int64)
+            edges = np.concatenate(([0], ends))
+            docs = np.flatnonzero(keep)
+            for at in np.array_split(docs, 1 + int((ends[-1] if len(ends) else 0) // (1 << 19))):  # some documents at a time
+                size = np.diff(edges)[at]
+                doc, unit = np.repeat(np.arange(len(at)), size), places[np.arange(size.sum()) + np.repeat(edges[at] - (size.cumsum() - size), size)]
+                both = np.unique(doc * len(own) + unit.astype(np.int64))
+                doc, unit = both // len(own), both % len(own)
+                held, held_ends = units.ragged(codes, pair_ends, unit)
+                both = np.unique(np.repeat(doc, np.diff(held_ends, prepend=0)) * len(distinct) + held)
+                n += np.bincount(both % max(1, len(distinct)), minlength=len(distinct))
+            some = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(distinct[some]), pa.array(n[some])], ["pair", "n"])
+
+    return rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def with_best(counts: DataFrame) -> DataFrame:
+    """pair, n, best (whether no other pair of its A id has more)."""
     a = F.shiftright("pair", _SHIFT)
     tops = counts.groupBy(a.alias("a")).agg(F.max("n").alias("top"))  # a row an id of A: the vocabulary bounds it
     return counts.withColumn("a", a).join(F.broadcast(tops), "a").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
 
 
 def unit_sums(made: DataFrame, counts: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """block and, by unit number, n_best and count_sum over the links of the unit."""
-    links = made.select("block", F.posexplode("pairs").alias("unit", "p")).select("block", "unit", F.explode("p").alias("p")).select("block", "unit", "p.pair", "p.w")
+    """text, n_best and count_sum over the links of the unit."""
+    links = made.select("text", F.explode("pairs").alias("p")).select("text", "p.pair", "p.w")
     level = F.floor(F.log2("n")).cast("int")
     left, least = most_pairs, None
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # 64 rows at most
@@ -248,12 +336,27 @@ def unit_sums(made: DataFrame, counts: DataFrame, most_pairs: int = MOST_PAIRS)
     frequent = F.lit(False) if least is None else level >= least
     sums = [F.sum(F.col("best") * F.col("w")).alias("n_best"), F.sum(F.col("n") * F.col("w")).alias("count_sum")]
     if left >= 0:
-        parts = links.join(F.broadcast(counts), "pair").groupBy("block", "unit").agg(*sums)
-    else:
-        known = links.join(F.broadcast(counts.where(frequent)), "pair", "left")
-        rest = known.where("n IS NULL").drop("n", "best").join(counts.where(~frequent), "pair")
-        parts = known.where("n IS NOT NULL").select("block", "unit", "w", "n", "best").unionByName(rest.select("block", "unit", "w", "n", "best")).groupBy("block", "unit").agg(*sums)
-    return parts.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "n_best", "count_sum"))), lambda s: F.struct(s["n_best"], s["count_sum"])).alias("sums"))
+        return links.join(F.broadcast(counts), "pair").groupBy("text").agg(*sums)
+    known = links.join(F.broadcast(counts.where(frequent)), "pair", "left")
+    rest = known.where("n IS NULL").drop("n", "best").join(counts.where(~frequent), "pair")
+    return known.where("n IS NOT NULL").select("text", "w", "n", "best").unionByName(rest.select("text", "w", "n", "best")).groupBy("text").agg(*sums)
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """A row a document. rows: of by_block(), with the sums and the groups of units."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in common.grouped(batches, "block"):
+            (ids, null, _, ends, places), own, keep = _block(t, "groups")
+            edges, out = np.concatenate(([0], ends)), []
+            for name in _SUMS:
+                values = pa.compute.fill_null(own.column(name), 0).to_numpy()[places].astype(np.int64)
+                out.append(pa.array(np.where(keep, np.diff(np.concatenate(([0], values.cumsum()))[edges]), 0)))
+            texts = np.array(own.column("groups").to_pylist(), object)
+            shas = [hashlib.sha256(";".join(texts[places[i:j]]).encode()).hexdigest() if k else "" for i, j, k in zip(edges[:-1], ends, keep, strict=True)]
+            yield pa.record_batch([pa.array(ids, mask=null), *out, pa.array(shas, pa.string())], list(_DOCUMENT))
+
+    return rows.mapInArrow(add, ", ".join(f"{k} {v}" for k, v in _DOCUMENT.items()))
 
 
 def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BYTES, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -265,27 +368,12 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, block_
     """
     common.tuned(spark)
     scratch = common.Scratch(spark, "alignment")
-    path = scratch.path("blocks")
-    made = aligned(blocks(docs, path_a, path_b, block_bytes))
-    made.write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
-    made = spark.read.schema(made.schema).parquet(path)
-    counts = scratch.keep(with_best(scratch.keep(pair_counts(made), "pairs")), "counts")
-    sums = unit_sums(made, counts, most_pairs).withColumnRenamed("block", "of")
-    both = made.select("block", "docs", "n_groups", "n_links", "texts").join(sums.hint("shuffle_hash"), F.col("block") == F.col("of"), "left")
-
-    def total(of: str, d: Column, field: str | None = None) -> Column:
-        def value(u: Column) -> Column:
-            v = F.col(of)[u]
-            return v[field] if field else v
-
-        return F.aggregate(d["units"], F.lit(0).cast("long"), lambda t, u: t + value(u))
-
-    rows = F.transform(
-        "docs",
-        lambda d: F.struct(
-            d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total("n_groups", d).alias("n_groups"), total("n_links", d).alias("n_links"),
-            total("sums", d, "n_best").alias("n_best"), total("sums", d, "count_sum").alias("count_sum"),
-            F.when(F.size(d["units"]) == 0, F.lit("")).otherwise(F.sha2(F.array_join(F.transform(d["units"], lambda u: F.col("texts")[u]), ";"), 256)).alias("groups_sha256"),
-        ),
-    )
-    return both.select(F.inline(rows))
+    cut = scratch.keep(blocks(docs, block_bytes), "blocks")
+    texts = cut.where("unit IS NOT NULL").select("text").repartition(common.partitions(spark), "text").distinct()
+    made = scratch.keep(aligned(tokens(texts, path_a, path_b)), "units")
+    common.swept(spark)
+    held = made.select("text", F.array_distinct(F.col("pairs")["pair"]).alias("pairs"))
+    counts = scratch.keep(with_best(scratch.keep(pair_counts(by_block(spark, cut, held)), "pairs")), "counts")
+    common.swept(spark)
+    found = made.drop("pairs").join(unit_sums(made, counts, most_pairs), "text")
+    return documents(by_block(spark, cut, found))
