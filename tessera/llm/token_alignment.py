@@ -33,6 +33,8 @@ BLOCK_BYTES = 24 << 20
 PACK_ROWS = 1 << 18
 #: Pairs, most frequent first, that are sent to all tasks (24 bytes each).
 MOST_PAIRS = 1 << 20
+#: What is held at once of a block's documents: pairs, or groups spelled out in 8 bytes each.
+MOST_HELD = 1 << 18
 _SHIFT = 32
 _CUT = "block long, unit int, text string, docs binary"
 _TOKENS = "texts array<string>, n_a array<int>, n_b array<int>, unit_ends array<int>, a array<int>, a_ends array<int>, a_of array<int>, b array<int>, b_ends array<int>, b_of array<int>"
@@ -108,6 +110,13 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+def _freed() -> None:
+    """Gives back to the system what a worker no longer uses: tokenizers of a task before, and arrays of the last block."""
+    _pair.cache_clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the second also has numpy's memory trimmed
+        pool.release_unused()
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Block by block a row for each distinct unit (unit: its number in the block) and one with the packed documents.
 
@@ -280,38 +289,80 @@ def by_block(spark: SparkSession, cut: DataFrame, found: DataFrame) -> DataFrame
     return rows.repartition(common.partitions(spark), "block").sortWithinPartitions("block", "kind").select("block", "blob")
 
 
-def _block(table: pa.Table, known: str) -> tuple[list[np.ndarray], pa.Table, np.ndarray]:
-    """The documents of a block, its units by number, and of which documents all units are known (and there are any)."""
-    first, *rest = table.column("blob")
-    ids, null, some, ends, planes = common.unpack(zstandard.ZstdDecompressor().decompress(first.as_py()))
-    places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-    rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rest]).sort_by("unit").combine_chunks()  # an empty text has a unit too
-    lost = np.concatenate(([0], rows.column(known).is_null().to_numpy()[places].cumsum()))[np.concatenate(([0], ends))]
-    return [ids, null, some, ends, places], rows, some & (np.diff(lost) == 0)
+class _Block:
+    """A block as by_block() has it: its documents and, by number, what the dictionary has of its units.
+
+    known: the column that is null where a unit's bytes don't come back. Rows stay in the order they came in; `row_of`
+    has the row of a unit's number, and places are turned into rows some documents at a time.
+    """
+
+    def __init__(self, table: pa.Table, known: str):
+        first, *rest = table.column("blob")
+        *few, planes = common.unpack(zstandard.ZstdDecompressor().decompress(first.as_buffer()))
+        self.ids, self.null, some, self.ends = (x.copy() for x in few)  # not views, which would hold the planes too
+        self.begins = np.append(0, self.ends[:-1])
+        self.places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+        del planes
+        self.rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rest])
+        number = self.rows.column("unit").to_numpy()
+        self.row_of = np.empty(len(number), np.uint32)
+        self.row_of[number] = np.arange(len(number), dtype=np.uint32)
+        self.keep = some & (self.summed(self.rows.column(known).is_null().to_numpy().astype(np.uint32)) == 0)
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """By document, the sum of its units' values. values: of each row."""
+        own = values[self.row_of]
+        # a document, also an empty one, has a unit at least
+        return np.concatenate([np.add.reduceat(own[self._between(i, j)], self.begins[i:j] - self.begins[i], dtype=np.int64) for i, j in _parts(self.ends)])
+
+    def parts(self, weights: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First and last (exclusive) of documents whose units weigh up to MOST_HELD in all, the rows of their places, and where each document begins there.
+
+        weights: of each row. A document that weighs more is alone.
+        """
+        for i, j in _parts(self.summed(weights).cumsum()):
+            yield i, j, self.row_of[self._between(i, j)], self.begins[i:j] - self.begins[i]
+
+    def _between(self, i: int, j: int) -> np.ndarray:
+        return self.places[self.begins[i] : self.ends[j - 1]]
+
+
+def _parts(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) of neighbours that have up to MOST_HELD in all, or of one that has more. ends: running sums."""
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MOST_HELD, "right")))
+        yield i, j
+        i = j
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """pair, n: documents that hold it linked. rows: of by_block(), with the distinct pairs of units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _freed()
         for _, t in common.grouped(batches, "block"):
-            (_, _, _, ends, places), own, keep = _block(t, "pairs")
-            pairs = own.column("pairs").combine_chunks()
-            distinct, codes = np.unique(pairs.flatten().to_numpy(), return_inverse=True)
-            pair_ends = pa.compute.fill_null(pairs.value_lengths(), 0).to_numpy().astype(np.int64).cumsum()
-            n = np.zeros(len(distinct), np.int64)
-            edges = np.concatenate(([0], ends))
-            docs = np.flatnonzero(keep)
-            for at in np.array_split(docs, 1 + int((ends[-1] if len(ends) else 0) // (1 << 19))):  # some documents at a time
-                size = np.diff(edges)[at]
-                doc, unit = np.repeat(np.arange(len(at)), size), places[np.arange(size.sum()) + np.repeat(edges[at] - (size.cumsum() - size), size)]
-                both = np.unique(doc * len(own) + unit.astype(np.int64))
-                doc, unit = both // len(own), both % len(own)
-                held, held_ends = units.ragged(codes, pair_ends, unit)
-                both = np.unique(np.repeat(doc, np.diff(held_ends, prepend=0)) * len(distinct) + held)
-                n += np.bincount(both % max(1, len(distinct)), minlength=len(distinct))
-            some = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(distinct[some]), pa.array(n[some])], ["pair", "n"])
+            yield of_block(_Block(t, "pairs"))
+            _freed()
+
+    def of_block(block: _Block) -> pa.RecordBatch:
+        pairs = block.rows.column("pairs")
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(pairs), 0).to_numpy().astype(np.int64)
+        coded = pa.chunked_array([c.flatten() for c in pairs.chunks], pa.int64()).combine_chunks().dictionary_encode()
+        distinct, codes, code_ends = coded.dictionary, coded.indices.to_numpy(), sizes.cumsum()
+        del pairs, coded
+        block.rows = None
+        n = np.zeros(len(distinct), np.int64)
+        for i, j, own, begins in block.parts(sizes + 1):
+            doc = np.repeat(np.arange(j - i), np.diff(begins, append=len(own)))
+            kept = block.keep[i:j][doc]
+            both = np.unique(doc[kept] * len(sizes) + own[kept])
+            doc, own = both // len(sizes), both % len(sizes)
+            held, held_ends = units.ragged(codes, code_ends, own)
+            both = np.unique(np.repeat(doc, np.diff(held_ends, prepend=0)) * len(distinct) + held)
+            n += np.bincount(both % max(1, len(distinct)), minlength=len(distinct))
+        some = np.flatnonzero(n)
+        return pa.record_batch([distinct.take(pa.array(some)), pa.array(n[some])], ["pair", "n"])
 
     return rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -346,15 +397,24 @@ def documents(rows: DataFrame) -> DataFrame:
     """A row a document. rows: of by_block(), with the sums and the groups of units."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _freed()
         for _, t in common.grouped(batches, "block"):
-            (ids, null, _, ends, places), own, keep = _block(t, "groups")
-            edges, out = np.concatenate(([0], ends)), []
-            for name in _SUMS:
-                values = pa.compute.fill_null(own.column(name), 0).to_numpy()[places].astype(np.int64)
-                out.append(pa.array(np.where(keep, np.diff(np.concatenate(([0], values.cumsum()))[edges]), 0)))
-            texts = np.array(own.column("groups").to_pylist(), object)
-            shas = [hashlib.sha256(";".join(texts[places[i:j]]).encode()).hexdigest() if k else "" for i, j, k in zip(edges[:-1], ends, keep, strict=True)]
-            yield pa.record_batch([pa.array(ids, mask=null), *out, pa.array(shas, pa.string())], list(_DOCUMENT))
+            yield from of_block(_Block(t, "groups"))
+            _freed()
+
+    def of_block(block: _Block) -> Iterator[pa.RecordBatch]:
+        sums = [block.summed(pa.compute.fill_null(block.rows.column(name), 0).to_numpy()) for name in _SUMS]
+        groups = pa.compute.fill_null(block.rows.column("groups").cast(pa.large_binary()), b"").combine_chunks()
+        block.rows = None
+        groups = pa.compute.binary_join_element_wise(groups, pa.scalar(b"", pa.large_binary()), pa.scalar(b";", pa.large_binary()))
+        for i, j, own, begins in block.parts(pa.compute.binary_length(groups).to_numpy() // 8 + 1):
+            keep = block.keep[i:j]
+            out = [pa.array(np.where(keep, x[i:j], 0)) for x in sums]
+            spelled = groups.take(pa.array(own))
+            at = np.frombuffer(spelled.buffers()[1], np.int64, len(own) + 1)
+            data = memoryview(spelled.buffers()[2])
+            shas = [hashlib.sha256(data[x : y - 1]).hexdigest() if k else "" for x, y, k in zip(at[begins], at[np.append(begins[1:], len(own))], keep, strict=True)]
+            yield pa.record_batch([pa.array(block.ids[i:j], mask=block.null[i:j]), *out, pa.array(shas, pa.string())], list(_DOCUMENT))
 
     return rows.mapInArrow(add, ", ".join(f"{k} {v}" for k, v in _DOCUMENT.items()))
 
