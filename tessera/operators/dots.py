@@ -49,17 +49,24 @@ def accepted(candidates: DataFrame, cfg: Config = Config()) -> DataFrame:
 def detect(patches: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Candidates of each cell, in tile coordinates. patches: tile_x, tile_y, cell_id, y0, x0, height, width, rgb and nucleus as binary.
 
-    One row a cell, so Arrow batches hold small patches only; nothing is shuffled.
+    One row a cell, so Arrow batches hold small patches only; nothing is shuffled. Candidates follow from a patch's content,
+    so those of equal patches of a batch are found once.
     """
     schema = "tile_x long, tile_y long, cell_id long, " + kernels.CANDIDATE
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = list(pdf[["tile_x", "tile_y", "cell_id", "y0", "x0"]].itertuples(index=False, name=None))
-            patches = [(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), np.frombuffer(own, np.uint8).reshape(h, w) > 0) for h, w, rgb, own in zip(pdf["height"], pdf["width"], pdf["rgb"], pdf["nucleus"], strict=True)]
-            rows = [(tx, ty, c, kind, k, y + y0, x + x0, *rest) for (tx, ty, c, y0, x0), found in zip(cells, kernels.candidates_of(patches, cfg), strict=True) for kind, k, y, x, *rest in found]
-            out = pd.DataFrame(rows, columns=names)
+            unlike: dict[tuple, int] = {}
+            which = np.array([unlike.setdefault(p, len(unlike)) for p in zip(pdf["height"], pdf["width"], pdf["rgb"], pdf["nucleus"], strict=True)], int)
+            patches = [(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), np.frombuffer(own, np.uint8).reshape(h, w) > 0) for h, w, rgb, own in unlike]
+            found = kernels.candidates_of(patches, cfg)
+            rows = pd.DataFrame([r for own in found for r in own], columns=names[len(KEY) :])
+            size = np.array([len(own) for own in found], int)
+            n = size[which]
+            out = rows.take(np.repeat((size.cumsum() - size)[which] - (n.cumsum() - n), n) + np.arange(n.sum())).reset_index(drop=True)
+            cell = {c: np.repeat(pdf[c].to_numpy(), n) for c in (*KEY, "y0", "x0")}
+            out = out.assign(**{c: cell[c] for c in KEY}, y=out["y"] + cell["y0"], x=out["x"] + cell["x0"])[names]
             out["ring"] = out["ring"].astype(object).where(out["ring"].notna(), None)
             yield out
 
